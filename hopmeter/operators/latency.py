@@ -57,6 +57,26 @@ def stage_latency_2(
     )
 
 
+def probe_facts(first_hits: DataFrame, topics: list[str], by: list[str]) -> DataFrame:
+    """Every probe with its three base offsets, and its hops where all stages matched."""
+    def per_topic(value: str, names: list[str]) -> list[Column]:
+        return [
+            F.max(F.when(F.col("topic") == t, F.col(value))).alias(n)
+            for t, n in zip(topics, names)
+        ]
+
+    wide = first_hits.groupBy(*by).agg(
+        *per_topic("base_offset", ["raw_base", "source_base", "update_base"]),
+        *per_topic("ts_ms", ["_t0", "_t1", "_t2"]),
+    )
+    complete = F.col("_t0").isNotNull() & F.col("_t1").isNotNull() & F.col("_t2").isNotNull()
+    return wide.select(
+        *by, "raw_base", "source_base", "update_base",
+        F.when(complete, F.col("_t1") - F.col("_t0")).alias("raw_to_source_ms"),
+        F.when(complete, F.col("_t2") - F.col("_t1")).alias("source_to_update_ms"),
+    )
+
+
 def unmatched(first_hits: DataFrame) -> DataFrame:
     """Probes and the topics where no record matched them."""
     return first_hits.filter(F.col("offset").isNull()).drop("offset", "ts_ms").withColumnRenamed(

@@ -14,6 +14,10 @@ from hopmeter.operators.skew import GROUP_ROWS
 _UNFOLD = 10_000
 
 
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
 def coordinates(update_no: Column) -> tuple[Column, Column]:
     """lat and long text of an update: both grow by one per update."""
     return (
@@ -28,12 +32,10 @@ def probe_grid(cycles: DataFrame, num_updates: int, source: str, seed: int = 0)
         raise ValueError("a cycle needs at least one update")
     starts = cycles.select(
         "cycle_no",
-        F.explode(F.sequence(F.lit(0), F.lit(num_updates - 1), F.lit(_UNFOLD))).alias("_from"),
-    )
-    last = F.least(F.col("_from") + (_UNFOLD - 1), F.lit(num_updates - 1))
-    grid = starts.select(
-        "cycle_no", F.explode(F.sequence("_from", last)).cast("long").alias("update_no")
+        F.explode(F.sequence(_long(0), _long(num_updates - 1), _long(_UNFOLD))).alias("_from"),
     )
+    last = F.least(F.col("_from") + (_UNFOLD - 1), _long(num_updates - 1))
+    grid = starts.select("cycle_no", F.explode(F.sequence("_from", last)).alias("update_no"))
     lat, xlong = coordinates(F.col("update_no"))
     return grid.select(
         "cycle_no",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hopmeter.operators.baseline import baseline_offsets
 from hopmeter.operators.decode import unify
 from hopmeter.operators.first_match import KEY, first_match, keep_probed
-from hopmeter.operators.latency import stage_latency
+from hopmeter.operators.latency import probe_facts, stage_latency
 from hopmeter.plans import fixture
 from hopmeter.schemas import stage_topics
 from hopmeter.session import cut, fresh_path, pin_utc
@@ -57,8 +57,10 @@ class Pipeline:
         return cut(self.read_records(), "records")
 
     def find_marks(self) -> DataFrame:
-        asked = self.probes.select(*PROBE, "id", "lat", "xlong", "partition", "ms")
-        return baseline_offsets(self.records, asked, self.stages).select(*PROBE, *KEY, "base_offset")
+        asked = self.probes.select(*PROBE, "start_time", "id", "lat", "xlong", "partition", "ms")
+        return baseline_offsets(self.records, asked, self.stages).select(
+            *PROBE, "start_time", *KEY, "base_offset"
+        )
 
     @cached_property
     def marks(self) -> DataFrame:
@@ -75,6 +77,13 @@ class Pipeline:
     def latency(self) -> DataFrame:
         return stage_latency(self.hits, self.stages, PROBE)
 
+    @property
+    def facts(self) -> DataFrame:
+        """One row per probe, matched or not: base offsets and hops, for the reports."""
+        return probe_facts(
+            self.hits, self.stages, [*PROBE, "start_time", "id", "lat", "xlong"]
+        )
+
 
 def open_pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
     """The pipeline of a folder; one per application, so queries share its tables."""
