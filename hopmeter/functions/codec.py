@@ -28,11 +28,19 @@ def entity_record(
     source: str,
     nationality: Column | None = None,
     category: Column | None = None,
+    strict: bool = True,
 ) -> Column:
-    """Nested entity record; coordinates arrive as text and are parsed to double."""
+    """Nested entity record; coordinates arrive as text and are parsed to double.
+
+    Text that is no number fails the job, or gives null with ``strict=False``.
+    """
     c = S.ENTITY_CONSTANTS
+
+    def number(x: Column) -> Column:
+        return x.cast("double") if strict else x.try_cast("double")
+
     basic = F.struct(
-        F.struct(lat.cast("double").alias("lat"), xlong.cast("double").alias("long")).alias("coordinate"),
+        F.struct(number(lat).alias("lat"), number(xlong).alias("long")).alias("coordinate"),
         F.lit(c["isNotTracked"]).alias("isNotTracked"),
         F.lit(c["entityOffset"]).cast("long").alias("entityOffset"),
         F.lit(source).alias("sourceName"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopmeter.sources.topics import BROADCAST_ROWS, at_most
+
 # Width of a time bucket. Inside one there are at most this many distinct
 # milliseconds, which bounds the rows of a window group; ten years are about
-# five million buckets per topic partition, which bounds the second level.
+# five million buckets per partition, which bounds the second level.
 BUCKET_MS = 1 << 16
 
 
@@ -20,59 +22,66 @@ def baseline_offsets(
     any other columns, all kept.
 
     A running maximum over a topic partition would put a hot partition into one
-    task. It is a maximum, so it can be taken in levels instead: per millisecond
-    (combined before the shuffle), inside a bucket, and over whole buckets.
+    task. It is a maximum, so it can be taken in levels instead: over whole time
+    buckets, and per millisecond inside the buckets that hold probes. Both levels
+    combine records before the shuffle, and all topics share their shuffles.
     """
-    place = ["topic", "partition"]
-    per_ms = (
-        records.filter(F.col("topic").isin(topics))
-        .groupBy(*place, F.col("ts_ms").alias("ms"))
-        .agg((F.max("offset") + 1).alias("end"))
-        .withColumn("bucket", F.floor(F.col("ms") / bucket_ms))
-    )
-    asked = (
-        probes.select("partition", "ms").distinct()
-        .select(F.explode(_names(topics)).alias("topic"), "partition", "ms")
-        .withColumn("bucket", F.floor(F.col("ms") / bucket_ms))
-    )
+    ends = [f"_end{i}" for i in range(len(topics))]
+    bucket = F.floor(F.col("ms") / bucket_ms).alias("bucket")
+    records = records.filter(F.col("topic").isin(topics)).select(
+        "topic", "partition", "offset", F.col("ts_ms").alias("ms")
+    ).select("*", bucket)
+    asked = probes.select("partition", "ms").distinct().select("*", bucket)
+    asked_buckets = asked.select("partition", "bucket").distinct()
 
-    # Level 1: earlier milliseconds of the same bucket. A record at the probe's
-    # own millisecond counts as later.
-    marks = per_ms.withColumn("kind", F.lit(1)).unionByName(
-        asked.withColumn("end", F.lit(None).cast("long")).withColumn("kind", F.lit(0))
-    )
-    upto = Window.partitionBy(*place, "bucket").orderBy("ms", "kind")
-    inside = marks.withColumn(
-        "inside", F.max("end").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ).filter("kind = 0")
+    def end_per_topic() -> list[Column]:
+        return [
+            (F.max(F.when(F.col("topic") == t, F.col("offset"))) + 1).alias(end)
+            for t, end in zip(topics, ends)
+        ]
+
+    def no_ends() -> list[Column]:
+        return [F.lit(None).cast("long").alias(end) for end in ends]
 
-    # Level 2: whole earlier buckets. Buckets with probes only are kept as rows.
-    buckets = marks.groupBy(*place, "bucket").agg(F.max("end").alias("end"))
+    # Whole earlier buckets; a bucket with probes but no records gets a row too.
+    per_bucket = records.groupBy("partition", "bucket").agg(*end_per_topic())
     earlier = (
-        Window.partitionBy(*place).orderBy("bucket")
+        Window.partitionBy("partition").orderBy("bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = buckets.select(*place, "bucket", F.max("end").over(earlier).alias("before"))
-
-    ends = (
-        inside.join(before, [*place, "bucket"])
-        .groupBy("partition", "ms")
-        .agg(*[
-            F.max(F.when(F.col("topic") == t, F.coalesce(
-                F.greatest("inside", "before"), F.lit(0)
-            ))).alias(f"_end{i}")
-            for i, t in enumerate(topics)
+    before = (
+        per_bucket.unionByName(asked_buckets.select("*", *no_ends()))
+        .groupBy("partition", "bucket").agg(*[F.max(end).alias(end) for end in ends])
+        .select("partition", "bucket", *[
+            F.max(end).over(earlier).alias(f"_before{end}") for end in ends
         ])
     )
-    wide = F.array(*[
-        F.struct(F.lit(t).alias("topic"), F.col(f"_end{i}").alias("base_offset"))
-        for i, t in enumerate(topics)
-    ])
-    return (
-        probes.join(ends, ["partition", "ms"])
-        .select(*probes.columns, F.inline(wide))
-    )
 
+    # Earlier milliseconds of the same bucket, where probes ask for them. A record
+    # at the probe's own millisecond counts as later (kind 0 sorts first).
+    detail = records
+    if at_most(asked_buckets, BROADCAST_ROWS):
+        detail = records.join(F.broadcast(asked_buckets), ["partition", "bucket"], "left_semi")
+    marks = (
+        detail.groupBy("partition", "bucket", "ms").agg(*end_per_topic())
+        .withColumn("kind", F.lit(1))
+        .unionByName(asked.select("*", *no_ends(), F.lit(0).alias("kind")))
+    )
+    upto = (
+        Window.partitionBy("partition", "bucket").orderBy("ms", "kind")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    inside = marks.select(
+        "partition", "bucket", "ms", "kind",
+        *[F.max(end).over(upto).alias(f"_inside{end}") for end in ends],
+    ).filter("kind = 0")
 
-def _names(topics: list[str]):
-    return F.array(*[F.lit(t) for t in topics])
+    base = F.array(*[
+        F.struct(
+            F.lit(t).alias("topic"),
+            F.coalesce(F.greatest(f"_before{end}", f"_inside{end}"), F.lit(0)).alias("base_offset"),
+        )
+        for t, end in zip(topics, ends)
+    ])
+    answers = inside.join(before, ["partition", "bucket"]).select("partition", "ms", base.alias("base"))
+    return probes.join(answers, ["partition", "ms"]).select(*probes.columns, F.inline("base"))

@@ -36,6 +36,12 @@ def rejects(records: DataFrame) -> DataFrame:
     return records.filter("id IS NULL OR lat IS NULL OR xlong IS NULL")
 
 
+def of_probe(records: DataFrame, id: str, lat: str, xlong: str) -> DataFrame:
+    """The records of one probe."""
+    key = [F.col(c) for c in ("id", "lat", "xlong")]
+    return records.filter(codec.same_key(*key, F.lit(id), F.lit(lat), F.lit(xlong)))
+
+
 def raw_fields(topics: DataFrame, source: str, mode: str = "PERMISSIVE") -> DataFrame:
     """Raw messages: their key, and all attributes as a map."""
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopmeter.operators.skew import GROUP_ROWS, split_hot
+from hopmeter.operators.skew import split_hot
 from hopmeter.session import cut
 from hopmeter.sources.topics import at_most
 
@@ -33,7 +33,7 @@ def keep_probed(records: DataFrame, probes: DataFrame, limit: int = PRUNE_PROBES
 def first_match(
     records: DataFrame,
     marks: DataFrame,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
     bucket_offsets: int = BUCKET_OFFSETS,
 ) -> DataFrame:
     """``marks`` with ``offset`` and ``ts_ms`` of the first hit, null where there is none.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopmeter.operators.skew import GROUP_ROWS, split_hot
+from hopmeter.operators.skew import split_hot
 from hopmeter.session import cut
 
 # monotonically_increasing_id keeps the position inside a partition in its low bits.
@@ -17,7 +17,7 @@ def with_ordinal(
     group: list[str],
     order: list[str],
     name: str,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its group; ``order`` must be total.
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from hopmeter import schemas as S
 from hopmeter.functions.text import entity_id, number_text
 from hopmeter.operators.ordinal import with_ordinal
-from hopmeter.operators.skew import GROUP_ROWS
 
 # Numbers made from one row at a time when a cycle is unfolded into updates.
 _UNFOLD = 10_000
@@ -69,7 +68,7 @@ def two_step_probes(cycles: DataFrame, source: str, seed: int = 0) -> DataFrame:
 
 
 def number_updates(
-    events: DataFrame, cycle: str, order: list[str], group_rows: int = GROUP_ROWS
+    events: DataFrame, cycle: str, order: list[str], group_rows: int | None = None
 ) -> DataFrame:
     """Add ``update_no``, the position of an event in its cycle."""
     return with_ordinal(events, [cycle], order, "update_no", group_rows)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from hopmeter.functions.text import date_text, number_text
 from hopmeter.operators.latency import METRICS
 from hopmeter.operators.ordinal import with_ordinal
-from hopmeter.operators.skew import GROUP_ROWS
 from hopmeter.operators.summary import CHUNK, latency_summary
 
 # Separator line and file name of the report.
@@ -48,7 +47,7 @@ def latency_csv(
     group_cols: list[str] = ["cycle_no", "phase"],
     order: list[str] = ["cycle_no", "update_no"],
     chunk: int = CHUNK,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """One CSV line per metric and group: label, then the values in arrival order.
 
@@ -178,7 +177,7 @@ def summary_report(latency: DataFrame, source: str, digits: int = 6) -> DataFram
 
 def full_report(
     probes: DataFrame, latency: DataFrame, source: str, digits: int = 6,
-    chunk: int = CHUNK, group_rows: int = GROUP_ROWS,
+    chunk: int = CHUNK, group_rows: int | None = None,
 ) -> DataFrame:
     """All parts of the multi-cycle report as ordered rows: part, a, b, text."""
     spark = latency.sparkSession

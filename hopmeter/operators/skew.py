@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many rows a group may go through one window task.
+# Up to this many rows a group may go through one window task, unless the session
+# sets another number.
 GROUP_ROWS = 1_000_000
+GROUP_ROWS_SETTING = "spark.hopmeter.groupRows"
 # Groups are counted per hash slot, so the count table has at most this many rows.
 SLOTS = 1 << 20
 
@@ -16,7 +18,7 @@ def _slot(keys: list[str]) -> Column:
 
 
 def split_hot(
-    df: DataFrame, keys: list[str], group_rows: int = GROUP_ROWS
+    df: DataFrame, keys: list[str], group_rows: int | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary groups, rows of hot groups or None when there are none).
 
@@ -26,6 +28,8 @@ def split_hot(
     slot is merely treated as hot. The slot list is broadcast: its size is at
     most ``SLOTS`` integers by construction.
     """
+    if group_rows is None:
+        group_rows = int(df.sparkSession.conf.get(GROUP_ROWS_SETTING, str(GROUP_ROWS)))
     hot = (
         df.groupBy(_slot(keys).alias("_slot")).count()
         .filter(F.col("count") > group_rows)

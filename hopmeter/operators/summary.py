@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from hopmeter.functions import moments
 from hopmeter.operators.latency import METRICS
 from hopmeter.operators.ordinal import in_slice, with_ordinal
-from hopmeter.operators.skew import GROUP_ROWS
 
 # Values per band of the median histogram, and elements per collected array.
 BAND = 1 << 14
@@ -111,7 +110,7 @@ def cycle_collect(latency: DataFrame, fields: list[str], chunk: int = CHUNK) ->
 
 
 def metric_sorted(
-    latency: DataFrame, tie_break: str, group_rows: int = GROUP_ROWS
+    latency: DataFrame, tie_break: str, group_rows: int | None = None
 ) -> DataFrame:
     """Every metric sorted by itself; ``position`` is the place in that order."""
     long = per_metric(latency, [tie_break])
@@ -133,7 +132,7 @@ def std_slice(
     hi: int,
     names: list[str],
     strict: bool = True,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Statistics over positions ``[lo, hi)`` of every group.
 

@@ -21,6 +21,7 @@ from hopmeter.streaming import jobs
 Query = Callable[[SparkSession, str], DataFrame]
 GRID_UPDATES = 5
 SEED = 7
+FILES_PER_BATCH = "64"
 SLICE = (100, 1500)
 
 _QUERIES: dict[str, Query] = {}
@@ -350,13 +351,13 @@ def _stream_places(p: Pipeline, name: str) -> tuple[str, str]:
 
 
 def _record_stream(p: Pipeline) -> DataFrame:
-    return decode.unify(jobs.read_stream(p.spark, p.topics_path, maxFilesPerTrigger="8"), p.source)
+    return decode.unify(jobs.read_stream(p.spark, p.topics_path, maxFilesPerTrigger=FILES_PER_BATCH), p.source)
 
 
 @_query
 def stream_topic_read(p: Pipeline) -> DataFrame:
     out, checkpoint = _stream_places(p, "stream-copy")
-    stream = jobs.read_stream(p.spark, p.topics_path, maxFilesPerTrigger="8")
+    stream = jobs.read_stream(p.spark, p.topics_path, maxFilesPerTrigger=FILES_PER_BATCH)
     jobs.copy_topics(stream, out, checkpoint).awaitTermination()
     return T.read_topics(p.spark, out).select(*_POSITION, _ts_ms())
 
@@ -364,7 +365,7 @@ def stream_topic_read(p: Pipeline) -> DataFrame:
 @_query
 def stream_sink(p: Pipeline) -> DataFrame:
     out, checkpoint = _stream_places(p, "stream-sink")
-    stream = jobs.read_stream(p.spark, p.topics_path, maxFilesPerTrigger="8")
+    stream = jobs.read_stream(p.spark, p.topics_path, maxFilesPerTrigger=FILES_PER_BATCH)
     jobs.collect_by_topic(stream, out, checkpoint).awaitTermination()
     return p.spark.read.parquet(out).select(*_POSITION, _ts_ms())
 
@@ -372,7 +373,8 @@ def stream_sink(p: Pipeline) -> DataFrame:
 @_query
 def stream_first_match(p: Pipeline) -> DataFrame:
     out, checkpoint = _stream_places(p, "stream-first")
-    jobs.first_per_key(_record_stream(p), _half_way(p), out, checkpoint).awaitTermination()
+    cores = p.spark.sparkContext.defaultParallelism
+    jobs.first_per_key(_record_stream(p), _half_way(p), out, checkpoint, cores).awaitTermination()
     return jobs.latest_first(p.spark, out).select(*KEY, "offset", "ts_ms")
 
 

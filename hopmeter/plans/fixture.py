@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from hopmeter.functions import codec
 from hopmeter.operators.ordinal import with_ordinal
 from hopmeter.operators.probes import coordinates, number_updates
-from hopmeter.operators.skew import GROUP_ROWS
 from hopmeter.schemas import ENTITY_ID_PREFIX, UPDATE_TOPIC, raw_topic
 
 SOURCE = "src"
@@ -24,7 +23,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def probes_of(events: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def probes_of(events: DataFrame, group_rows: int | None = None) -> DataFrame:
     numbered = number_updates(
         events.select("event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("start_time")),
         "user_id", ["start_time", "event_id"], group_rows,
@@ -64,7 +63,7 @@ def _arrivals():
     ))
 
 
-def topics_of(probes: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def topics_of(probes: DataFrame, group_rows: int | None = None) -> DataFrame:
     """The topic table, offsets by time of arrival in each topic partition."""
     messages = probes.select("*", F.inline(_arrivals()))
     placed = with_ordinal(

@@ -1,6 +1,6 @@
 """The stages of the analysis over one data folder, each a written table.
 
-topics -> records (one normal form) -> marks (base offsets) -> hits -> latency
+topics -> records (one normal form) -> marks (base offsets) -> hits -> latency, facts
 """
 
 from __future__ import annotations
@@ -73,16 +73,15 @@ class Pipeline:
     def hits(self) -> DataFrame:
         return cut(self.find_hits(), "hits")
 
-    @property
+    @cached_property
     def latency(self) -> DataFrame:
-        return stage_latency(self.hits, self.stages, PROBE)
+        return cut(stage_latency(self.hits, self.stages, PROBE), "latency")
 
-    @property
+    @cached_property
     def facts(self) -> DataFrame:
         """One row per probe, matched or not: base offsets and hops, for the reports."""
-        return probe_facts(
-            self.hits, self.stages, [*PROBE, "start_time", "id", "lat", "xlong"]
-        )
+        by = [*PROBE, "start_time", "id", "lat", "xlong"]
+        return cut(probe_facts(self.hits, self.stages, by), "facts")
 
 
 def open_pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
@@ -98,6 +97,5 @@ def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage latencies from the topic table on, nothing shared with other queries."""
     shared = open_pipeline(spark, sf_dir)
     alone = Pipeline(spark, sf_dir)
-    alone.__dict__["probes"] = shared.probes
-    alone.__dict__["topics_path"] = shared.topics_path
+    alone.probes, alone.topics_path = shared.probes, shared.topics_path
     return stage_latency(alone.find_hits(), alone.stages, PROBE)

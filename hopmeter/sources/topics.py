@@ -18,7 +18,9 @@ def read_topics(spark: SparkSession, path: str, format: str = "parquet", **optio
     if format == "kafka":
         kafka = spark.read.format("kafka").options(**options).load()
         return kafka.select(*_kafka_columns())
-    return spark.read.format(format).schema(TOPIC_TABLE).options(**options).load(path)
+    files = spark.read.format(format).schema(TOPIC_TABLE).options(**options).load(path)
+    # Folder columns would otherwise come last.
+    return files.select(*TOPIC_TABLE.fieldNames())
 
 
 def _kafka_columns() -> list[Column]:
@@ -79,8 +81,11 @@ def end_offsets(topics: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows; reads only as far as needed."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` has no more than ``rows`` rows.
+
+    A plain count is combined per task; a limit would first move rows to one task.
+    """
+    return df.count() <= rows
 
 
 def scan_from(topics: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ def read_stream(
     if format == "kafka":
         stream = spark.readStream.format("kafka").options(**options).load()
         return stream.select(*[F.col(f.name).cast(f.dataType) for f in TOPIC_TABLE.fields])
-    return spark.readStream.format(format).schema(TOPIC_TABLE).options(**options).load(path)
+    files = spark.readStream.format(format).schema(TOPIC_TABLE).options(**options).load(path)
+    return files.select(*TOPIC_TABLE.fieldNames())
 
 
 def _start(
@@ -37,6 +39,19 @@ def _start(
     )
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings a stream takes over when it starts; the session gets its own back."""
+    saved = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in saved.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _batch_path(out: str, batch_id: int) -> str:
     # A repeated batch replaces what its first try wrote.
     return f"{out}/batch={batch_id}"
@@ -64,17 +79,18 @@ def collect_by_topic(
 
 
 def first_per_key(
-    records: DataFrame, bounds: DataFrame, out: str, checkpoint: str, every: str | None = None
+    records: DataFrame, bounds: DataFrame, out: str, checkpoint: str,
+    state_partitions: int | None = None, every: str | None = None,
 ) -> StreamingQuery:
     """Smallest offset per topic and key, at or after the topic partition's bound.
 
     A streaming minimum: combined inside each task before the shuffle, so a hot
     key costs one row per task and batch. The state has one row per key and lives
-    in RocksDB. Arrival order inside a batch is not offset order, therefore a key
-    is written again whenever a smaller offset turns up; ``latest_first`` reads
-    the final one.
+    in RocksDB, in ``state_partitions`` parts (a stream keeps their number for
+    life). Arrival order inside a batch is not offset order, therefore a key is
+    written again whenever a smaller offset turns up; ``latest_first`` reads the
+    final one.
     """
-    records.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     firsts = (
         scan_from(records, bounds)
         .groupBy(*KEY).agg(F.min(F.struct("offset", "ts_ms")).alias("hit"))
@@ -84,7 +100,11 @@ def first_per_key(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(_batch_path(out, batch_id))
 
-    return _start(firsts, checkpoint, write, mode="update", every=every)
+    settings = {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB}
+    if state_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
+    with _settings(records.sparkSession, settings):
+        return _start(firsts, checkpoint, write, mode="update", every=every)
 
 
 def match_probes(

@@ -1,0 +1,109 @@
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from hopmeter.functions.text import minute_stamp, number_text
+from hopmeter.operators import report
+from hopmeter.session import fresh_path
+
+START = datetime.datetime(2017, 7, 14, 2, 40, 0)
+
+
+@pytest.fixture(scope="module")
+def facts(spark):
+    schema = ("cycle_no long, update_no long, start_time timestamp, id string, lat string, xlong string, "
+              "raw_base long, source_base long, update_base long, raw_to_source_ms long, source_to_update_ms long")
+    return spark.createDataFrame(
+        [(0, 0, START, "p-1", "4.3", "6.4", 10, 11, 12, 30, 40),
+         (0, 1, START, "p-1", "5.3", "7.4", 20, 21, 22, 0, 40),
+         (0, 2, START, "p-1", "6.3", "8.4", 30, 31, 32, None, None)], schema)
+
+
+@pytest.fixture(scope="module")
+def latency(spark):
+    data = [(c, u, "CREATE" if u == 0 else "UPDATE", 10 * c + u, 5, 10 * c + u + 5)
+            for c in range(3) for u in range(4)]
+    return spark.createDataFrame(
+        data, "cycle_no long, update_no long, phase string, raw_to_source_ms long, "
+              "source_to_update_ms long, total_ms long")
+
+
+def test_probe_block(facts):
+    got = [r["block"] for r in report.probe_report(facts, "s").orderBy("update_no").collect()]
+    head = ("******************************************\nStartTime: Fri Jul 14 02:40:00 UTC 2017\n"
+            "Cycle NO: 0\nUpdate NO: 0\nexternalSystemID: p-1\nlat: 4.3\nlongX: 6.4\n")
+    assert got[0] == head + (
+        "lastOffsetForRawData: 10\nlastOffsetForSource: 11\nlastOffsetForUpdate: 12\n"
+        "The action between topics  <s-row-data> and <s> took 30 millisec\n"
+        "The action between topics  <s> and <update> took 40 millisec\n\n")
+    assert got[1].endswith("longX: 7.4\n") and got[2].endswith("longX: 8.4\n")
+
+
+def test_action_report(facts):
+    matched = facts.filter("raw_to_source_ms IS NOT NULL")
+    got = [r["text"] for r in report.action_report(matched, "s").orderBy("update_no").collect()]
+    assert got[0] == (
+        "Create a new entity\n===================\n"
+        "The current offset before produce the message are \ns-raw-data : 10\ns :11\nupdate :12\n"
+        "The create action between topics  <s-row-data> and <s> took 30 millisec\n"
+        "The create action between topics  <s> and <update> took 40 millisec\n\n")
+    assert got[1].startswith("Update the entity\n=================\n") and not got[1].endswith("\n\n")
+    short = report.action_report(matched, "s", stages=2).orderBy("update_no").first()["text"]
+    assert short == "The create action between topics  <s> and <update> took 40 millisec\n"
+
+
+def test_csv_lines(latency):
+    got = {(r["phase"], r["metric"]): r["line"] for r in report.latency_csv(latency, "s", ["phase"]).collect()}
+    assert got["CREATE", "raw_to_source_ms"] == "DiffTime between between <s-row-data> and <s>,0.0,10.0,20.0"
+    assert got["CREATE", "source_to_update_ms"] == "DiffTime between <s> and <update>,5.0,5.0,5.0"
+    assert got["UPDATE", "total_ms"] == "Total DiffTime,6.0,7.0,8.0,16.0,17.0,18.0,26.0,27.0,28.0"
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_long_csv_line_comes_in_pieces(latency, limit):
+    whole = {r["metric"]: r["line"] for r in report.latency_csv(latency, "s", []).collect()}
+    pieces = report.latency_csv(latency, "s", [], chunk=5, group_rows=limit).orderBy("metric", "chunk_no").collect()
+    assert len(pieces) == 9
+    for metric, line in whole.items():
+        assert "".join(r["line"] for r in pieces if r["metric"] == metric) == line
+
+
+def test_summary_sentences(latency):
+    got = [r["line"] for r in report.summary_report(latency, "s").orderBy("line_no").collect()]
+    assert got == [
+        "The average between <s-row-data> and <s> is 11.5",
+        "The average between <s> and <update> is 5.0",
+        "The average of total is 16.5",
+        "The median between <s-row-data> and <s> is 11.5",
+        "The median between <s> and <update> is 5.0",
+        "The median of total is 16.5",
+        "The standard deviation between <s-row-data> and <s> is 8.241157",
+        "The standard deviation  between <s> and <update> is 0.0",
+        "The standard deviation  of total is 8.241157",
+    ]
+
+
+def test_report_file(spark, facts, latency):
+    folder = fresh_path(spark, "test-report")
+    text = report.full_report(facts, latency, "s")
+    path = report.write_report(text, folder, "20170714_0240")
+    assert path.endswith("/enginePeformanceResult_20170714_0240.log")
+    # A second run in the same minute replaces the first.
+    report.write_report(text, folder, "20170714_0240")
+    lines = [r[0] for r in spark.read.text(path).select(
+        "value", F.monotonically_increasing_id().alias("n")).orderBy("n").collect()]
+    blocks = [n for n, line in enumerate(lines) if line.startswith("****")]
+    assert len(blocks) == 3
+    start = lines.index("Export to CSV ")
+    assert lines[start - 10] == "" and lines[start - 9].startswith("The average between")
+    assert lines[start + 1] == "CREATE" and lines[start + 5:start + 7] == ["", "UPDATE"]
+    assert lines[start + 9].startswith("Total DiffTime,6.0,7.0")
+    assert lines[start + 10:] == ["", ""]
+
+
+def test_number_and_date_texts(spark):
+    df = spark.createDataFrame([(4.3,), (1500.0,), (1e7,)], "x double")
+    assert [r[0] for r in df.select(number_text(F.col("x"))).collect()] == ["4.3", "1500.0", "1.0E7"]
+    stamp = spark.createDataFrame([(START,)], "t timestamp").select(minute_stamp(F.col("t"))).first()[0]
+    assert stamp == "20170714_0240"
