@@ -68,7 +68,7 @@ def baseline_offsets(
         .unionByName(asked.select("*", *no_ends(), F.lit(0).alias("kind")))
     )
     upto = (
-        Window.partitionBy("partition", "bucket").orderBy("ms", "kind")
+        Window.partitionBy("bucket", "partition").orderBy("ms", "kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     inside = marks.select(

@@ -82,12 +82,15 @@ def _next_record(lane: DataFrame, group: list[str]) -> DataFrame:
     Read backwards, so the frame only grows; a record at a mark's own offset is
     met before the mark.
     """
-    backwards = Window.partitionBy(*group).orderBy(F.desc("at"), F.desc("is_record"))
-    return lane.withColumn(
+    # Sorting compares the number first and the texts of the key only within it.
+    backwards = (
+        Window.partitionBy("_hash", *group).orderBy(F.desc("at"), F.desc("is_record"))
+    )
+    return lane.withColumn("_hash", F.xxhash64(*group)).withColumn(
         "hit",
         F.last(_record_or_null(), ignorenulls=True)
         .over(backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    ).withColumn("base_offset", F.col("at"))
+    ).drop("_hash").withColumn("base_offset", F.col("at"))
 
 
 def _bucketed(lane: DataFrame, bucket_offsets: int) -> DataFrame:

@@ -48,8 +48,10 @@ def exact_median(values: DataFrame, by: list[str], value: str) -> DataFrame:
     band to find the band of the middle ranks, and only that band is ordered.
     A band has at most ``BAND`` different values.
     """
+    # The band is tested here too, so both readers of the counts share one shuffle.
+    band = F.floor(F.col(value) / BAND)
     counts = (
-        values.filter(F.col(value).isNotNull())
+        values.filter(F.col(value).isNotNull() & band.isNotNull())
         .groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_band", F.floor(F.col("_v") / BAND))
     )
@@ -85,11 +87,15 @@ def exact_median(values: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def latency_summary(latency: DataFrame, by: list[str] = []) -> DataFrame:
     """Count, mean, median and population deviation of every metric, per group."""
-    counted = _aggregate(latency, by, F.count, "n")
-    parts = [latency_mean(latency, by), latency_median(latency, by), latency_stddev(latency, by)]
-    for part in parts:
-        counted = counted.join(part, [*by, "metric"], "left")
-    return counted
+    moments_of = {"n": F.count, "mean": F.avg, "stddev": F.stddev_pop}
+    wide = latency.groupBy(*by).agg(*[
+        F.struct(*[make(F.col(m)).alias(n) for n, make in moments_of.items()]).alias(m)
+        for m in METRICS
+    ])
+    long = wide.unpivot(by, METRICS, "metric", "_s").select(*by, "metric", "_s.*")
+    return long.join(latency_median(latency, by), [*by, "metric"], "left").select(
+        *by, "metric", "n", "mean", "median", "stddev"
+    )
 
 
 def phase_vectors(latency: DataFrame, keep: list[str]) -> DataFrame:

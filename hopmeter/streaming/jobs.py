@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hopmeter.operators.first_match import KEY, first_match
 from hopmeter.schemas import TOPIC_TABLE
-from hopmeter.sources.topics import scan_from
+from hopmeter.sources.topics import BROADCAST_ROWS, at_most, scan_from
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -118,10 +118,13 @@ def match_probes(
     stages is matched, exactly as in the batch job.
     """
     def match(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        touched = marks.join(batch.select(*KEY).distinct(), KEY, "left_semi")
-        hits = first_match(batch.select(*KEY, "offset", "ts_ms"), touched)
-        hits.filter("offset IS NOT NULL").write.mode("overwrite").parquet(_batch_path(out, batch_id))
+        batch = batch.select(*KEY, "offset", "ts_ms").persist()
+        touched = marks
+        if at_most(batch, BROADCAST_ROWS):
+            # A small batch concerns few probes.
+            touched = marks.join(F.broadcast(batch.select(*KEY).distinct()), KEY, "left_semi")
+        hits = first_match(batch, touched).filter("offset IS NOT NULL")
+        hits.write.mode("overwrite").parquet(_batch_path(out, batch_id))
         batch.unpersist()
 
     return _start(records, checkpoint, match, every=every)
