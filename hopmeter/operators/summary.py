@@ -16,7 +16,8 @@ CHUNK = 10_000
 
 def per_metric(df: DataFrame, keep: list[str], name: str = "value") -> DataFrame:
     """Long form: one row per metric."""
-    return df.unpivot(keep, METRICS, "metric", name)
+    cells = [F.struct(F.lit(m).alias("metric"), F.col(m).alias(name)) for m in METRICS]
+    return df.select(*keep, F.inline(F.array(*cells)))
 
 
 def _aggregate(latency: DataFrame, by: list[str], make, name: str) -> DataFrame:
@@ -38,7 +39,8 @@ def latency_median(latency: DataFrame, by: list[str] = [], approx: bool = False)
     """Middle value, or the mean of the two middle ones; ``approx`` trades that for one pass."""
     if approx:
         return _aggregate(latency, by, lambda x: F.percentile_approx(x, 0.5).cast("double"), "median")
-    return exact_median(per_metric(latency, by), [*by, "metric"], "value")
+    keyed = latency.dropna(subset=by) if by else latency  # group keys are never null
+    return exact_median(per_metric(keyed, by), [*by, "metric"], "value")
 
 
 def exact_median(values: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -48,10 +50,11 @@ def exact_median(values: DataFrame, by: list[str], value: str) -> DataFrame:
     band to find the band of the middle ranks, and only that band is ordered.
     A band has at most ``BAND`` different values.
     """
-    # The band is tested here too, so both readers of the counts share one shuffle.
-    band = F.floor(F.col(value) / BAND)
+    # The join below tests the band for null; tested here as well, both readers of
+    # the counts have one plan and share its shuffle.
+    known = F.col(value).isNotNull() & F.floor(F.col(value) / BAND).isNotNull()
     counts = (
-        values.filter(F.col(value).isNotNull() & band.isNotNull())
+        values.filter(known)
         .groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_band", F.floor(F.col("_v") / BAND))
     )
