@@ -15,7 +15,7 @@ from hopmeter.operators.first_match import KEY, first_match, keep_probed
 from hopmeter.operators.latency import probe_facts, stage_latency
 from hopmeter.plans import fixture
 from hopmeter.schemas import stage_topics
-from hopmeter.session import cut, fresh_path, pin_utc
+from hopmeter.session import cut, drop_stage_tables, fresh_path, pin_utc
 from hopmeter.sources.topics import read_topics, write_topics
 
 PROBE = ["probe_id", "cycle_no", "update_no"]
@@ -93,6 +93,14 @@ def open_pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
     return _OPEN[key]
 
 
+def close_pipelines(spark: SparkSession) -> None:
+    """Forget the pipelines of this application and delete their tables."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _OPEN if k[0] == app]:
+        del _OPEN[key]
+    drop_stage_tables(spark)
+
+
 def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage latencies from the topic table on, nothing shared with other queries."""
     shared = open_pipeline(spark, sf_dir)

@@ -13,7 +13,9 @@ from hopmeter.schemas import TOPIC_TABLE
 BROADCAST_ROWS = 100_000
 
 
-def read_topics(spark: SparkSession, path: str, format: str = "parquet", **options: str) -> DataFrame:
+def read_topics(
+    spark: SparkSession, path: str | None = None, format: str = "parquet", **options: str
+) -> DataFrame:
     """Topic table from files, or from Kafka with the options of ``kafka_options``."""
     if format == "kafka":
         kafka = spark.read.format("kafka").options(**options).load()

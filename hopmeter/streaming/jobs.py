@@ -17,7 +17,7 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 def read_stream(
-    spark: SparkSession, path: str, format: str = "parquet", **options: str
+    spark: SparkSession, path: str | None = None, format: str = "parquet", **options: str
 ) -> DataFrame:
     """Topic table as a stream, from its files or from Kafka, earliest record first."""
     if format == "kafka":

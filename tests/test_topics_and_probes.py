@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from hopmeter import session
 from hopmeter.operators import probes
 from hopmeter.schemas import TOPIC_TABLE
 from hopmeter.session import fresh_path, shared_folder
@@ -70,6 +71,16 @@ def test_folder_comes_from_the_session(spark):
         shared_folder(Cluster)
 
 
+def test_own_tables_can_be_dropped(spark, monkeypatch):
+    monkeypatch.setattr(session, "_own_folder", lambda s: f"{shared_folder(s)}/hopmeter/drop-test")
+    kept = fresh_path(spark, "x")
+    frame = session.cut(spark.range(3), "y")
+    assert frame.count() == 3 and kept.startswith(f"{shared_folder(spark)}/hopmeter/drop-test/x-")
+    session.drop_stage_tables(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(frame.inputFiles()[0])
+
+
 def test_grid(spark, rows):
     cycles = spark.range(3).withColumnRenamed("id", "cycle_no")
     grid = probes.probe_grid(cycles, 4, "s", seed=1)
