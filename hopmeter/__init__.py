@@ -1 +1 @@
-"""hopmeter: stage latency of messages in a multi-stage pipeline, as Spark jobs."""
+"""hopmeter: stage latency of messages on their way through several topics, as Spark jobs."""

@@ -12,7 +12,7 @@ from hopmeter.functions.text import minute_stamp
 from hopmeter.operators import decode, latency, probes, report, summary
 from hopmeter.operators.first_match import KEY, keep_probed
 from hopmeter.plans.fixture import events
-from hopmeter.plans.pipeline import PROBE, Pipeline, open_pipeline, whole_run
+from hopmeter.plans.stages import PROBE, StageTables, open_tables, whole_run
 from hopmeter.schemas import CATEGORIES, CREATION_TOPIC, NATIONALITIES, UPDATE_TOPIC
 from hopmeter.session import fresh_path, pin_utc
 from hopmeter.sources import topics as T
@@ -27,9 +27,9 @@ SLICE = (100, 1500)
 _QUERIES: dict[str, Query] = {}
 
 
-def _query(fn: Callable[[Pipeline], DataFrame]) -> Callable[[Pipeline], DataFrame]:
+def _query(fn: Callable[[StageTables], DataFrame]) -> Callable[[StageTables], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(open_pipeline(spark, sf_dir))
+        return fn(open_tables(spark, sf_dir))
 
     _QUERIES[fn.__name__] = run
     return fn
@@ -54,45 +54,45 @@ def _ts_ms():
 
 
 @_query
-def topic_scan(p: Pipeline) -> DataFrame:
+def topic_scan(p: StageTables) -> DataFrame:
     return T.scan(p.topics, [p.source]).select(*_POSITION, _ts_ms(), "value")
 
 
 @_query
-def earliest_scan(p: Pipeline) -> DataFrame:
+def earliest_scan(p: StageTables) -> DataFrame:
     return p.topics.select(*_POSITION, _ts_ms())
 
 
 @_query
-def end_offsets(p: Pipeline) -> DataFrame:
+def end_offsets(p: StageTables) -> DataFrame:
     names = F.array(*[F.lit(t) for t in [*p.stages, CREATION_TOPIC]])
     known = p.topics.select("partition").distinct().select(F.explode(names).alias("topic"), "partition")
     return T.end_offsets(p.topics, known)
 
 
-def _half_way(p: Pipeline) -> DataFrame:
+def _half_way(p: StageTables) -> DataFrame:
     return T.end_offsets(p.topics).select(
         "topic", "partition", F.floor(F.col("end_offset") / 2).alias("base_offset")
     )
 
 
 @_query
-def scan_from_offset(p: Pipeline) -> DataFrame:
+def scan_from_offset(p: StageTables) -> DataFrame:
     return T.scan_from(p.topics, _half_way(p)).select(*_POSITION, _ts_ms())
 
 
 @_query
-def kafka_starting_offsets(p: Pipeline) -> DataFrame:
+def kafka_starting_offsets(p: StageTables) -> DataFrame:
     return T.starting_offsets_json(_half_way(p))
 
 
 @_query
-def baseline_offsets(p: Pipeline) -> DataFrame:
+def baseline_offsets(p: StageTables) -> DataFrame:
     return p.find_marks().select("probe_id", "topic", "partition", "base_offset")
 
 
 @_query
-def raw_json_decode(p: Pipeline) -> DataFrame:
+def raw_json_decode(p: StageTables) -> DataFrame:
     return decode.raw_fields(p.topics, p.source).select(
         "partition", "offset", "id", "lat", "xlong",
         F.element_at("attributes", "category").alias("category"),
@@ -102,7 +102,7 @@ def raw_json_decode(p: Pipeline) -> DataFrame:
 
 
 @_query
-def envelope_decode(p: Pipeline) -> DataFrame:
+def envelope_decode(p: StageTables) -> DataFrame:
     m = F.col("message")
     wrapped = m["entityAttributes"].isNotNull()
     return decode.entity_fields(p.topics, [p.source, UPDATE_TOPIC]).select(
@@ -114,12 +114,12 @@ def envelope_decode(p: Pipeline) -> DataFrame:
 
 
 @_query
-def unified_topic_records(p: Pipeline) -> DataFrame:
+def unified_topic_records(p: StageTables) -> DataFrame:
     return p.read_records()
 
 
 @_query
-def match_predicate(p: Pipeline) -> DataFrame:
+def match_predicate(p: StageTables) -> DataFrame:
     """Every record against the create probe of its cycle (one per id)."""
     creates = p.probes.filter("update_no = 0").select(
         F.col("id").alias("want_id"), F.col("lat").alias("want_lat"), F.col("xlong").alias("want_long")
@@ -130,7 +130,7 @@ def match_predicate(p: Pipeline) -> DataFrame:
 
 
 @_query
-def entity_validate(p: Pipeline) -> DataFrame:
+def entity_validate(p: StageTables) -> DataFrame:
     """Entity records with symbols in and out of the domains, split and put together again."""
     def one_of(symbols: list[str], stranger: str):
         values = F.array(*[F.lit(s) for s in [*symbols, stranger]])
@@ -151,13 +151,13 @@ def entity_validate(p: Pipeline) -> DataFrame:
 
 
 @_query
-def raw_json_encode(p: Pipeline) -> DataFrame:
+def raw_json_encode(p: StageTables) -> DataFrame:
     value = codec.raw_message(F.col("id"), F.col("lat"), F.col("xlong"), p.source, F.col("ms"))
     return p.probes.select("probe_id", value.alias("value"))
 
 
 @_query
-def entity_encode(p: Pipeline) -> DataFrame:
+def entity_encode(p: StageTables) -> DataFrame:
     record = codec.entity_record(F.col("id"), F.col("lat"), F.col("xlong"), p.source)
     return p.probes.select(
         "probe_id",
@@ -167,30 +167,30 @@ def entity_encode(p: Pipeline) -> DataFrame:
 
 
 @_query
-def detection_encode(p: Pipeline) -> DataFrame:
+def detection_encode(p: StageTables) -> DataFrame:
     return p.probes.select("id").distinct().select(
         F.lit(CREATION_TOPIC).alias("topic"),
         codec.detection_message(F.col("id"), p.source).alias("value"),
     )
 
 
-def _cycles(p: Pipeline) -> DataFrame:
+def _cycles(p: StageTables) -> DataFrame:
     customers = p.spark.read.parquet(f"{p.sf_dir}/customer.parquet")
     return customers.select(F.col("c_custkey").alias("cycle_no"))
 
 
 @_query
-def probe_grid(p: Pipeline) -> DataFrame:
+def probe_grid(p: StageTables) -> DataFrame:
     return probes.probe_grid(_cycles(p), GRID_UPDATES, p.source, SEED)
 
 
 @_query
-def two_step_probes(p: Pipeline) -> DataFrame:
+def two_step_probes(p: StageTables) -> DataFrame:
     return probes.two_step_probes(_cycles(p), p.source, SEED)
 
 
 @_query
-def update_ordinal(p: Pipeline) -> DataFrame:
+def update_ordinal(p: StageTables) -> DataFrame:
     numbered = probes.number_updates(
         events(p.spark, p.sf_dir).select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"]
     )
@@ -201,7 +201,7 @@ def update_ordinal(p: Pipeline) -> DataFrame:
 
 
 @_query
-def first_match_asof(p: Pipeline) -> DataFrame:
+def first_match_asof(p: StageTables) -> DataFrame:
     return p.find_hits().filter("offset IS NOT NULL").select(
         "probe_id", "topic", "partition", "base_offset", "offset", "ts_ms"
     )
@@ -216,12 +216,12 @@ _QUERIES["stage_latency_3"] = _run_whole
 
 
 @_query
-def stage_latency_2(p: Pipeline) -> DataFrame:
+def stage_latency_2(p: StageTables) -> DataFrame:
     return latency.stage_latency_2(p.hits, p.source, UPDATE_TOPIC, PROBE)
 
 
 @_query
-def unmatched_probes(p: Pipeline) -> DataFrame:
+def unmatched_probes(p: StageTables) -> DataFrame:
     return latency.unmatched(p.hits).select("probe_id", "cycle_no", "update_no", "missing_topic")
 
 
@@ -229,37 +229,37 @@ def unmatched_probes(p: Pipeline) -> DataFrame:
 
 
 @_query
-def latency_mean(p: Pipeline) -> DataFrame:
+def latency_mean(p: StageTables) -> DataFrame:
     return _rounded(summary.latency_mean(p.latency), "mean")
 
 
 @_query
-def latency_median(p: Pipeline) -> DataFrame:
+def latency_median(p: StageTables) -> DataFrame:
     return summary.latency_median(p.latency)
 
 
 @_query
-def latency_stddev_pop(p: Pipeline) -> DataFrame:
+def latency_stddev_pop(p: StageTables) -> DataFrame:
     return _rounded(summary.latency_stddev(p.latency), "stddev")
 
 
 @_query
-def latency_summary(p: Pipeline) -> DataFrame:
+def latency_summary(p: StageTables) -> DataFrame:
     return _rounded(summary.latency_summary(p.latency), "mean", "stddev")
 
 
 @_query
-def latency_by_phase(p: Pipeline) -> DataFrame:
+def latency_by_phase(p: StageTables) -> DataFrame:
     return _rounded(summary.latency_summary(p.latency, ["phase"]), "mean", "stddev")
 
 
 @_query
-def phase_vectors(p: Pipeline) -> DataFrame:
+def phase_vectors(p: StageTables) -> DataFrame:
     return summary.phase_vectors(p.latency, PROBE)
 
 
 @_query
-def cycle_collect(p: Pipeline) -> DataFrame:
+def cycle_collect(p: StageTables) -> DataFrame:
     fields = ["raw_to_source_ms", "source_to_update_ms"]
     cells = F.transform("probes", lambda x: F.concat_ws(
         ":", x["update_no"], x["raw_to_source_ms"], x["source_to_update_ms"]
@@ -270,7 +270,7 @@ def cycle_collect(p: Pipeline) -> DataFrame:
 
 
 @_query
-def metric_sorted(p: Pipeline) -> DataFrame:
+def metric_sorted(p: StageTables) -> DataFrame:
     return summary.metric_sorted(p.latency, "probe_id")
 
 
@@ -278,7 +278,7 @@ def metric_sorted(p: Pipeline) -> DataFrame:
 
 
 def _std(name: str) -> None:
-    def run(p: Pipeline) -> DataFrame:
+    def run(p: StageTables) -> DataFrame:
         table = summary.std_table(events(p.spark, p.sf_dir), ["event_type"], F.col("value"), [name])
         return _rounded(table, name)
 
@@ -291,7 +291,7 @@ for _name in ["max", "min", "mean", "var", "varp", "stddev", "stddevp", "sum"]:
 
 
 @_query
-def std_slice(p: Pipeline) -> DataFrame:
+def std_slice(p: StageTables) -> DataFrame:
     names = ["max", "min", "mean", "var", "varp", "stddev", "stddevp", "sum"]
     table = summary.std_slice(
         events(p.spark, p.sf_dir), ["event_type"], ["ts", "event_id"], "value", *SLICE, names,
@@ -304,38 +304,38 @@ def std_slice(p: Pipeline) -> DataFrame:
 
 
 @_query
-def latency_csv(p: Pipeline) -> DataFrame:
+def latency_csv(p: StageTables) -> DataFrame:
     return report.latency_csv(p.latency, p.source)
 
 
 @_query
-def latency_csv_all(p: Pipeline) -> DataFrame:
+def latency_csv_all(p: StageTables) -> DataFrame:
     return report.latency_csv(p.latency, p.source, ["phase"])
 
 
 @_query
-def probe_report(p: Pipeline) -> DataFrame:
+def probe_report(p: StageTables) -> DataFrame:
     return report.probe_report(p.facts, p.source)
 
 
 @_query
-def summary_report(p: Pipeline) -> DataFrame:
+def summary_report(p: StageTables) -> DataFrame:
     return report.summary_report(p.latency, p.source)
 
 
 @_query
-def action_report(p: Pipeline) -> DataFrame:
+def action_report(p: StageTables) -> DataFrame:
     complete = p.facts.filter("raw_to_source_ms IS NOT NULL")
     return report.action_report(complete, p.source)
 
 
 @_query
-def action_report_2(p: Pipeline) -> DataFrame:
+def action_report_2(p: StageTables) -> DataFrame:
     return report.action_report(stage_latency_2(p), p.source, stages=2)
 
 
 @_query
-def report_sink(p: Pipeline) -> DataFrame:
+def report_sink(p: StageTables) -> DataFrame:
     last = p.probes.agg(minute_stamp(F.max("start_time")).alias("stamp")).first()["stamp"]
     text = report.full_report(p.facts, p.latency, p.source)
     path = report.write_report(text, fresh_path(p.spark, "report"), last)
@@ -345,17 +345,17 @@ def report_sink(p: Pipeline) -> DataFrame:
 # Streams
 
 
-def _stream_places(p: Pipeline, name: str) -> tuple[str, str]:
+def _stream_places(p: StageTables, name: str) -> tuple[str, str]:
     place = fresh_path(p.spark, name)
     return f"{place}/out", f"{place}/checkpoint"
 
 
-def _record_stream(p: Pipeline) -> DataFrame:
+def _record_stream(p: StageTables) -> DataFrame:
     return decode.unify(jobs.read_stream(p.spark, p.topics_path, maxFilesPerTrigger=FILES_PER_BATCH), p.source)
 
 
 @_query
-def stream_topic_read(p: Pipeline) -> DataFrame:
+def stream_topic_read(p: StageTables) -> DataFrame:
     out, checkpoint = _stream_places(p, "stream-copy")
     stream = jobs.read_stream(p.spark, p.topics_path, maxFilesPerTrigger=FILES_PER_BATCH)
     jobs.copy_topics(stream, out, checkpoint).awaitTermination()
@@ -363,7 +363,7 @@ def stream_topic_read(p: Pipeline) -> DataFrame:
 
 
 @_query
-def stream_sink(p: Pipeline) -> DataFrame:
+def stream_sink(p: StageTables) -> DataFrame:
     out, checkpoint = _stream_places(p, "stream-sink")
     stream = jobs.read_stream(p.spark, p.topics_path, maxFilesPerTrigger=FILES_PER_BATCH)
     jobs.collect_by_topic(stream, out, checkpoint).awaitTermination()
@@ -371,7 +371,7 @@ def stream_sink(p: Pipeline) -> DataFrame:
 
 
 @_query
-def stream_first_match(p: Pipeline) -> DataFrame:
+def stream_first_match(p: StageTables) -> DataFrame:
     out, checkpoint = _stream_places(p, "stream-first")
     cores = p.spark.sparkContext.defaultParallelism
     jobs.first_per_key(_record_stream(p), _half_way(p), out, checkpoint, cores).awaitTermination()
@@ -379,7 +379,7 @@ def stream_first_match(p: Pipeline) -> DataFrame:
 
 
 @_query
-def stream_stage_latency(p: Pipeline) -> DataFrame:
+def stream_stage_latency(p: StageTables) -> DataFrame:
     out, checkpoint = _stream_places(p, "stream-match")
     records = keep_probed(_record_stream(p), p.probes)
     jobs.match_probes(records, p.marks, out, checkpoint).awaitTermination()

@@ -19,10 +19,10 @@ from hopmeter.session import cut, drop_stage_tables, fresh_path, pin_utc
 from hopmeter.sources.topics import read_topics, write_topics
 
 PROBE = ["probe_id", "cycle_no", "update_no"]
-_OPEN: dict[tuple[str, str], "Pipeline"] = {}
+_OPEN: dict[tuple[str, str], "StageTables"] = {}
 
 
-class Pipeline:
+class StageTables:
     """Stage tables are written on first use and shared by the later stages."""
 
     source = fixture.SOURCE
@@ -84,17 +84,17 @@ class Pipeline:
         return cut(probe_facts(self.hits, self.stages, by), "facts")
 
 
-def open_pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
-    """The pipeline of a folder; one per application, so queries share its tables."""
+def open_tables(spark: SparkSession, sf_dir: str) -> StageTables:
+    """The stage tables of a data folder, shared by all queries of the application."""
     pin_utc(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _OPEN:
-        _OPEN[key] = Pipeline(spark, sf_dir)
+        _OPEN[key] = StageTables(spark, sf_dir)
     return _OPEN[key]
 
 
-def close_pipelines(spark: SparkSession) -> None:
-    """Forget the pipelines of this application and delete their tables."""
+def close_tables(spark: SparkSession) -> None:
+    """Forget the stage tables of this application and delete them."""
     app = spark.sparkContext.applicationId
     for key in [k for k in _OPEN if k[0] == app]:
         del _OPEN[key]
@@ -103,7 +103,7 @@ def close_pipelines(spark: SparkSession) -> None:
 
 def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage latencies from the topic table on, nothing shared with other queries."""
-    shared = open_pipeline(spark, sf_dir)
-    alone = Pipeline(spark, sf_dir)
+    shared = open_tables(spark, sf_dir)
+    alone = StageTables(spark, sf_dir)
     alone.probes, alone.topics_path = shared.probes, shared.topics_path
     return stage_latency(alone.find_hits(), alone.stages, PROBE)

@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from hopmeter.plans.pipeline import close_pipelines  # noqa: E402
+from hopmeter.plans.stages import close_tables  # noqa: E402
 from hopmeter.session import build_session  # noqa: E402
 
 
@@ -18,7 +18,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
-    close_pipelines(session)
+    close_tables(session)
     session.stop()
 
 

@@ -35,9 +35,9 @@ def test_second_run_gives_equal_rows(spark):
 
 
 def test_properties_of_latencies(spark):
-    from hopmeter.plans.pipeline import open_pipeline
+    from hopmeter.plans.stages import open_tables
 
-    p = open_pipeline(spark, SF_DIR)
+    p = open_tables(spark, SF_DIR)
     assert p.latency.filter("total_ms <> raw_to_source_ms + source_to_update_ms").count() == 0
     by_phase = {r["phase"]: r["count"] for r in p.latency.groupBy("phase").count().collect()}
     assert sum(by_phase.values()) == p.latency.count()

@@ -1,21 +1,17 @@
 import pytest
-from pyspark.sql import functions as F
 
 from hopmeter.operators import decode, latency
-from hopmeter.operators.first_match import first_match
-from hopmeter.plans.pipeline import PROBE, open_pipeline
+from hopmeter.plans.stages import PROBE, open_tables
 from hopmeter.session import fresh_path
-from hopmeter.sources import topics as T
 from hopmeter.streaming import jobs
 
 SF_DIR = "/root/testdata/sf0.001"
-KEY = ["topic", "partition", "id", "lat", "xlong"]
 RECORD = "topic string, partition int, id string, lat string, xlong string, offset long, ts_ms long"
 
 
 @pytest.fixture(scope="module")
-def pipeline(spark):
-    return open_pipeline(spark, SF_DIR)
+def tables(spark):
+    return open_tables(spark, SF_DIR)
 
 
 def _places(spark):
@@ -27,14 +23,23 @@ def _records(spark, rows):
     return spark.createDataFrame(rows, RECORD)
 
 
-def test_many_small_batches_match_like_one_batch_job(spark, pipeline):
+def test_many_small_batches_match_like_one_batch_job(spark, tables):
     _, out, checkpoint = _places(spark)
-    stream = jobs.read_stream(spark, pipeline.topics_path, maxFilesPerTrigger="3")
-    query = jobs.match_probes(decode.unify(stream, "src"), pipeline.marks, out, checkpoint)
+    stream = jobs.read_stream(spark, tables.topics_path, maxFilesPerTrigger="3")
+    query = jobs.match_probes(decode.unify(stream, "src"), tables.marks, out, checkpoint)
     query.awaitTermination()
     assert query.lastProgress["batchId"] > 1
-    got = latency.stage_latency(jobs.latest_first(spark, out), pipeline.stages, PROBE)
-    assert sorted(got.collect()) == sorted(pipeline.latency.collect())
+    got = latency.stage_latency(jobs.latest_first(spark, out), tables.stages, PROBE)
+    assert sorted(got.collect()) == sorted(tables.latency.collect())
+
+
+def test_a_big_batch_is_matched_against_all_marks(spark, tables, monkeypatch):
+    monkeypatch.setattr(jobs, "BROADCAST_ROWS", 10)
+    _, out, checkpoint = _places(spark)
+    stream = jobs.read_stream(spark, tables.topics_path)
+    jobs.match_probes(decode.unify(stream, "src"), tables.marks, out, checkpoint).awaitTermination()
+    got = latency.stage_latency(jobs.latest_first(spark, out), tables.stages, PROBE)
+    assert sorted(got.collect()) == sorted(tables.latency.collect())
 
 
 def test_stream_goes_on_where_it_stopped(spark):
@@ -72,15 +77,15 @@ def test_first_per_key_takes_the_smallest_offset_over_batches(spark):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
 
 
-def test_copy_and_collect_hold_every_record(spark, pipeline):
+def test_copy_and_collect_hold_every_record(spark, tables):
     for job in (jobs.copy_topics, jobs.collect_by_topic):
         _, out, checkpoint = _places(spark)
-        stream = jobs.read_stream(spark, pipeline.topics_path, maxFilesPerTrigger="4")
+        stream = jobs.read_stream(spark, tables.topics_path, maxFilesPerTrigger="4")
         job(stream, out, checkpoint).awaitTermination()
         job(stream, out, checkpoint).awaitTermination()  # nothing new: nothing doubled
         names = ["topic", "partition", "offset", "value"]
         got = spark.read.parquet(out).select(*names)
-        assert sorted(got.collect()) == sorted(pipeline.topics.select(*names).collect())
+        assert sorted(got.collect()) == sorted(tables.topics.select(*names).collect())
 
 
 def test_repeated_batch_replaces_its_first_try(spark):
