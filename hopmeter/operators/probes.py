@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopmeter import schemas as S
+from hopmeter.functions import codec
 from hopmeter.functions.text import entity_id, number_text
 from hopmeter.operators.ordinal import with_ordinal
 
@@ -67,6 +68,27 @@ def two_step_probes(cycles: DataFrame, source: str, seed: int = 0) -> DataFrame:
     )
 
 
+def raw_messages(probes: DataFrame, source: str) -> DataFrame:
+    """What the probes send in a three-stage run: topic and value."""
+    value = codec.raw_message(F.col("id"), F.col("lat"), F.col("xlong"), source, F.col("ms"))
+    return probes.select(F.lit(S.raw_topic(source)).alias("topic"), value.alias("value"))
+
+
+def entity_messages(probes: DataFrame, source: str) -> DataFrame:
+    """What the probes send in a two-stage run, and a detection per new entity."""
+    record = codec.entity_record(F.col("id"), F.col("lat"), F.col("xlong"), source)
+    sent = probes.select(F.lit(source).alias("topic"), codec.entity_message(record).alias("value"))
+    return detections(probes, source).unionByName(sent)
+
+
+def detections(probes: DataFrame, source: str) -> DataFrame:
+    """One message per entity for the creation topic."""
+    return probes.select("id").distinct().select(
+        F.lit(S.CREATION_TOPIC).alias("topic"),
+        codec.detection_message(F.col("id"), source).alias("value"),
+    )
+
+
 def number_updates(
     events: DataFrame, cycle: str, order: list[str], group_rows: int | None = None
 ) -> DataFrame:

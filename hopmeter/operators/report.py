@@ -5,39 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hopmeter.functions import wording as W
 from hopmeter.functions.text import date_text, number_text
 from hopmeter.operators.latency import METRICS
 from hopmeter.operators.ordinal import with_ordinal
 from hopmeter.operators.summary import CHUNK, latency_summary
 
-# Separator line and file name of the report.
-RULE = "*" * 42
-REPORT_FILE = "enginePeformanceResult_{stamp}.log"
-
 
 def csv_labels(source: str) -> dict[str, str]:
-    """Leading cell of each CSV line."""
-    return {
-        "raw_to_source_ms": f"DiffTime between between <{source}-row-data> and <{source}>",
-        "source_to_update_ms": f"DiffTime between <{source}> and <update>",
-        "total_ms": "Total DiffTime",
-    }
+    return {metric: text.format(source=source) for metric, text in W.CSV_LABELS.items()}
 
 
 def summary_sentences(source: str) -> list[tuple[int, str, str, str]]:
-    """Fixed values: (line, metric, statistic, text before the number)."""
-    hop1 = f"between <{source}-row-data> and <{source}>"
-    hop2 = f"between <{source}> and <update>"
+    """(line, metric, statistic, text before the number)."""
     return [
-        (1, "raw_to_source_ms", "mean", f"The average {hop1} is "),
-        (2, "source_to_update_ms", "mean", f"The average {hop2} is "),
-        (3, "total_ms", "mean", "The average of total is "),
-        (4, "raw_to_source_ms", "median", f"The median {hop1} is "),
-        (5, "source_to_update_ms", "median", f"The median {hop2} is "),
-        (6, "total_ms", "median", "The median of total is "),
-        (7, "raw_to_source_ms", "stddev", f"The standard deviation {hop1} is "),
-        (8, "source_to_update_ms", "stddev", f"The standard deviation  {hop2} is "),
-        (9, "total_ms", "stddev", "The standard deviation  of total is "),
+        (no, metric, statistic, text.format(source=source))
+        for no, (metric, statistic, text) in enumerate(W.SUMMARY, start=1)
     ]
 
 
@@ -76,13 +59,9 @@ def latency_csv(
     )
 
 
-def _offset_lines(prefix: str) -> list[Column]:
-    return [
-        F.concat(F.lit(f"{prefix}{label}: "), F.col(c).cast("string"))
-        for label, c in [
-            ("ForRawData", "raw_base"), ("ForSource", "source_base"), ("ForUpdate", "update_base"),
-        ]
-    ]
+def _line(label: str, value: Column | str, end: str = "") -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    return F.concat(F.lit(label), value.cast("string"), F.lit(end))
 
 
 def probe_report(probes: DataFrame, source: str) -> DataFrame:
@@ -91,32 +70,24 @@ def probe_report(probes: DataFrame, source: str) -> DataFrame:
     ``probes``: start_time, cycle_no, update_no, id, lat, xlong, the three base
     offsets and the two hops (null for a probe without a full match).
     """
-    def line(label: str, value: Column) -> Column:
-        return F.concat(F.lit(label), value.cast("string"))
-
     always = F.concat_ws(
         "\n",
-        F.lit(RULE),
-        line("StartTime: ", date_text(F.col("start_time"))),
-        line("Cycle NO: ", F.col("cycle_no")),
-        line("Update NO: ", F.col("update_no")),
-        line("externalSystemID: ", F.col("id")),
-        line("lat: ", F.col("lat")),
-        line("longX: ", F.col("xlong")),
+        F.lit(W.RULE),
+        _line(W.START_TIME, date_text(F.col("start_time"))),
+        _line(W.CYCLE_NO, "cycle_no"),
+        _line(W.UPDATE_NO, "update_no"),
+        _line(W.ENTITY_ID, "id"),
+        _line(W.LAT, "lat"),
+        _line(W.LONG, "xlong"),
         F.lit(""),
     )
-    took = "The action between topics  <{}> and <{}> took "
     measured = F.concat_ws(
         "\n",
-        *_offset_lines("lastOffset"),
-        F.concat(
-            F.lit(took.format(f"{source}-row-data", source)),
-            F.col("raw_to_source_ms").cast("string"), F.lit(" millisec"),
-        ),
-        F.concat(
-            F.lit(took.format(source, "update")),
-            F.col("source_to_update_ms").cast("string"), F.lit(" millisec"),
-        ),
+        _line(W.RAW_OFFSET, "raw_base"),
+        _line(W.SOURCE_OFFSET, "source_base"),
+        _line(W.UPDATE_OFFSET, "update_base"),
+        _line(W.PROBE_HOP_1.format(source=source), "raw_to_source_ms", W.MILLISEC),
+        _line(W.PROBE_HOP_2.format(source=source), "source_to_update_ms", W.MILLISEC),
         F.lit(""), F.lit(""),
     )
     guard = F.col("raw_to_source_ms") > 0
@@ -129,30 +100,20 @@ def probe_report(probes: DataFrame, source: str) -> DataFrame:
 def action_report(probes: DataFrame, source: str, stages: int = 3) -> DataFrame:
     """Sentences per create or update action, with the base offsets for three stages."""
     create = F.col("update_no") == 0
-    action = F.when(create, F.lit("create")).otherwise(F.lit("update"))
-
-    def took(start: str, end: str, hop: str) -> Column:
-        return F.concat(
-            F.lit("The "), action, F.lit(f" action between topics  <{start}> and <{end}> took "),
-            F.col(hop).cast("string"), F.lit(" millisec\n"),
-        )
-
-    second = took(source, "update", "source_to_update_ms")
+    start = F.when(create, F.lit("The create")).otherwise(F.lit("The update"))
+    end = W.MILLISEC + "\n"
+    second = F.concat(start, _line(W.ACTION_HOP_2.format(source=source), "source_to_update_ms", end))
     if stages == 2:
         text = second
     else:
-        title = F.when(create, F.lit("Create a new entity\n===================\n")).otherwise(
-            F.lit("Update the entity\n=================\n")
-        )
-        offsets = F.concat(
-            F.lit("The current offset before produce the message are \n"),
-            F.lit(f"{source}-raw-data : "), F.col("raw_base").cast("string"), F.lit("\n"),
-            F.lit(f"{source} :"), F.col("source_base").cast("string"), F.lit("\n"),
-            F.lit("update :"), F.col("update_base").cast("string"), F.lit("\n"),
-        )
         text = F.concat(
-            title, offsets,
-            took(f"{source}-row-data", source, "raw_to_source_ms"), second,
+            F.when(create, F.lit(W.CREATE_TITLE)).otherwise(F.lit(W.UPDATE_TITLE)),
+            F.lit(W.OFFSETS_TITLE),
+            _line(W.OFFSETS_RAW.format(source=source), "raw_base", "\n"),
+            _line(W.OFFSETS_SOURCE.format(source=source), "source_base", "\n"),
+            _line(W.OFFSETS_UPDATE, "update_base", "\n"),
+            start, _line(W.ACTION_HOP_1.format(source=source), "raw_to_source_ms", end),
+            second,
             F.when(create, F.lit("\n")).otherwise(""),
         )
     return probes.select("cycle_no", "update_no", text.alias("text"))
@@ -200,8 +161,8 @@ def full_report(
     )
     headings = spark.createDataFrame(
         [
-            (2, 0, 0, ""), (4, 0, 0, "Export to CSV "), (5, 0, 0, "CREATE"), (7, 0, 0, ""),
-            (8, 0, 0, "UPDATE"), (10, 0, 0, ""), (11, 0, 0, ""),
+            (2, 0, 0, ""), (4, 0, 0, W.CSV_HEADING), (5, 0, 0, W.CREATE_HEADING), (7, 0, 0, ""),
+            (8, 0, 0, W.UPDATE_HEADING), (10, 0, 0, ""), (11, 0, 0, ""),
         ],
         "part int, a long, b long, text string",
     )
@@ -210,6 +171,6 @@ def full_report(
 
 def write_report(report: DataFrame, folder: str, stamp: str) -> str:
     """Write the ordered report under its minute stamp; a second run in that minute replaces it."""
-    path = f"{folder}/{REPORT_FILE.format(stamp=stamp)}"
+    path = f"{folder}/{W.REPORT_FILE.format(stamp=stamp)}"
     report.orderBy("part", "a", "b").select("text").write.mode("overwrite").text(path)
     return path

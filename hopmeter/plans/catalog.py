@@ -168,10 +168,7 @@ def entity_encode(p: StageTables) -> DataFrame:
 
 @_query
 def detection_encode(p: StageTables) -> DataFrame:
-    return p.probes.select("id").distinct().select(
-        F.lit(CREATION_TOPIC).alias("topic"),
-        codec.detection_message(F.col("id"), p.source).alias("value"),
-    )
+    return probes.detections(p.probes, p.source)
 
 
 def _cycles(p: StageTables) -> DataFrame:

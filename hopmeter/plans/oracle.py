@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from hopmeter.operators.report import RULE, csv_labels, summary_sentences
+from hopmeter.functions.wording import RULE
+from hopmeter.operators.report import csv_labels, summary_sentences
 from hopmeter.operators.summary import CHUNK
 from hopmeter.plans.catalog import GRID_UPDATES, SEED, SLICE
 

@@ -114,3 +114,12 @@ def test_two_steps(spark, rows):
     assert rows(got, "cycle_no", "update_no", "action", "lat", "xlong") == [
         (c, n, a, lat, lon) for c in range(2)
         for n, a, lat, lon in [(0, "create", "44.9", "95.8"), (1, "update", "34.66", "48.66")]]
+
+
+def test_messages_of_probes(spark, rows):
+    sent = probes.two_step_probes(spark.range(2).withColumnRenamed("id", "cycle_no"), "s").withColumn("ms", F.lit(5))
+    raw = probes.raw_messages(sent, "s")
+    assert {r["topic"] for r in raw.collect()} == {"s-raw-data"} and raw.count() == 4
+    assert json.loads(raw.first()["value"])["timestamp"] == "5"
+    per_topic = probes.entity_messages(sent, "s").groupBy("topic").count()
+    assert rows(per_topic) == [("creation", 2), ("s", 4)]
