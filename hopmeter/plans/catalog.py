@@ -126,7 +126,7 @@ def match_predicate(p: StageTables) -> DataFrame:
     )
     c = F.col
     matches = codec.same_key(c("id"), c("lat"), c("xlong"), c("want_id"), c("want_lat"), c("want_long"))
-    return p.records.join(creates, c("id") == c("want_id")).select(*_POSITION, matches.alias("matches"))
+    return p.read_records().join(creates, c("id") == c("want_id")).select(*_POSITION, matches.alias("matches"))
 
 
 @_query

@@ -1,6 +1,6 @@
 """The stages of the analysis over one data folder, each a written table.
 
-topics -> records (one normal form) -> marks (base offsets) -> hits -> latency, facts
+topics -> marks (base offsets), wanted (decoded records) -> hits -> latency, facts
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hopmeter.operators.baseline import baseline_offsets
 from hopmeter.operators.decode import unify
@@ -16,7 +17,7 @@ from hopmeter.operators.latency import probe_facts, stage_latency
 from hopmeter.plans import fixture
 from hopmeter.schemas import stage_topics
 from hopmeter.session import cut, drop_stage_tables, fresh_path, pin_utc
-from hopmeter.sources.topics import read_topics, write_topics
+from hopmeter.sources.topics import read_topics, since, write_topics
 
 PROBE = ["probe_id", "cycle_no", "update_no"]
 _OPEN: dict[tuple[str, str], "StageTables"] = {}
@@ -52,13 +53,13 @@ class StageTables:
     def read_records(self) -> DataFrame:
         return unify(self.topics, self.source)
 
-    @cached_property
-    def records(self) -> DataFrame:
-        return cut(self.read_records(), "records")
-
     def find_marks(self) -> DataFrame:
+        """Base offsets need positions only: no value is read for them."""
+        positions = self.topics.select(
+            "topic", "partition", "offset", F.unix_millis("timestamp").alias("ts_ms")
+        )
         asked = self.probes.select(*PROBE, "start_time", "id", "lat", "xlong", "partition", "ms")
-        return baseline_offsets(self.records, asked, self.stages).select(
+        return baseline_offsets(positions, asked, self.stages).select(
             *PROBE, "start_time", *KEY, "base_offset"
         )
 
@@ -66,8 +67,17 @@ class StageTables:
     def marks(self) -> DataFrame:
         return cut(self.find_marks(), "marks")
 
+    def find_wanted(self) -> DataFrame:
+        """Decoded records that a probe may match: none is older than the first probe."""
+        first = self.probes.agg(F.min("ms")).first()[0]
+        return keep_probed(unify(since(self.topics, first), self.source), self.probes)
+
+    @cached_property
+    def wanted(self) -> DataFrame:
+        return cut(self.find_wanted(), "wanted")
+
     def find_hits(self) -> DataFrame:
-        return first_match(keep_probed(self.records, self.probes), self.marks)
+        return first_match(self.wanted, self.marks)
 
     @cached_property
     def hits(self) -> DataFrame:

@@ -107,6 +107,17 @@ def scan_from(topics: DataFrame, bounds: DataFrame) -> DataFrame:
     )
 
 
+def since(topics: DataFrame, ms: int | None) -> DataFrame:
+    """Records from a moment on; the bound reaches the scan and skips older row groups.
+
+    A base offset lies behind every record older than its probe, so records from
+    before the first probe can be left unread when looking for first hits.
+    """
+    if ms is None:
+        return topics.filter("false")
+    return topics.filter(F.col("timestamp") >= F.timestamp_millis(F.lit(ms)))
+
+
 def write_topics(topics: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write a topic table in a topic=/partition= layout, each file in offset order.
 

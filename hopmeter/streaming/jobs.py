@@ -80,20 +80,29 @@ def collect_by_topic(
 
 def first_per_key(
     records: DataFrame, bounds: DataFrame, out: str, checkpoint: str,
-    state_partitions: int | None = None, every: str | None = None,
+    state_partitions: int | None = None, forget_after: str | None = None, every: str | None = None,
 ) -> StreamingQuery:
     """Smallest offset per topic and key, at or after the topic partition's bound.
 
     A streaming minimum: combined inside each task before the shuffle, so a hot
-    key costs one row per task and batch. The state has one row per key and lives
-    in RocksDB, in ``state_partitions`` parts (a stream keeps their number for
-    life). Arrival order inside a batch is not offset order, therefore a key is
-    written again whenever a smaller offset turns up; ``latest_first`` reads the
-    final one.
+    key costs one row per task and batch. The state lives in RocksDB, in
+    ``state_partitions`` parts (a stream keeps their number for life). Arrival
+    order inside a batch is not offset order, therefore a key is written again
+    whenever a smaller offset turns up; ``latest_first`` reads the final one.
+
+    Without ``forget_after`` the state keeps every key and no record is ever too
+    late. With it ("2 hours") minima are kept per key and time span: spans behind
+    the watermark leave the state, and only records later than that are lost,
+    since reading takes the minimum over spans.
     """
+    keys = [F.col(c) for c in KEY]
+    if forget_after:
+        records = records.withColumn("_time", F.timestamp_millis("ts_ms"))
+        records = records.withWatermark("_time", forget_after)
+        keys.append(F.window("_time", forget_after).alias("_span"))
     firsts = (
         scan_from(records, bounds)
-        .groupBy(*KEY).agg(F.min(F.struct("offset", "ts_ms")).alias("hit"))
+        .groupBy(*keys).agg(F.min(F.struct("offset", "ts_ms")).alias("hit"))
         .select(*KEY, "hit.offset", "hit.ts_ms")
     )
 

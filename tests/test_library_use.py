@@ -12,7 +12,7 @@ from hopmeter.operators.latency import stage_latency, unmatched
 from hopmeter.operators.summary import latency_summary
 from hopmeter.schemas import stage_topics
 from hopmeter.session import cut, fresh_path
-from hopmeter.sources.topics import read_topics, write_topics
+from hopmeter.sources.topics import read_topics, since, write_topics
 
 PROBE = ["probe_id", "cycle_no", "update_no"]
 
@@ -65,15 +65,17 @@ def test_standing_entity_probed_again_and_again(spark):
     path = fresh_path(spark, "library-use")
     write_topics(topics, path)
 
-    records = cut(unify(read_topics(spark, path), "src"), "records")
+    topics = read_topics(spark, path)
+    positions = topics.select("topic", "partition", "offset", F.unix_millis("timestamp").alias("ts_ms"))
     asked = spark.createDataFrame(
         [(n, 0, n, *key, 0, ms) for n, key, ms in probes],
         "probe_id int, cycle_no int, update_no int, id string, lat string, xlong string, partition int, ms long",
     )
-    marks = cut(baseline_offsets(records, asked, stage_topics("src")).drop("ms"), "marks")
+    marks = cut(baseline_offsets(positions, asked, stage_topics("src")).drop("ms"), "marks")
+    wanted = cut(keep_probed(unify(since(topics, probes[0][2]), "src"), asked), "wanted")
     want, lost = _brute(log, probes)
     for limit in (1_000_000, 30):
-        hits = first_match(keep_probed(records, asked), marks, group_rows=limit, bucket_offsets=50)
+        hits = first_match(wanted, marks, group_rows=limit, bucket_offsets=50)
         latency = stage_latency(hits, stage_topics("src"), PROBE)
         got = latency.select("probe_id", "raw_to_source_ms", "source_to_update_ms").collect()
         assert sorted(tuple(r) for r in got) == want

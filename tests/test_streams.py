@@ -77,6 +77,21 @@ def test_first_per_key_takes_the_smallest_offset_over_batches(spark):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
 
 
+def test_old_keys_leave_the_state_and_stay_in_the_result(spark):
+    source, out, checkpoint = _places(spark)
+    day = 86_400_000
+    bounds = spark.createDataFrame([("src", 0, 0)], "topic string, partition int, base_offset long")
+    for n, (id, offset) in enumerate([("e", 5), ("e", 9), ("f", 12), ("g", 14)]):
+        row = ("src", 0, id, "4.3", "6.4", offset, n * 10 * day)
+        _records(spark, [row]).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(RECORD).parquet(source)
+        query = jobs.first_per_key(stream, bounds, out, checkpoint, 1, "1 day")
+        query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 4
+    got = {r["id"]: r["offset"] for r in jobs.latest_first(spark, out).collect()}
+    assert got == {"e": 5, "f": 12, "g": 14}
+
+
 def test_copy_and_collect_hold_every_record(spark, tables):
     for job in (jobs.copy_topics, jobs.collect_by_topic):
         _, out, checkpoint = _places(spark)

@@ -50,6 +50,16 @@ def test_written_table_reads_back_and_prunes(spark, table):
         T.write_topics(table, path)
 
 
+def test_since_reaches_the_scan(spark, table):
+    path = fresh_path(spark, "test-since")
+    T.write_topics(table, path)
+    recent = T.since(T.read_topics(spark, path), 3000)
+    assert sorted(r["offset"] for r in recent.collect()) == [3, 4, 7, 8]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(timestamp,1970-01-01" in plan
+    assert T.since(table, None).count() == 0
+
+
 def test_at_most(spark):
     assert T.at_most(spark.range(5), 5) and not T.at_most(spark.range(6), 5)
 
