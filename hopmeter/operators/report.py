@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ def summary_sentences(source: str) -> list[tuple[int, str, str, str]]:
 def latency_csv(
     latency: DataFrame,
     source: str,
-    group_cols: list[str] = ["cycle_no", "phase"],
-    order: list[str] = ["cycle_no", "update_no"],
+    group_cols: Sequence[str] = ("cycle_no", "phase"),
+    order: Sequence[str] = ("cycle_no", "update_no"),
     chunk: int = CHUNK,
     group_rows: int | None = None,
 ) -> DataFrame:
@@ -40,7 +42,7 @@ def latency_csv(
     """
     placed = with_ordinal(
         latency.select(*dict.fromkeys([*group_cols, *order, *METRICS])),
-        group_cols, order, "_position", group_rows,
+        list(group_cols), list(order), "_position", group_rows,
     )
     pieces = placed.groupBy(*group_cols, F.floor(F.col("_position") / chunk).alias("chunk_no")).agg(*[
         F.array_join(

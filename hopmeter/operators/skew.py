@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Up to this many rows a group may go through one window task, unless the session
-# sets another number.
-GROUP_ROWS = 1_000_000
+# sets another number. A window sorts and spills, so this is a matter of minutes,
+# not of memory.
+GROUP_ROWS = 10_000_000
 GROUP_ROWS_SETTING = "spark.hopmeter.groupRows"
 # Groups are counted per hash slot, so the count table has at most this many rows.
+# Up to about 10^12 rows the mean slot stays below a tenth of the limit above, so
+# slots do not look hot just because the table is big.
 SLOTS = 1 << 20
 
 
@@ -25,8 +28,8 @@ def split_hot(
     Counting hash slots instead of keys shrinks to ``SLOTS`` rows on the map
     side, however many keys there are. A slot holds whole groups, so one under
     the limit has only groups under the limit; an ordinary group sharing a hot
-    slot is merely treated as hot. The slot list is broadcast: its size is at
-    most ``SLOTS`` integers by construction.
+    slot is merely treated as hot. The list of hot slots is broadcast: it has at
+    most ``SLOTS`` integers by construction, and is empty most of the time.
     """
     if group_rows is None:
         group_rows = int(df.sparkSession.conf.get(GROUP_ROWS_SETTING, str(GROUP_ROWS)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,32 +16,32 @@ BAND = 1 << 14
 CHUNK = 10_000
 
 
-def per_metric(df: DataFrame, keep: list[str], name: str = "value") -> DataFrame:
+def per_metric(df: DataFrame, keep: Sequence[str], name: str = "value") -> DataFrame:
     """Long form: one row per metric."""
     cells = [F.struct(F.lit(m).alias("metric"), F.col(m).alias(name)) for m in METRICS]
     return df.select(*keep, F.inline(F.array(*cells)))
 
 
-def _aggregate(latency: DataFrame, by: list[str], make, name: str) -> DataFrame:
+def _aggregate(latency: DataFrame, by: Sequence[str], make: Callable[[Column], Column], name: str) -> DataFrame:
     """One pass over the wide rows, then one output row per metric and group."""
     wide = latency.groupBy(*by).agg(*[make(F.col(m)).alias(m) for m in METRICS])
-    return wide.unpivot(by, METRICS, "metric", name)
+    return wide.unpivot(list(by), METRICS, "metric", name)
 
 
-def latency_mean(latency: DataFrame, by: list[str] = []) -> DataFrame:
+def latency_mean(latency: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return _aggregate(latency, by, F.avg, "mean")
 
 
-def latency_stddev(latency: DataFrame, by: list[str] = []) -> DataFrame:
+def latency_stddev(latency: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Population standard deviation."""
     return _aggregate(latency, by, F.stddev_pop, "stddev")
 
 
-def latency_median(latency: DataFrame, by: list[str] = [], approx: bool = False) -> DataFrame:
+def latency_median(latency: DataFrame, by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """Middle value, or the mean of the two middle ones; ``approx`` trades that for one pass."""
     if approx:
         return _aggregate(latency, by, lambda x: F.percentile_approx(x, 0.5).cast("double"), "median")
-    keyed = latency.dropna(subset=by) if by else latency  # group keys are never null
+    keyed = latency.dropna(subset=list(by)) if by else latency  # group keys are never null
     return exact_median(per_metric(keyed, by), [*by, "metric"], "value")
 
 
@@ -88,14 +90,14 @@ def exact_median(values: DataFrame, by: list[str], value: str) -> DataFrame:
     return ranked.groupBy(*by).agg(((at_rank("_low") + at_rank("_high")) / 2.0).alias("median"))
 
 
-def latency_summary(latency: DataFrame, by: list[str] = []) -> DataFrame:
+def latency_summary(latency: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, median and population deviation of every metric, per group."""
     moments_of = {"n": F.count, "mean": F.avg, "stddev": F.stddev_pop}
     wide = latency.groupBy(*by).agg(*[
         F.struct(*[make(F.col(m)).alias(n) for n, make in moments_of.items()]).alias(m)
         for m in METRICS
     ])
-    long = wide.unpivot(by, METRICS, "metric", "_s").select(*by, "metric", "_s.*")
+    long = wide.unpivot(list(by), METRICS, "metric", "_s").select(*by, "metric", "_s.*")
     return long.join(latency_median(latency, by), [*by, "metric"], "left").select(
         *by, "metric", "n", "mean", "median", "stddev"
     )
