@@ -4,6 +4,7 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as contract
+from hopmeter.plans import catalog, oracle
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,10 +15,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.queries()) == set(oracle.oracle_sql())
+    assert set(catalog.queries()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_sql(spark, con, name):
     df = contract.queries()[name](spark, SF_DIR)
     assert differences(df, con, contract.oracle_sql()[name]) is None
