@@ -58,10 +58,11 @@ class ByteNet:
     @classmethod
     def fresh(cls, langs: list[str], rng: np.random.Generator, d: int = 8, f: int = 16) -> ByteNet:
         return cls(
-            langs, rng.normal(0, 0.5, (256, d)),
-            [rng.normal(0, (2 / (w * d)) ** 0.5, (w * d, f)) for w in WIDTHS],
-            np.zeros(f * len(WIDTHS)), rng.normal(0, 0.1, (f * len(WIDTHS), len(langs))),
-            np.zeros(len(langs)),
+            langs, rng.normal(0, 0.5, (256, d)).astype(np.float32),
+            [rng.normal(0, (2 / (w * d)) ** 0.5, (w * d, f)).astype(np.float32) for w in WIDTHS],
+            np.zeros(f * len(WIDTHS), np.float32),
+            rng.normal(0, 0.1, (f * len(WIDTHS), len(langs))).astype(np.float32),
+            np.zeros(len(langs), np.float32),
         )
 
     def parameters(self) -> list[np.ndarray]:
@@ -98,44 +99,52 @@ class ByteNet:
             g_filters.append(gk)
         return [g_embed, *g_filters, gz.sum(axis=0), h.T @ p, p.sum(axis=0)]
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Responses of all filters to the pair at a position and to the pair two bytes on."""
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Responses by pair of bytes: width 2; widths 3 and 4, first pair; the same, two bytes on."""
         d = self.embed.shape[1]
-        one = [[self.embed @ k[j * d : (j + 1) * d] for j in range(w)] for w, k in zip(WIDTHS, self.filters)]
+        (a0, a1), (b0, b1, b2), (c0, c1, c2, c3) = (
+            [self.embed @ k[j * d : (j + 1) * d] for j in range(w)] for w, k in zip(WIDTHS, self.filters)
+        )
 
-        def pair(left: np.ndarray | None, right: np.ndarray | None) -> np.ndarray:
-            zero = np.zeros_like(one[0][0])
-            a, b = (zero if left is None else left), (zero if right is None else right)
-            return (a[:, None] + b[None]).reshape(65536, -1)
+        def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            return (left[:, None] + right[None]).reshape(65536, -1)
 
-        first = np.concatenate([pair(o[0], o[1]) for o in one], axis=1)
-        second = np.concatenate([pair(one[1][2], None), pair(one[2][2], one[2][3])], axis=1)
-        return first.astype(np.float32), second.astype(np.float32)
+        first = np.concatenate([pair(b0, b1), pair(c0, c1)], axis=1)
+        second = np.concatenate([pair(b2, np.zeros_like(b2)), pair(c2, c3)], axis=1)
+        return tuple(t.astype(np.float32) for t in (pair(a0, a1), first, second))
 
 
 class Predictor:
+    STEP = 32
+
     def __init__(self, net: ByteNet):
-        self.net, (self.first, self.second) = net, net.tables()
-        self.f = net.filters[0].shape[1]
+        self.net, (self.two, self.first, self.second) = net, net.tables()
+        f, n = self.two.shape[1], (WINDOW - 1) * self.STEP
+        self.room = [np.empty((n, f), np.float32), np.empty((n, 2 * f), np.float32), np.empty((n, 2 * f), np.float32)]
 
     def windows(self, windows: np.ndarray) -> np.ndarray:
         """Probabilities of each window."""
-        out, f = np.empty((len(windows), len(self.net.langs))), self.f
-        for at in range(0, len(windows), 64):
-            part = windows[at : at + 64].astype(np.int32)
-            pairs = part[:, :-1] * 256 + part[:, 1:]
-            a, b = self.first[pairs], self.second[pairs[:, 2:]]
-            # A width has WINDOW - width + 1 places; pairs two bytes on end earlier.
-            two = a[:, :, :f].max(axis=1)
-            three = np.maximum(
-                (a[:, :-2, f : 2 * f] + b[:, :, :f]).max(axis=1),
-                a[:, -2, f : 2 * f] + self.second[part[:, -1] * 256, :f],
+        out, f = np.empty((len(windows), len(self.net.langs))), self.two.shape[1]
+        for at in range(0, len(windows), self.STEP):
+            part = windows[at : at + self.STEP].T.astype(np.intp)
+            n = part.shape[1]
+            pairs = (part[:-1] * 256 + part[1:]).ravel()
+            a, b, c = (
+                np.take(t, i, axis=0, out=r[: len(i)], mode="clip")
+                for t, i, r in zip(
+                    (self.two, self.first, self.second), (pairs, pairs[: -2 * n], pairs[2 * n :]), self.room
+                )
             )
-            four = (a[:, :-2, 2 * f :] + b[:, :, f:]).max(axis=1)
-            h = np.maximum(np.concatenate([two, three, four], axis=1) + self.net.bias, 0)
+            b += c
+            two = a.reshape(-1, n * f).max(axis=0).reshape(n, f)
+            more = b.reshape(-1, n * 2 * f).max(axis=0).reshape(n, 2 * f)
+            # Width 3 has one place more than the pairs two bytes apart give.
+            last = self.first[pairs[-2 * n : -n], :f] + self.second[part[-1] * 256, :f]
+            np.maximum(more[:, :f], last, out=more[:, :f])
+            h = np.maximum(np.concatenate([two, more], axis=1) + self.net.bias, 0)
             logits = h @ self.net.dense + self.net.offset
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            out[at : at + 64] = p / p.sum(axis=1, keepdims=True)
+            out[at : at + n] = p / p.sum(axis=1, keepdims=True)
         return out
 
     def texts(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -159,14 +168,14 @@ class Predictor:
         ]
 
 
-def fit(windows: np.ndarray, langs: list[str], epochs: int = 12, batch: int = 64, seed: int = 7) -> ByteNet | None:
+def fit(windows: np.ndarray, langs: list[str], epochs: int = 5, batch: int = 64, seed: int = 7) -> ByteNet | None:
     """A network for the given windows and their languages; rare languages weigh more."""
     if not langs:
         return None
     names = sorted(set(langs))
     target = np.searchsorted(names, langs)
     share = np.bincount(target) / len(langs)
-    weight = np.minimum(1 / (len(names) * share), 10)[target]
+    weight = np.minimum(1 / (len(names) * share), 10)[target].astype(np.float32)
     rng = np.random.default_rng(seed)
     net = ByteNet.fresh(names, rng)
     params = net.parameters()
