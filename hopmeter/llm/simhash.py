@@ -205,7 +205,9 @@ def classes(slim: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_links), one row per row of ``docs``."""
     slim = cut(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")), "doc-fingerprints")
-    found = classes(slim.withColumn("row", F.lit(0).cast("bigint")))
+    # Written, so that the join below has nothing but its own two exchanges and a
+    # fingerprint with very many documents can be split.
+    found = cut(classes(slim.withColumn("row", F.lit(0).cast("bigint"))), "fp-classes")
     return slim.join(found, "fp").select(
         "doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id", "n_links"
     )
