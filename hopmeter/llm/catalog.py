@@ -7,14 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopmeter.llm import decontam, langid, licenses, pii, quality, simhash
+from hopmeter.llm import decontam, langid, licenses, pii, quality, shards, simhash, urlrules
 from hopmeter.llm.common import documents
 
 
+# The rules of the query.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(documents(spark, sf_dir))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, item) pair of which the document holds the item."""
     return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -41,5 +60,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+URL_SQL = r"""
+WITH cut AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+fit AS (
+  SELECT *, host = 'com' OR host LIKE '%.com' AS com, host = 'net' OR host LIKE '%.net' AS net,
+         host = 'example.com' OR host LIKE '%.example.com' AS ex,
+         host = 'www.example.com' OR host LIKE '%.www.example.com' AS www
+  FROM cut),
+ruled AS (
+  SELECT *, CASE WHEN www AND path LIKE '/en/%' THEN 'www.example.com/en/'
+                 WHEN ex AND path LIKE '/en/%' THEN 'example.com/en/'
+                 WHEN net AND path LIKE '/es/%' THEN 'net/es/'
+                 WHEN net AND path LIKE '/fr/%' THEN 'net/fr/'
+                 WHEN com AND path LIKE '/%' THEN 'com/' END AS rule
+  FROM fit)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where SQL can express the operator: no checksum, model or automaton is among its functions."""
+    return {"op1_url_filter": URL_SQL}
