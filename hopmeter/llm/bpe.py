@@ -240,6 +240,21 @@ def digests(text: Column, path: str | None = None, pattern: str | None = None) -
     return _with_codec(DIGEST, use, path, pattern)(text)
 
 
+def encoded(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
+    """Struct (ids, decoded_sha256) of a whole text; the checksum is that of the ids decoded again."""
+    def use(codec: Codec) -> Callable:
+        def run(texts: pa.Array) -> pa.Array:
+            ids = codec.encode_all([t.as_py() for t in texts])
+            sums = [hashlib.sha256(codec.decode(i)).hexdigest() for i in ids]
+            return pa.StructArray.from_arrays(
+                [pa.array(ids, pa.list_(pa.int32())), pa.array(sums, pa.string())], ["ids", "decoded_sha256"]
+            )
+
+        return run
+
+    return _with_codec("struct<ids:array<int>,decoded_sha256:string>", use, path, pattern)(text)
+
+
 # -- the same fold in higher-order functions ------------------------------------------
 
 

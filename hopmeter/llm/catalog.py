@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopmeter.llm import bpe, decontam, langid, licenses, pii, quality, shards, simhash, urlrules
+from hopmeter.llm import bpe, decontam, langid, licenses, lm, pii, quality, shards, simhash, urlrules
 from hopmeter.llm.common import documents
 
 
@@ -43,6 +43,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.digests(F.col("text")).alias("found")
     return documents(spark, sf_dir).select("doc_id", found).select("doc_id", "found.*")
