@@ -31,6 +31,9 @@ OFFSETS_UPDATE = "update :"
 ACTION_HOP_1 = " action between topics  <{source}-row-data> and <{source}> took "
 ACTION_HOP_2 = " action between topics  <{source}> and <update> took "
 
+# The same sentence in the mode of two topics.
+ACTION_TOOK = " took "
+
 # Summary sentences in order: (metric, statistic, text before the number).
 SUMMARY = [
     ("raw_to_source_ms", "mean", "The average between <{source}-row-data> and <{source}> is "),

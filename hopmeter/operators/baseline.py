@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopmeter.sources.topics import BROADCAST_ROWS, at_most
-
 # Width of a time bucket. Inside one there are at most this many distinct
 # milliseconds, which bounds the rows of a window group; ten years are about
 # five million buckets per partition, which bounds the second level.
@@ -19,7 +17,8 @@ def baseline_offsets(
     """Probes x topics with ``base_offset``, the end offset before the probe's ``ms``.
 
     ``records``: topic, partition, offset, ts_ms. ``probes``: partition, ms and
-    any other columns, all kept.
+    any other columns, all kept. A probe without partition or ``ms`` keeps its rows,
+    with a null base offset.
 
     A running maximum over a topic partition would put a hot partition into one
     task. It is a maximum, so it can be taken in levels instead: over whole time
@@ -31,7 +30,7 @@ def baseline_offsets(
     records = records.filter(F.col("topic").isin(topics)).select(
         "topic", "partition", "offset", F.col("ts_ms").alias("ms")
     ).select("*", bucket)
-    asked = probes.select("partition", "ms").distinct().select("*", bucket)
+    asked = probes.select("partition", "ms").dropna().distinct().select("*", bucket)
     asked_buckets = asked.select("partition", "bucket").distinct()
 
     def end_per_topic() -> list[Column]:
@@ -59,9 +58,7 @@ def baseline_offsets(
 
     # Earlier milliseconds of the same bucket, where probes ask for them. A record
     # at the probe's own millisecond counts as later (kind 0 sorts first).
-    detail = records
-    if at_most(asked_buckets, BROADCAST_ROWS):
-        detail = records.join(F.broadcast(asked_buckets), ["partition", "bucket"], "left_semi")
+    detail = records.join(asked_buckets, ["partition", "bucket"], "left_semi")
     marks = (
         detail.groupBy("partition", "bucket", "ms").agg(*end_per_topic())
         .withColumn("kind", F.lit(1))
@@ -84,4 +81,9 @@ def baseline_offsets(
         for t, end in zip(topics, ends)
     ])
     answers = inside.join(before, ["partition", "bucket"]).select("partition", "ms", base.alias("base"))
-    return probes.join(answers, ["partition", "ms"]).select(*probes.columns, F.inline("base"))
+    unknown = F.array(*[
+        F.struct(F.lit(t).alias("topic"), F.lit(None).cast("long").alias("base_offset")) for t in topics
+    ])
+    return probes.join(answers, ["partition", "ms"], "left").select(
+        *probes.columns, F.inline(F.coalesce("base", unknown))
+    )

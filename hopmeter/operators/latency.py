@@ -78,7 +78,12 @@ def probe_facts(first_hits: DataFrame, topics: list[str], by: list[str]) -> Data
 
 
 def unmatched(first_hits: DataFrame) -> DataFrame:
-    """Probes and the topics where no record matched them."""
-    return first_hits.filter(F.col("offset").isNull()).drop("offset", "ts_ms").withColumnRenamed(
-        "topic", "missing_topic"
+    """Probes and the topics where no record matched them, with the reason."""
+    keyless = F.col("id").isNull() | F.col("lat").isNull() | F.col("xlong").isNull()
+    reason = (
+        F.when(F.col("base_offset").isNull(), "no base offset").when(keyless, "no key").otherwise("no record")
+    )
+    return (
+        first_hits.filter(F.col("offset").isNull()).withColumn("reason", reason)
+        .drop("offset", "ts_ms").withColumnRenamed("topic", "missing_topic")
     )

@@ -11,7 +11,7 @@ from hopmeter.functions import wording as W
 from hopmeter.functions.text import date_text, number_text
 from hopmeter.operators.latency import METRICS
 from hopmeter.operators.ordinal import with_ordinal
-from hopmeter.operators.summary import CHUNK, latency_summary
+from hopmeter.operators.summary import latency_summary
 
 
 def csv_labels(source: str) -> dict[str, str]:
@@ -31,34 +31,42 @@ def latency_csv(
     source: str,
     group_cols: Sequence[str] = ("cycle_no", "phase"),
     order: Sequence[str] = ("cycle_no", "update_no"),
-    chunk: int = CHUNK,
     group_rows: int | None = None,
 ) -> DataFrame:
-    """One CSV line per metric and group: label, then the values in arrival order.
+    """CSV cells, one row per value: group, metric, label, position in arrival order, value as text.
 
-    A line longer than ``chunk`` values is cut into numbered pieces so that no
-    row outgrows its task; the pieces laid end to end are the whole line.
-    ``group_cols=[]`` makes one line per metric over everything.
+    However long a vector is, no row grows with it, and every row has its label.
+    ``group_cols=[]`` takes everything as one vector per metric. An empty vector
+    keeps its label, in a row with neither position nor value: where ``phase`` is
+    a group column, both phases are there for every other group.
     """
+    groups = list(group_cols)
     placed = with_ordinal(
-        latency.select(*dict.fromkeys([*group_cols, *order, *METRICS])),
-        list(group_cols), list(order), "_position", group_rows,
+        latency.select(*dict.fromkeys([*groups, *order, *METRICS])), groups, list(order), "position", group_rows
     )
-    pieces = placed.groupBy(*group_cols, F.floor(F.col("_position") / chunk).alias("chunk_no")).agg(*[
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("_position", number_text(F.col(m)).alias("v")))),
-                lambda cell: cell["v"],
-            ),
-            ",",
-        ).alias(m)
-        for m in METRICS
-    ])
     labels = F.create_map(*[F.lit(t) for pair in csv_labels(source).items() for t in pair])
-    start = F.when(F.col("chunk_no") == 0, labels[F.col("metric")]).otherwise("")
-    return pieces.unpivot([*group_cols, "chunk_no"], METRICS, "metric", "_cells").select(
-        *group_cols, "metric", "chunk_no", F.concat(start, F.lit(","), "_cells").alias("line")
+    cells = placed.unpivot([*groups, "position"], METRICS, "metric", "_value").select(
+        *groups, "metric", "position", number_text(F.col("_value")).alias("value")
     )
+    missing = _empty_vectors(latency, groups).select(
+        *groups, F.explode(F.array(*map(F.lit, METRICS))).alias("metric"),
+        F.lit(None).cast("bigint").alias("position"), F.lit(None).cast("string").alias("value"),
+    )
+    return cells.unionByName(missing).select(
+        *groups, "metric", labels[F.col("metric")].alias("label"), "position", "value"
+    )
+
+
+def _empty_vectors(latency: DataFrame, groups: list[str]) -> DataFrame:
+    """Groups that have a vector without values."""
+    if "phase" in groups:
+        others = [c for c in groups if c != "phase"]
+        seen = latency.groupBy(*others).agg(F.collect_set("phase").alias("_seen"))
+        both = F.array(F.lit("CREATE"), F.lit("UPDATE"))
+        return seen.select(*others, F.explode(F.array_except(both, "_seen")).alias("phase")).select(*groups)
+    if groups:
+        return latency.select(*groups).limit(0)
+    return latency.agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0")
 
 
 def _line(label: str, value: Column | str, end: str = "") -> Column:
@@ -99,13 +107,20 @@ def probe_report(probes: DataFrame, source: str) -> DataFrame:
     )
 
 
-def action_report(probes: DataFrame, source: str, stages: int = 3) -> DataFrame:
-    """Sentences per create or update action, with the base offsets for three stages."""
+def action_report(
+    probes: DataFrame, source: str, stages: int = 3, short: bool = False
+) -> DataFrame:
+    """Sentences per create or update action, with the base offsets for three stages.
+
+    ``short`` is the wording of the mode that names no topics; it has two stages.
+    """
     create = F.col("update_no") == 0
     start = F.when(create, F.lit("The create")).otherwise(F.lit("The update"))
     end = W.MILLISEC + "\n"
     second = F.concat(start, _line(W.ACTION_HOP_2.format(source=source), "source_to_update_ms", end))
-    if stages == 2:
+    if short:
+        text = F.concat(start, _line(W.ACTION_TOOK, "source_to_update_ms", end))
+    elif stages == 2:
         text = second
     else:
         text = F.concat(
@@ -134,15 +149,19 @@ def summary_report(latency: DataFrame, source: str, digits: int = 6) -> DataFram
         line_no = F.when(here, F.lit(no)).otherwise(line_no)
     return numbers.select(
         line_no.alias("line_no"),
-        F.concat(sentence, number_text(F.round("number", digits))).alias("line"),
+        # Statistics of no latencies are no numbers.
+        F.concat(sentence, F.coalesce(number_text(F.round("number", digits)), F.lit("NaN"))).alias("line"),
     )
 
 
 def full_report(
     probes: DataFrame, latency: DataFrame, source: str, digits: int = 6,
-    chunk: int = CHUNK, group_rows: int | None = None,
+    group_rows: int | None = None,
 ) -> DataFrame:
-    """All parts of the multi-cycle report as ordered rows: part, a, b, text."""
+    """All parts of the multi-cycle report as ordered rows: part, a, b, text.
+
+    The CSV part is written one value to a line: label, position, value.
+    """
     spark = latency.sparkSession
     blocks = probe_report(probes, source).select(
         F.lit(1).alias("part"), F.col("cycle_no").alias("a"), F.col("update_no").alias("b"),
@@ -153,13 +172,14 @@ def full_report(
         F.lit(3).alias("part"), F.col("line_no").cast("long").alias("a"),
         F.lit(0).cast("long").alias("b"), F.col("line").alias("text"),
     )
-    csv = latency_csv(latency, source, ["phase"], chunk=chunk, group_rows=group_rows)
+    csv = latency_csv(latency, source, ["phase"], group_rows=group_rows)
     rank = F.lit(0)
     for i, m in enumerate(METRICS):
         rank = F.when(F.col("metric") == m, F.lit(i)).otherwise(rank)
     cells = csv.select(
         F.when(F.col("phase") == "CREATE", F.lit(6)).otherwise(F.lit(9)).alias("part"),
-        rank.cast("long").alias("a"), F.col("chunk_no").alias("b"), F.col("line").alias("text"),
+        rank.cast("long").alias("a"), F.coalesce("position", F.lit(0)).alias("b"),
+        F.concat("label", F.lit(","), F.concat_ws(",", F.col("position").cast("string"), "value")).alias("text"),
     )
     headings = spark.createDataFrame(
         [

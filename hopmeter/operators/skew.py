@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hopmeter.session import cut
+
 # Up to this many rows a group may go through one window task, unless the session
 # sets another number. A window sorts and spills, so this is a matter of minutes,
 # not of memory.
@@ -28,8 +30,8 @@ def split_hot(
     Counting hash slots instead of keys shrinks to ``SLOTS`` rows on the map
     side, however many keys there are. A slot holds whole groups, so one under
     the limit has only groups under the limit; an ordinary group sharing a hot
-    slot is merely treated as hot. The list of hot slots is broadcast: it has at
-    most ``SLOTS`` integers by construction, and is empty most of the time.
+    slot is merely treated as hot. The list of hot slots is a written table of at
+    most ``SLOTS`` integers, empty most of the time.
     """
     if group_rows is None:
         group_rows = int(df.sparkSession.conf.get(GROUP_ROWS_SETTING, str(GROUP_ROWS)))
@@ -38,10 +40,9 @@ def split_hot(
         .filter(F.col("count") > group_rows)
         .select("_slot")
     )
-    slots = [row["_slot"] for row in hot.collect()]
-    if not slots:
+    listed = cut(hot, "hot-slots")
+    if listed.isEmpty():
         return df, None
-    listed = F.broadcast(df.sparkSession.createDataFrame([(s,) for s in slots], "_slot int"))
     marked = df.withColumn("_slot", _slot(keys))
     return (
         marked.join(listed, "_slot", "left_anti").drop("_slot"),

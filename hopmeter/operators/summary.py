@@ -11,9 +11,8 @@ from hopmeter.functions import moments
 from hopmeter.operators.latency import METRICS
 from hopmeter.operators.ordinal import in_slice, with_ordinal
 
-# Values per band of the median histogram, and elements per collected array.
+# Values per band of the median histogram.
 BAND = 1 << 14
-CHUNK = 10_000
 
 
 def per_metric(df: DataFrame, keep: Sequence[str], name: str = "value") -> DataFrame:
@@ -41,8 +40,15 @@ def latency_median(latency: DataFrame, by: Sequence[str] = (), approx: bool = Fa
     """Middle value, or the mean of the two middle ones; ``approx`` trades that for one pass."""
     if approx:
         return _aggregate(latency, by, lambda x: F.percentile_approx(x, 0.5).cast("double"), "median")
-    keyed = latency.dropna(subset=list(by)) if by else latency  # group keys are never null
-    return exact_median(per_metric(keyed, by), [*by, "metric"], "value")
+    return exact_median(per_metric(latency, by), [*by, "metric"], "value")
+
+
+def same_group(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
+    """Join condition on group columns; a null group meets the null group."""
+    same = F.lit(True)
+    for c in by:
+        same = same & left[c].eqNullSafe(right[c])
+    return same
 
 
 def exact_median(values: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -79,7 +85,12 @@ def exact_median(values: DataFrame, by: list[str], value: str) -> DataFrame:
         Window.partitionBy(*by, "_band").orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = counts.join(middle, [*by, "_band"]).withColumn(
+    own = [*by, "_band"]
+    middle = middle.withColumnsRenamed({c: f"_m_{c}" for c in own})
+    same = F.lit(True)
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+    ranked = counts.join(middle, same).drop(*[f"_m_{c}" for c in own]).withColumn(
         "_last", F.col("_before") + F.sum("_n").over(in_band)
     )
 
@@ -98,8 +109,9 @@ def latency_summary(latency: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         for m in METRICS
     ])
     long = wide.unpivot(list(by), METRICS, "metric", "_s").select(*by, "metric", "_s.*")
-    return long.join(latency_median(latency, by), [*by, "metric"], "left").select(
-        *by, "metric", "n", "mean", "median", "stddev"
+    medians = latency_median(latency, by)
+    return long.join(medians, same_group(long, medians, [*by, "metric"]), "left").select(
+        *[long[c] for c in [*by, "metric"]], "n", "mean", "median", "stddev"
     )
 
 
@@ -108,16 +120,14 @@ def phase_vectors(latency: DataFrame, keep: list[str]) -> DataFrame:
     return per_metric(latency, [*keep, "phase"])
 
 
-def cycle_collect(latency: DataFrame, fields: list[str], chunk: int = CHUNK) -> DataFrame:
-    """Probes of a cycle as ordered arrays.
-
-    A cycle longer than ``chunk`` updates gets several numbered arrays, so none
-    outgrows a row; laid end to end they are the whole cycle.
-    """
-    return (
-        latency.groupBy("cycle_no", F.floor(F.col("update_no") / chunk).alias("chunk_no"))
-        .agg(F.sort_array(F.collect_list(F.struct("update_no", *fields))).alias("probes"))
+def cycle_collect(
+    latency: DataFrame, fields: list[str], order: Sequence[str] = ("update_no",), group_rows: int | None = None
+) -> DataFrame:
+    """Probes of a cycle in order: one row per probe with its ``position`` in the cycle."""
+    placed = with_ordinal(
+        latency.select(*dict.fromkeys(["cycle_no", *order, *fields])), ["cycle_no"], list(order), "position", group_rows
     )
+    return placed.select("cycle_no", "position", *order, *fields)
 
 
 def metric_sorted(

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from hopmeter.functions import codec
 from hopmeter.functions.text import minute_stamp
 from hopmeter.operators import decode, latency, probes, report, summary
-from hopmeter.operators.first_match import KEY, keep_probed
-from hopmeter.plans.fixture import events
+from hopmeter.operators.first_match import KEY, first_match_by_time, keep_probed
+from hopmeter.plans.fixture import PARTITIONS, events
 from hopmeter.plans.stages import PROBE, StageTables, open_tables, whole_run
 from hopmeter.schemas import CATEGORIES, CREATION_TOPIC, NATIONALITIES, UPDATE_TOPIC
 from hopmeter.session import fresh_path, pin_utc
@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 GRID_UPDATES = 5
 SEED = 7
 FILES_PER_BATCH = "64"
-SLICE = (100, 1500)
+SLICE = (20, 150)
 
 _QUERIES: dict[str, Query] = {}
 
@@ -70,20 +70,14 @@ def end_offsets(p: StageTables) -> DataFrame:
     return T.end_offsets(p.topics, known)
 
 
-def _half_way(p: StageTables) -> DataFrame:
-    return T.end_offsets(p.topics).select(
-        "topic", "partition", F.floor(F.col("end_offset") / 2).alias("base_offset")
-    )
-
-
 @_query
 def scan_from_offset(p: StageTables) -> DataFrame:
-    return T.scan_from(p.topics, _half_way(p)).select(*_POSITION, _ts_ms())
+    return T.scan_from(p.topics, p.bounds).select(*_POSITION, _ts_ms())
 
 
 @_query
 def kafka_starting_offsets(p: StageTables) -> DataFrame:
-    return T.starting_offsets_json(_half_way(p))
+    return T.starting_offsets_json(p.bounds)
 
 
 @_query
@@ -101,6 +95,15 @@ def raw_json_decode(p: StageTables) -> DataFrame:
     )
 
 
+@_query
+def event_props_decode(p: StageTables) -> DataFrame:
+    """JSON that this library did not write: the properties of the given events."""
+    attributes = codec.raw_attributes(F.col("props"))
+    return events(p.spark, p.sf_dir).select(
+        "event_id", F.element_at(attributes, "k").alias("k"), F.size(attributes).alias("n_attributes")
+    )
+
+
 @_query
 def envelope_decode(p: StageTables) -> DataFrame:
     m = F.col("message")
@@ -120,13 +123,14 @@ def unified_topic_records(p: StageTables) -> DataFrame:
 
 @_query
 def match_predicate(p: StageTables) -> DataFrame:
-    """Every record against the create probe of its cycle (one per id)."""
+    """Every record against the create probe of its cycle (one per id); false where there is none."""
     creates = p.probes.filter("update_no = 0").select(
         F.col("id").alias("want_id"), F.col("lat").alias("want_lat"), F.col("xlong").alias("want_long")
     )
     c = F.col
     matches = codec.same_key(c("id"), c("lat"), c("xlong"), c("want_id"), c("want_lat"), c("want_long"))
-    return p.read_records().join(creates, c("id") == c("want_id")).select(*_POSITION, matches.alias("matches"))
+    joined = p.read_records().join(creates, c("id") == c("want_id"), "left")
+    return joined.select(*_POSITION, F.coalesce(matches, F.lit(False)).alias("matches"))
 
 
 @_query
@@ -204,6 +208,17 @@ def first_match_asof(p: StageTables) -> DataFrame:
     )
 
 
+@_query
+def first_match_any_partition(p: StageTables) -> DataFrame:
+    """Messages sent without a key: source records land in another partition than the probe's."""
+    moved = F.when(F.col("topic") == p.source, (F.col("partition") + 1) % PARTITIONS).otherwise(F.col("partition"))
+    records = p.read_records().withColumn("partition", moved.cast("int"))
+    asked = p.probes.select("probe_id", "id", "lat", "xlong", "ms")
+    return first_match_by_time(records, asked, p.stages).filter("offset IS NOT NULL").select(
+        "probe_id", "topic", "partition", "offset", "ts_ms"
+    )
+
+
 def _run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     pin_utc(spark)
     return whole_run(spark, sf_dir)
@@ -219,7 +234,7 @@ def stage_latency_2(p: StageTables) -> DataFrame:
 
 @_query
 def unmatched_probes(p: StageTables) -> DataFrame:
-    return latency.unmatched(p.hits).select("probe_id", "cycle_no", "update_no", "missing_topic")
+    return latency.unmatched(p.hits).select("probe_id", "cycle_no", "update_no", "missing_topic", "reason")
 
 
 # Statistics of latencies
@@ -257,13 +272,7 @@ def phase_vectors(p: StageTables) -> DataFrame:
 
 @_query
 def cycle_collect(p: StageTables) -> DataFrame:
-    fields = ["raw_to_source_ms", "source_to_update_ms"]
-    cells = F.transform("probes", lambda x: F.concat_ws(
-        ":", x["update_no"], x["raw_to_source_ms"], x["source_to_update_ms"]
-    ))
-    return summary.cycle_collect(p.latency, fields).select(
-        "cycle_no", "chunk_no", F.size("probes").alias("n"), F.array_join(cells, " ").alias("probes")
-    )
+    return summary.cycle_collect(p.latency, ["raw_to_source_ms", "source_to_update_ms"])
 
 
 @_query
@@ -292,7 +301,6 @@ def std_slice(p: StageTables) -> DataFrame:
     names = ["max", "min", "mean", "var", "varp", "stddev", "stddevp", "sum"]
     table = summary.std_slice(
         events(p.spark, p.sf_dir), ["event_type"], ["ts", "event_id"], "value", *SLICE, names,
-        strict=False,
     )
     return _rounded(table, *names)
 
@@ -307,6 +315,11 @@ def latency_csv(p: StageTables) -> DataFrame:
 
 @_query
 def latency_csv_all(p: StageTables) -> DataFrame:
+    return report.latency_csv(p.latency, p.source, [])
+
+
+@_query
+def latency_csv_phase(p: StageTables) -> DataFrame:
     return report.latency_csv(p.latency, p.source, ["phase"])
 
 
@@ -331,6 +344,11 @@ def action_report_2(p: StageTables) -> DataFrame:
     return report.action_report(stage_latency_2(p), p.source, stages=2)
 
 
+@_query
+def action_report_short(p: StageTables) -> DataFrame:
+    return report.action_report(stage_latency_2(p), p.source, short=True)
+
+
 @_query
 def report_sink(p: StageTables) -> DataFrame:
     last = p.probes.agg(minute_stamp(F.max("start_time")).alias("stamp")).first()["stamp"]
@@ -370,14 +388,21 @@ def stream_sink(p: StageTables) -> DataFrame:
 @_query
 def stream_first_match(p: StageTables) -> DataFrame:
     out, checkpoint = _stream_places(p, "stream-first")
-    cores = p.spark.sparkContext.defaultParallelism
-    jobs.first_per_key(_record_stream(p), _half_way(p), out, checkpoint, cores).awaitTermination()
+    jobs.first_per_key(_record_stream(p), p.bounds, out, checkpoint).awaitTermination()
+    jobs.compact(p.spark, out)
     return jobs.latest_first(p.spark, out).select(*KEY, "offset", "ts_ms")
 
 
 @_query
 def stream_stage_latency(p: StageTables) -> DataFrame:
-    out, checkpoint = _stream_places(p, "stream-match")
+    """Records and probes as streams, first hits as a stream of their own, then latencies."""
+    cores = p.spark.sparkContext.defaultParallelism
+    hits_out, hits_checkpoint = _stream_places(p, "stream-hits")
     records = keep_probed(_record_stream(p), p.probes)
-    jobs.match_probes(records, p.marks, out, checkpoint).awaitTermination()
-    return latency.stage_latency(jobs.latest_first(p.spark, out), p.stages, PROBE)
+    marks = jobs.read_batches(p.spark, p.marks_path, p.marks.schema, maxFilesPerTrigger=FILES_PER_BATCH)
+    jobs.match_probes(records, marks, hits_out, hits_checkpoint, cores).awaitTermination()
+    schema = jobs.latest_first(p.spark, hits_out).schema
+    hits = jobs.read_batches(p.spark, hits_out, schema, maxFilesPerTrigger=FILES_PER_BATCH)
+    out, checkpoint = _stream_places(p, "stream-latency")
+    jobs.stage_latencies(hits, p.stages, PROBE, out, checkpoint, cores).awaitTermination()
+    return jobs.latest_latency(p.spark, out, PROBE)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from hopmeter.functions.wording import RULE
 from hopmeter.operators.report import csv_labels, summary_sentences
-from hopmeter.operators.summary import CHUNK
 from hopmeter.plans.catalog import GRID_UPDATES, SEED, SLICE
 
 PROBES = """
@@ -32,9 +31,7 @@ msgs AS (
             WHERE probe_id % 10 = 5),
 topics AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY topic, part ORDER BY ts_ms, probe_id, copy_no) - 1 AS BIGINT) AS off
-  FROM msgs),
-half AS (
-  SELECT topic, part, CAST((max(off) + 1) // 2 AS BIGINT) AS base_off FROM topics GROUP BY topic, part)"""
+  FROM msgs)"""
 
 MARKS = TOPICS + """,
 marks AS (
@@ -46,7 +43,8 @@ baseline AS (
   SELECT probe_id, topic, part, base_off FROM (
     SELECT *, CAST(sum(one) OVER (PARTITION BY topic, part ORDER BY ts_ms, kind, probe_id
                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS base_off FROM marks) z
-  WHERE kind = 0)"""
+  WHERE kind = 0),
+bounds AS (SELECT topic, part, min(base_off) AS base_off FROM baseline GROUP BY topic, part)"""
 
 HITS = MARKS + """,
 hits AS (
@@ -115,18 +113,30 @@ GROUPED = """count(*) AS n, round(avg(value), 6) AS mean, median(value) AS media
        round(stddev_pop(value), 6) AS stddev"""
 
 
+LABELS = " ".join(f"WHEN '{m}' THEN '{label}'" for m, label in csv_labels("src").items())
+CELL = "CAST(CAST(value AS DOUBLE) AS VARCHAR)"
+
+
 def _csv(groups: list[str]) -> str:
-    names = ", ".join(groups)
-    labels = " ".join(f"WHEN '{m}' THEN '{label}'" for m, label in csv_labels("src").items())
-    return LATENCY + f""",
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY {names}, metric ORDER BY cycle_no, update_no) - 1 AS pos FROM long)
-SELECT {names}, metric, CAST(pos // {CHUNK} AS BIGINT) AS chunk_no,
-       CASE WHEN min(pos) = 0 THEN CASE metric {labels} END ELSE '' END || ',' ||
-       string_agg(CAST(CAST(value AS DOUBLE) AS VARCHAR), ',' ORDER BY pos) AS line
-FROM placed GROUP BY {names}, metric, pos // {CHUNK}"""
+    """Cells with label and position; a cycle without an update (or a create) keeps its labels."""
+    names = "".join(f"{g}, " for g in groups)
+    filled = ""
+    if "phase" in groups:
+        others = "".join(f"{g}, " for g in groups if g != "phase")
+        filled = f"""
+UNION ALL
+SELECT {names}metric, CASE metric {LABELS} END, NULL, NULL
+FROM (SELECT {others}phase FROM (SELECT DISTINCT {others or "1 AS one, "}0 AS zero FROM lat) o
+      CROSS JOIN (VALUES ('CREATE'), ('UPDATE')) AS both_phases(phase)
+      EXCEPT SELECT {others}phase FROM lat) e CROSS JOIN (SELECT DISTINCT metric FROM long) m"""
+    return LATENCY + f"""
+SELECT {names}metric, CASE metric {LABELS} END AS label,
+       CAST(row_number() OVER (PARTITION BY {names}metric ORDER BY cycle_no, update_no) - 1 AS BIGINT) AS position,
+       {CELL} AS value
+FROM long{filled}"""
 
 
+# Wording of sentences and blocks, as in the reports.
 SENTENCES = """sentences AS (
   SELECT * FROM (VALUES {rows}) AS s(line_no, metric, statistic, text)),
 numbers AS (
@@ -136,6 +146,7 @@ numbers AS (
     rows=", ".join(f"({n}, '{m}', '{s}', '{t}')" for n, m, s, t in summary_sentences("src"))
 )
 
+# A probe's block.
 BLOCK = f"""'{RULE}' || chr(10) || 'StartTime: ' || strftime(ts, '%a %b %d %H:%M:%S UTC %Y') || chr(10)
   || 'Cycle NO: ' || cycle_no || chr(10) || 'Update NO: ' || update_no || chr(10)
   || 'externalSystemID: ' || id || chr(10) || 'lat: ' || lat || chr(10) || 'longX: ' || xlong || chr(10)
@@ -147,6 +158,7 @@ BLOCK = f"""'{RULE}' || chr(10) || 'StartTime: ' || strftime(ts, '%a %b %d %H:%M
        || chr(10) || chr(10)
      ELSE '' END"""
 
+# Sentences of one action.
 ACTION = "CASE WHEN update_no = 0 THEN 'create' ELSE 'update' END"
 HOP2 = f"""'The ' || {ACTION} || ' action between topics  <src> and <update> took '
   || source_to_update_ms || ' millisec' || chr(10)"""
@@ -158,7 +170,6 @@ def _std(name: str) -> str:
 
 
 def _report() -> str:
-    labels = " ".join(f"WHEN '{m}' THEN '{label}'" for m, label in csv_labels("src").items())
     return LATENCY + f""",
 {SENTENCES},
 placed AS (
@@ -166,10 +177,7 @@ placed AS (
 blocks AS (SELECT {BLOCK} AS block FROM facts)
 SELECT unnest(string_split(substr(block, 1, length(block) - 1), chr(10))) AS line FROM blocks
 UNION ALL SELECT text || CAST(number AS VARCHAR) FROM sentences JOIN numbers USING (metric, statistic)
-UNION ALL
-SELECT CASE WHEN min(pos) = 0 THEN CASE metric {labels} END ELSE '' END || ',' ||
-       string_agg(CAST(CAST(value AS DOUBLE) AS VARCHAR), ',' ORDER BY pos)
-FROM placed GROUP BY phase, metric, pos // {CHUNK}
+UNION ALL SELECT CASE metric {LABELS} END || ',' || pos || ',' || {CELL} FROM placed
 UNION ALL SELECT unnest(['', 'Export to CSV ', 'CREATE', '', 'UPDATE', '', ''])"""
 
 
@@ -181,14 +189,14 @@ SELECT {POSITION}, ts_ms, {ENTITY_VALUE} AS value FROM topics WHERE topic = 'src
         "end_offsets": TOPICS + """
 SELECT topic, part AS partition, max(off) + 1 AS end_offset FROM topics GROUP BY topic, part
 UNION ALL SELECT DISTINCT 'creation', part, CAST(0 AS BIGINT) FROM topics""",
-        "scan_from_offset": TOPICS + """
+        "scan_from_offset": MARKS + """
 SELECT t.topic, t.part AS partition, t.off AS "offset", t.ts_ms
-FROM topics t JOIN half h ON h.topic = t.topic AND h.part = t.part WHERE t.off >= h.base_off""",
-        "kafka_starting_offsets": TOPICS + """,
+FROM topics t JOIN bounds h ON h.topic = t.topic AND h.part = t.part WHERE t.off >= h.base_off""",
+        "kafka_starting_offsets": MARKS + """,
 per_topic AS (
   SELECT topic, '"' || topic || '":{' ||
          string_agg('"' || part || '":' || base_off, ',' ORDER BY part) || '}' AS entry
-  FROM half GROUP BY topic)
+  FROM bounds GROUP BY topic)
 SELECT '{' || string_agg(entry, ',' ORDER BY entry) || '}' AS starting_offsets FROM per_topic""",
         "baseline_offsets": MARKS + """
 SELECT probe_id, topic, part AS partition, base_off AS base_offset FROM baseline""",
@@ -201,8 +209,20 @@ SELECT {POSITION}, id, lat, xlong, topic = 'update' AS is_wrapped, CAST(4.7 AS D
        CAST(50 AS BIGINT) AS entity_offset
 FROM topics WHERE topic IN ('src', 'update')""",
         "unified_topic_records": TOPICS + f" SELECT {POSITION}, ts_ms, id, lat, xlong FROM topics",
-        "match_predicate": TOPICS + f"""
-SELECT {POSITION}, lat = '4.3' AND xlong = '6.4' AS matches FROM topics""",
+        "match_predicate": TOPICS + """
+SELECT t.topic, t.part AS partition, t.off AS "offset",
+       coalesce(t.lat = c.lat AND t.xlong = c.xlong, false) AS matches
+FROM topics t LEFT JOIN k c ON c.id = t.id AND c.update_no = 0""",
+        "event_props_decode": """
+SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(len(json_keys(props)) AS INTEGER) AS n_attributes
+FROM events""",
+        "first_match_any_partition": TOPICS + """,
+moved AS (SELECT *, CAST(CASE WHEN topic = 'src' THEN (part + 1) % 4 ELSE part END AS INTEGER) AS lands FROM topics),
+ranked AS (
+  SELECT k.probe_id, t.topic, t.lands, t.off, t.ts_ms,
+         row_number() OVER (PARTITION BY k.probe_id, t.topic ORDER BY t.ts_ms, t.lands, t.off) AS rn
+  FROM k JOIN moved t ON t.id = k.id AND t.lat = k.lat AND t.xlong = k.xlong AND t.ts_ms >= k.ms)
+SELECT probe_id, topic, lands AS partition, off AS "offset", ts_ms FROM ranked WHERE rn = 1""",
         "entity_validate": PROBES + """,
 named AS (
   SELECT probe_id, ['ISRAEL', 'USA', 'SPAIN', 'FRANCE'][probe_id % 4 + 1] AS nationality,
@@ -233,7 +253,7 @@ SELECT probe_id, topic, part AS partition, base_off AS base_offset, off AS "offs
         "stage_latency_3": LATENCY + " SELECT * FROM lat",
         "stage_latency_2": LATENCY + " SELECT * FROM lat2",
         "unmatched_probes": HITS + """
-SELECT k.probe_id, k.cycle_no, k.update_no, b.topic AS missing_topic
+SELECT k.probe_id, k.cycle_no, k.update_no, b.topic AS missing_topic, 'no record' AS reason
 FROM baseline b JOIN k ON k.probe_id = b.probe_id
 WHERE NOT EXISTS (SELECT 1 FROM first_hit h WHERE h.probe_id = b.probe_id AND h.topic = b.topic)""",
         "latency_mean": LATENCY + " SELECT metric, round(avg(value), 6) AS mean FROM long GROUP BY metric",
@@ -243,10 +263,10 @@ SELECT metric, round(stddev_pop(value), 6) AS stddev FROM long GROUP BY metric""
         "latency_summary": LATENCY + f" SELECT metric, {GROUPED} FROM long GROUP BY metric",
         "latency_by_phase": LATENCY + f" SELECT phase, metric, {GROUPED} FROM long GROUP BY phase, metric",
         "phase_vectors": LATENCY + " SELECT probe_id, cycle_no, update_no, phase, metric, value FROM long",
-        "cycle_collect": LATENCY + f"""
-SELECT cycle_no, CAST(update_no // {CHUNK} AS BIGINT) AS chunk_no, CAST(count(*) AS INTEGER) AS n,
-       string_agg(update_no || ':' || raw_to_source_ms || ':' || source_to_update_ms, ' ' ORDER BY update_no) AS probes
-FROM lat GROUP BY cycle_no, update_no // {CHUNK}""",
+        "cycle_collect": LATENCY + """
+SELECT cycle_no, CAST(row_number() OVER (PARTITION BY cycle_no ORDER BY update_no) - 1 AS BIGINT) AS position,
+       update_no, raw_to_source_ms, source_to_update_ms
+FROM lat""",
         "metric_sorted": LATENCY + """
 SELECT metric, CAST(row_number() OVER (PARTITION BY metric ORDER BY value, probe_id) - 1 AS BIGINT) AS position, value
 FROM long""",
@@ -259,7 +279,8 @@ masked AS (
 SELECT event_type, {", ".join(f"round({e.format(x='x')}, 6) AS {n}" for n, e in STATS.items())}
 FROM masked GROUP BY event_type""",
         "latency_csv": _csv(["cycle_no", "phase"]),
-        "latency_csv_all": _csv(["phase"]),
+        "latency_csv_all": _csv([]),
+        "latency_csv_phase": _csv(["phase"]),
         "probe_report": LATENCY + f" SELECT cycle_no, update_no, {BLOCK} AS block FROM facts",
         "summary_report": LATENCY + f""",
 {SENTENCES}
@@ -276,13 +297,16 @@ SELECT cycle_no, update_no,
   || CASE WHEN update_no = 0 THEN chr(10) ELSE '' END AS text
 FROM facts WHERE raw_to_source_ms IS NOT NULL""",
         "action_report_2": LATENCY + f" SELECT cycle_no, update_no, {HOP2} AS text FROM lat2",
+        "action_report_short": LATENCY + f"""
+SELECT cycle_no, update_no, 'The ' || {ACTION} || ' took ' || source_to_update_ms || ' millisec' || chr(10) AS text
+FROM lat2""",
         "report_sink": _report(),
         "stream_topic_read": TOPICS + f" SELECT {POSITION}, ts_ms FROM topics",
         "stream_sink": TOPICS + f" SELECT {POSITION}, ts_ms FROM topics",
-        "stream_first_match": TOPICS + """,
+        "stream_first_match": MARKS + """,
 ranked AS (
   SELECT t.*, row_number() OVER (PARTITION BY t.topic, t.part, id, lat, xlong ORDER BY off) AS rn
-  FROM topics t JOIN half h ON h.topic = t.topic AND h.part = t.part WHERE t.off >= h.base_off)
+  FROM topics t JOIN bounds h ON h.topic = t.topic AND h.part = t.part WHERE t.off >= h.base_off)
 SELECT topic, part AS partition, id, lat, xlong, off AS "offset", ts_ms FROM ranked WHERE rn = 1""",
         "stream_stage_latency": LATENCY + " SELECT * FROM lat",
     }

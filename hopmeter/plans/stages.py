@@ -16,11 +16,11 @@ from hopmeter.operators.first_match import KEY, first_match, keep_probed
 from hopmeter.operators.latency import probe_facts, stage_latency
 from hopmeter.plans import fixture
 from hopmeter.schemas import stage_topics
-from hopmeter.session import cut, drop_stage_tables, fresh_path, pin_utc
-from hopmeter.sources.topics import read_topics, since, write_topics
+from hopmeter.session import ON_DROP, cut, drop_stage_tables, fresh_path, pin_utc
+from hopmeter.sources.topics import least_bounds, read_topics, since, write_topics
 
 PROBE = ["probe_id", "cycle_no", "update_no"]
-_OPEN: dict[tuple[str, str], "StageTables"] = {}
+_OPEN: dict[tuple, "StageTables"] = {}
 
 
 class StageTables:
@@ -63,9 +63,20 @@ class StageTables:
             *PROBE, "start_time", *KEY, "base_offset"
         )
 
+    @cached_property
+    def marks_path(self) -> str:
+        path = fresh_path(self.spark, "marks")
+        self.find_marks().write.parquet(path)
+        return path
+
     @cached_property
     def marks(self) -> DataFrame:
-        return cut(self.find_marks(), "marks")
+        return self.spark.read.parquet(self.marks_path)
+
+    @property
+    def bounds(self) -> DataFrame:
+        """Where reading may start: no probe looks further back."""
+        return least_bounds(self.marks)
 
     def find_wanted(self) -> DataFrame:
         """Decoded records that a probe may match: none is older than the first probe."""
@@ -97,17 +108,23 @@ class StageTables:
 def open_tables(spark: SparkSession, sf_dir: str) -> StageTables:
     """The stage tables of a data folder, shared by all queries of the application."""
     pin_utc(spark)
-    key = (spark.sparkContext.applicationId, sf_dir)
+    # Other files in the folder are other data.
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(fixture.events(spark, sf_dir).inputFiles()))
     if key not in _OPEN:
         _OPEN[key] = StageTables(spark, sf_dir)
     return _OPEN[key]
 
 
-def close_tables(spark: SparkSession) -> None:
-    """Forget the stage tables of this application and delete them."""
-    app = spark.sparkContext.applicationId
+def _forget(app: str) -> None:
     for key in [k for k in _OPEN if k[0] == app]:
         del _OPEN[key]
+
+
+ON_DROP.append(_forget)
+
+
+def close_tables(spark: SparkSession) -> None:
+    """Delete the stage tables of this application."""
     drop_stage_tables(spark)
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-# One folder per local application, only used where the session names none.
-_LOCAL_FOLDERS: dict[str, str] = {}
+# Called when the stage tables of an application go, with its id.
+ON_DROP: list[Callable[[str], None]] = []
 
 
 def build_session(app: str = "hopmeter", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,21 +35,11 @@ def pin_utc(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's spark.checkpoint.dir.
-
-    Only a local session may fall back to a temporary folder; on a cluster such
-    a folder would not be visible to other machines, so that is an error.
-    """
+    """Folder for intermediate tables: spark.checkpoint.dir, which all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = context.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="hopmeter-")
-    return _LOCAL_FOLDERS[app]
+    return folder.rstrip("/")
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -62,7 +52,9 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def drop_stage_tables(spark: SparkSession) -> None:
-    """Delete what this application wrote to the shared folder; frames reading it are lost."""
+    """Delete what this application wrote to the shared folder, and forget who reads it."""
+    for forget in ON_DROP:
+        forget(spark.sparkContext.applicationId)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from hopmeter.schemas import TOPIC_TABLE
 
-# A bounds table is broadcast only up to this many rows (a few dozen bytes each).
-BROADCAST_ROWS = 100_000
-
 
 def read_topics(
     spark: SparkSession, path: str | None = None, format: str = "parquet", **options: str
@@ -46,17 +43,17 @@ def starting_offsets_json(bounds: DataFrame) -> DataFrame:
     One entry per topic partition; the number of partitions of a Kafka cluster
     bounds the text.
     """
-    per_topic = bounds.groupBy("topic").agg(
-        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(
-            F.struct(F.col("partition").cast("string"), "base_offset")
-        )))).alias("offsets")
-    )
-    entry = F.concat(F.lit('"'), F.col("topic"), F.lit('":'), F.col("offsets"))
-    return per_topic.agg(
-        F.concat(
-            F.lit("{"), F.array_join(F.sort_array(F.collect_list(entry)), ","), F.lit("}")
-        ).alias("starting_offsets")
-    )
+
+    by_name = lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
+
+    def as_map(name: str, value: str) -> Column:
+        pairs = F.collect_list(F.struct(F.col(name).alias("name"), F.col(value).alias("value")))
+        # Sorted before the names become text, so that partition 10 follows 9.
+        named = F.transform(F.array_sort(pairs, by_name), lambda x: F.struct(x["name"].cast("string"), x["value"]))
+        return F.map_from_entries(named)
+
+    per_topic = bounds.groupBy("topic").agg(as_map("partition", "base_offset").alias("offsets"))
+    return per_topic.agg(F.to_json(as_map("topic", "offsets")).alias("starting_offsets"))
 
 
 def scan(
@@ -82,24 +79,21 @@ def end_offsets(topics: DataFrame, known: DataFrame | None = None) -> DataFrame:
     )
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows.
-
-    A plain count is combined per task; a limit would first move rows to one task.
-    """
-    return df.count() <= rows
+def least_bounds(marks: DataFrame) -> DataFrame:
+    """Smallest base offset per topic partition: nothing older can match any probe."""
+    return marks.filter("base_offset IS NOT NULL").groupBy("topic", "partition").agg(
+        F.min("base_offset").alias("base_offset")
+    )
 
 
 def scan_from(topics: DataFrame, bounds: DataFrame) -> DataFrame:
     """Records at or after their topic partition's ``base_offset``.
 
-    Bounds have one row per topic partition. They are broadcast when counted to
-    be few, so the big table is filtered where it is read; beyond that the join
-    is left to Spark (adaptive execution splits a hot topic partition).
+    Bounds have one row per topic partition. How they are joined is left to
+    Spark, which measures them: a few are broadcast, and a hot topic partition
+    is split.
     """
     bounds = bounds.select("topic", "partition", "base_offset")
-    if at_most(bounds, BROADCAST_ROWS):
-        bounds = F.broadcast(bounds)
     return (
         topics.join(bounds, ["topic", "partition"])
         .filter(F.col("offset") >= F.col("base_offset"))

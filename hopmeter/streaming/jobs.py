@@ -8,10 +8,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from hopmeter.operators.first_match import KEY, first_match
+from hopmeter.operators.first_match import KEY
+from hopmeter.operators.latency import stage_latency
 from hopmeter.schemas import TOPIC_TABLE
-from hopmeter.sources.topics import BROADCAST_ROWS, at_most, scan_from
+from hopmeter.sources.topics import scan_from
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,10 +62,10 @@ def _batch_path(out: str, batch_id: int) -> str:
 def copy_topics(
     stream: DataFrame, out: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Continuous read into a Parquet table; the checkpoint keeps the position."""
+    """Continuous read into a topic=/partition= table; the checkpoint keeps the position."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
-        stream.writeStream.format("parquet").option("path", out)
+        stream.writeStream.format("parquet").option("path", out).partitionBy("topic", "partition")
         .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
@@ -79,71 +81,109 @@ def collect_by_topic(
 
 
 def first_per_key(
-    records: DataFrame, bounds: DataFrame, out: str, checkpoint: str,
-    state_partitions: int | None = None, forget_after: str | None = None, every: str | None = None,
+    records: DataFrame, bounds: DataFrame, out: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
     """Smallest offset per topic and key, at or after the topic partition's bound.
 
-    A streaming minimum: combined inside each task before the shuffle, so a hot
-    key costs one row per task and batch. The state lives in RocksDB, in
-    ``state_partitions`` parts (a stream keeps their number for life). Arrival
-    order inside a batch is not offset order, therefore a key is written again
-    whenever a smaller offset turns up; ``latest_first`` reads the final one.
+    Each micro-batch writes its own minima, combined inside each task before the
+    shuffle; ``latest_first`` takes the minimum over batches when it reads. So no
+    state is kept, no record is ever too late, and a repeated batch changes
+    nothing. ``compact`` keeps the table small.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        firsts = batch.groupBy(*KEY).agg(F.min(F.struct("offset", "ts_ms")).alias("hit"))
+        firsts.select(*KEY, "hit.*").write.mode("overwrite").parquet(_batch_path(out, batch_id))
+
+    return _start(scan_from(records, bounds), checkpoint, write, every=every)
+
+
+def match_probes(
+    records: DataFrame, marks: DataFrame, out: str, checkpoint: str,
+    state_partitions: int | None = None, every: str | None = None,
+) -> StreamingQuery:
+    """First hits of the probes, where records and ``marks`` both are streams.
 
-    Without ``forget_after`` the state keeps every key and no record is ever too
-    late. With it ("2 hours") minima are kept per key and time span: spans behind
-    the watermark leave the state, and only records later than that are lost,
-    since reading takes the minimum over spans.
+    Either side may come first: both wait in the join's state (RocksDB, by key),
+    so a probe sent long after the stream began is matched, and nothing is read
+    again for a later batch. Each micro-batch writes its minima per probe and
+    topic; ``latest_first`` merges them.
     """
-    keys = [F.col(c) for c in KEY]
-    if forget_after:
-        records = records.withColumn("_time", F.timestamp_millis("ts_ms"))
-        records = records.withWatermark("_time", forget_after)
-        keys.append(F.window("_time", forget_after).alias("_span"))
-    firsts = (
-        scan_from(records, bounds)
-        .groupBy(*keys).agg(F.min(F.struct("offset", "ts_ms")).alias("hit"))
-        .select(*KEY, "hit.offset", "hit.ts_ms")
-    )
+    columns = marks.columns
+    pairs = records.select(*KEY, "offset", "ts_ms").join(marks, KEY).filter(F.col("offset") >= F.col("base_offset"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(out, batch_id))
+        hits = batch.groupBy(*columns).agg(F.min(F.struct("offset", "ts_ms")).alias("hit"))
+        hits.select(*columns, "hit.*").write.mode("overwrite").parquet(_batch_path(out, batch_id))
 
-    settings = {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB}
-    if state_partitions:
-        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
-    with _settings(records.sparkSession, settings):
-        return _start(firsts, checkpoint, write, mode="update", every=every)
+    with _settings(records.sparkSession, _state_settings(state_partitions)):
+        return _start(pairs, checkpoint, write, every=every)
 
 
-def match_probes(
-    records: DataFrame, marks: DataFrame, out: str, checkpoint: str, every: str | None = None
+def read_batches(spark: SparkSession, path: str, schema: StructType, **options: str) -> DataFrame:
+    """What a job above writes, as a stream."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").options(**options).parquet(path)
+
+
+def stage_latencies(
+    hits: DataFrame, topics: list[str], by: list[str], out: str, checkpoint: str,
+    state_partitions: int | None = None, every: str | None = None,
 ) -> StreamingQuery:
-    """First hits of the probes in ``marks``, batch by batch.
+    """Hop latencies of a stream of first hits, written when a probe's third stage arrives.
 
-    The first hit is a minimum over offsets, so each micro-batch is matched by
-    itself with the batch operator, and ``latest_first`` takes the minimum over
-    batches. No record waits in state and none is late, so any delay between
-    stages is matched, exactly as in the batch job.
+    The state holds the first hit of each stage per probe. A smaller offset that
+    arrives late corrects the probe: its row is written again, and
+    ``latest_latency`` reads the last one.
     """
-    def match(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.select(*KEY, "offset", "ts_ms").persist()
-        touched = marks
-        if at_most(batch, BROADCAST_ROWS):
-            # A small batch concerns few probes.
-            touched = marks.join(F.broadcast(batch.select(*KEY).distinct()), KEY, "left_semi")
-        hits = first_match(batch, touched).filter("offset IS NOT NULL")
-        hits.write.mode("overwrite").parquet(_batch_path(out, batch_id))
-        batch.unpersist()
+    first = [
+        F.min(F.when(F.col("topic") == t, F.struct("offset", "ts_ms"))).alias(f"_h{i}")
+        for i, t in enumerate(topics)
+    ]
+    stages = hits.groupBy(*by).agg(*first)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        times = [F.struct(F.lit(t).alias("topic"), F.col(f"_h{i}.ts_ms").alias("ts_ms")) for i, t in enumerate(topics)]
+        rows = batch.select(*by, F.inline(F.array(*times)))
+        stage_latency(rows, topics, by).write.mode("overwrite").parquet(_batch_path(out, batch_id))
+
+    with _settings(hits.sparkSession, _state_settings(state_partitions)):
+        return _start(stages, checkpoint, write, mode="update", every=every)
 
-    return _start(records, checkpoint, match, every=every)
+
+def _state_settings(partitions: int | None) -> dict[str, str]:
+    """State in RocksDB; a stream keeps its number of state partitions for life."""
+    settings = {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB}
+    return settings | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
 
 
 def latest_first(spark: SparkSession, out: str) -> DataFrame:
-    """The table written by the jobs above, with one row per key or mark."""
+    """The table of first hits written above, with one row per key or mark."""
     written = spark.read.parquet(out).drop("batch")
     keys = [c for c in written.columns if c not in ("offset", "ts_ms")]
     return (
         written.groupBy(*keys).agg(F.min(F.struct("offset", "ts_ms")).alias("hit"))
         .select(*keys, "hit.offset", "hit.ts_ms")
     )
+
+
+def latest_latency(spark: SparkSession, out: str, by: list[str]) -> DataFrame:
+    """The table of latencies written above, with the last row of each probe."""
+    written = spark.read.parquet(out)
+    rest = [c for c in written.columns if c not in (*by, "batch")]
+    last = F.max_by(F.struct(*rest), "batch").alias("last")
+    return written.groupBy(*by).agg(last).select(*by, "last.*")
+
+
+def compact(spark: SparkSession, out: str) -> None:
+    """Merge the batches of a table of first hits into one; call it between runs of the stream.
+
+    The merged batch is written before the others go, and minima merge again to
+    the same, so a crash in between loses nothing.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(out)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("batch=")]
+    lowest = min((int(p.getName().removeprefix("batch=")) for p in old), default=0)
+    latest_first(spark, out).write.mode("overwrite").parquet(_batch_path(out, min(lowest, 0) - 1))
+    for path in old:
+        fs.delete(path, True)

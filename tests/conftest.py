@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -17,6 +18,8 @@ def spark():
         **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g"},
     )
     session.sparkContext.setLogLevel("ERROR")
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="hopmeter-tests-"))
     yield session
     close_tables(session)
     session.stop()
