@@ -51,22 +51,51 @@ def test_action_report(facts):
     assert got[1].startswith("Update the entity\n=================\n") and not got[1].endswith("\n\n")
     short = report.action_report(matched, "s", stages=2).orderBy("update_no").first()["text"]
     assert short == "The create action between topics  <s> and <update> took 40 millisec\n"
-
-
-def test_csv_lines(latency):
-    got = {(r["phase"], r["metric"]): r["line"] for r in report.latency_csv(latency, "s", ["phase"]).collect()}
-    assert got["CREATE", "raw_to_source_ms"] == "DiffTime between between <s-row-data> and <s>,0.0,10.0,20.0"
-    assert got["CREATE", "source_to_update_ms"] == "DiffTime between <s> and <update>,5.0,5.0,5.0"
-    assert got["UPDATE", "total_ms"] == "Total DiffTime,6.0,7.0,8.0,16.0,17.0,18.0,26.0,27.0,28.0"
+    shortest = report.action_report(matched, "s", short=True).orderBy("update_no").first()["text"]
+    assert shortest == "The create took 40 millisec\n"
 
 
 @pytest.mark.parametrize("limit", [1000, 0])
-def test_long_csv_line_comes_in_pieces(latency, limit):
-    whole = {r["metric"]: r["line"] for r in report.latency_csv(latency, "s", []).collect()}
-    pieces = report.latency_csv(latency, "s", [], chunk=5, group_rows=limit).orderBy("metric", "chunk_no").collect()
-    assert len(pieces) == 9
-    for metric, line in whole.items():
-        assert "".join(r["line"] for r in pieces if r["metric"] == metric) == line
+def test_csv_cells(latency, limit):
+    cells = report.latency_csv(latency, "s", ["phase"], group_rows=limit).orderBy("position").collect()
+    got = {}
+    for r in cells:
+        got.setdefault((r["phase"], r["metric"], r["label"]), []).append((r["position"], r["value"]))
+    assert got["CREATE", "raw_to_source_ms", "DiffTime between between <s-row-data> and <s>"] == [
+        (0, "0.0"), (1, "10.0"), (2, "20.0")]
+    assert got["CREATE", "source_to_update_ms", "DiffTime between <s> and <update>"] == [
+        (0, "5.0"), (1, "5.0"), (2, "5.0")]
+    assert got["UPDATE", "total_ms", "Total DiffTime"] == list(enumerate(
+        ["6.0", "7.0", "8.0", "16.0", "17.0", "18.0", "26.0", "27.0", "28.0"]))
+    everything = report.latency_csv(latency, "s", [], group_rows=limit).filter("metric = 'total_ms'").orderBy("position")
+    assert [r["value"] for r in everything.collect()][:5] == ["5.0", "6.0", "7.0", "8.0", "15.0"]
+
+
+def test_an_empty_vector_keeps_its_label(latency):
+    creates = latency.filter("phase = 'CREATE'")
+    by_cycle = report.latency_csv(creates, "s").filter("position IS NULL").collect()
+    assert len(by_cycle) == 9 and {r["phase"] for r in by_cycle} == {"UPDATE"}
+    nothing = report.latency_csv(latency.filter("false"), "s", ["phase"]).collect()
+    assert {(r["phase"], r["metric"]) for r in nothing} == {
+        (p, m) for p in ("CREATE", "UPDATE") for m in ("raw_to_source_ms", "source_to_update_ms", "total_ms")}
+    assert all(r["label"] and r["value"] is None for r in nothing)
+    assert report.latency_csv(latency.filter("false"), "s", []).count() == 3
+
+
+def test_a_vector_of_many_values_is_whole(spark):
+    n = 25_000
+    many = spark.range(n).selectExpr(
+        "0L AS cycle_no", "id + 1 AS update_no", "'UPDATE' AS phase", "id AS raw_to_source_ms",
+        "1L AS source_to_update_ms", "id + 1 AS total_ms")
+    cells = report.latency_csv(many, "s", ["phase"]).filter("phase = 'UPDATE'")
+    assert cells.filter("label IS NULL").count() == 0
+    good = cells.filter("metric = 'raw_to_source_ms' AND value = CAST(CAST(position AS double) AS string)")
+    assert good.count() == n and good.select("position").distinct().count() == n
+
+
+def test_no_latencies_give_nan_sentences(latency):
+    lines = [r["line"] for r in report.summary_report(latency.filter("false"), "s").orderBy("line_no").collect()]
+    assert len(lines) == 9 and all(line.endswith(" is NaN") for line in lines)
 
 
 def test_summary_sentences(latency):
@@ -97,9 +126,11 @@ def test_report_file(spark, facts, latency):
     assert len(blocks) == 3
     start = lines.index("Export to CSV ")
     assert lines[start - 10] == "" and lines[start - 9].startswith("The average between")
-    assert lines[start + 1] == "CREATE" and lines[start + 5:start + 7] == ["", "UPDATE"]
-    assert lines[start + 9].startswith("Total DiffTime,6.0,7.0")
-    assert lines[start + 10:] == ["", ""]
+    assert lines[start + 1] == "CREATE" and lines[start + 2].endswith("<s>,0,0.0")
+    update = lines.index("UPDATE")
+    assert update == start + 12 and lines[update - 1] == ""
+    assert lines[update + 19] == "Total DiffTime,0,6.0" and lines[-3] == "Total DiffTime,8,28.0"
+    assert lines[-2:] == ["", ""]
 
 
 def test_number_and_date_texts(spark):

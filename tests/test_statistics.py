@@ -115,12 +115,22 @@ def test_no_latencies_give_null_statistics(latency):
     assert [(r["n"], r["mean"], r["median"], r["stddev"]) for r in got] == [(0, None, None, None)] * 3
 
 
-def test_cycles_collected_in_pieces(latency):
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_cycles_collected_in_order(latency, limit):
     data, df = latency
-    got = summary.cycle_collect(df, ["total_ms"], chunk=4).orderBy("cycle_no", "chunk_no").collect()
-    assert [len(r["probes"]) for r in got] == [4, 4, 2] * 6
-    flat = [(r["cycle_no"], p["update_no"], p["total_ms"]) for r in got for p in r["probes"]]
-    assert flat == [(row[1], row[2], row[6]) for row in data]
+    got = summary.cycle_collect(df, ["total_ms"], group_rows=limit).orderBy("cycle_no", "position").collect()
+    assert [r["position"] for r in got] == list(range(10)) * 6
+    assert [(r["cycle_no"], r["update_no"], r["total_ms"]) for r in got] == [(row[1], row[2], row[6]) for row in data]
+
+
+def test_a_null_group_has_a_median(spark):
+    df = spark.createDataFrame(
+        [("a", 1, 2, 3), ("a", 3, 4, 7), (None, 5, 6, 11), (None, 9, 6, 15)],
+        "phase string, raw_to_source_ms long, source_to_update_ms long, total_ms long")
+    got = {(r["phase"], r["metric"]): (r["n"], r["median"]) for r in summary.latency_summary(df, ["phase"]).collect()}
+    assert len(got) == 6
+    assert got["a", "raw_to_source_ms"] == (2, 2.0) and got[None, "raw_to_source_ms"] == (2, 7.0)
+    assert got[None, "total_ms"] == (2, 13.0)
 
 
 @pytest.mark.parametrize("limit", [1000, 0])

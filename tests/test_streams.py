@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql.types import StructType
 
 from hopmeter.operators import decode, latency
 from hopmeter.plans.stages import PROBE, open_tables
@@ -23,41 +24,70 @@ def _records(spark, rows):
     return spark.createDataFrame(rows, RECORD)
 
 
+def _run_match(spark, stream, marks, out, checkpoint):
+    query = jobs.match_probes(stream, marks, out, checkpoint, 2)
+    query.awaitTermination()
+    return query
+
+
 def test_many_small_batches_match_like_one_batch_job(spark, tables):
     _, out, checkpoint = _places(spark)
     stream = jobs.read_stream(spark, tables.topics_path, maxFilesPerTrigger="3")
-    query = jobs.match_probes(decode.unify(stream, "src"), tables.marks, out, checkpoint)
-    query.awaitTermination()
+    marks = jobs.read_batches(spark, tables.marks_path, tables.marks.schema, maxFilesPerTrigger="2")
+    query = _run_match(spark, decode.unify(stream, "src"), marks, out, checkpoint)
     assert query.lastProgress["batchId"] > 1
     got = latency.stage_latency(jobs.latest_first(spark, out), tables.stages, PROBE)
     assert sorted(got.collect()) == sorted(tables.latency.collect())
 
 
-def test_a_big_batch_is_matched_against_all_marks(spark, tables, monkeypatch):
-    monkeypatch.setattr(jobs, "BROADCAST_ROWS", 10)
-    _, out, checkpoint = _places(spark)
-    stream = jobs.read_stream(spark, tables.topics_path)
-    jobs.match_probes(decode.unify(stream, "src"), tables.marks, out, checkpoint).awaitTermination()
-    got = latency.stage_latency(jobs.latest_first(spark, out), tables.stages, PROBE)
-    assert sorted(got.collect()) == sorted(tables.latency.collect())
+MARK = "probe_id int, update_no int, topic string, partition int, id string, lat string, xlong string, base_offset long"
+KEY = (0, "e", "4.3", "6.4")
+
+
+def test_latencies_appear_when_the_third_stage_arrives_and_are_corrected(spark):
+    source, hits_out, hits_checkpoint = _places(spark)
+    marks_in, out, checkpoint = _places(spark)
+    topics = ["src-raw-data", "src", "update"]
+    by = ["probe_id", "update_no"]
+
+    def run(records, marks=()):
+        for rows, schema, path in ((records, RECORD, source), (marks, MARK, marks_in)):
+            spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(RECORD).parquet(source)
+        _run_match(spark, stream, spark.readStream.schema(MARK).parquet(marks_in), hits_out, hits_checkpoint)
+        schema = MARK + ", offset long, ts_ms long"
+        hits = jobs.read_batches(spark, hits_out, StructType.fromDDL(schema))
+        jobs.stage_latencies(hits, topics, by, out, checkpoint, 2).awaitTermination()
+        return sorted(tuple(r) for r in jobs.latest_latency(spark, out, by).collect())
+
+    first = [(1, 0, t, *KEY, 4) for t in topics]
+    assert run([(topics[0], *KEY, 5, 100), (topics[1], *KEY, 6, 130)], first) == []
+    assert run([(topics[2], *KEY, 8, 200)]) == [(1, 0, "CREATE", 30, 70, 100)]
+    # A smaller offset arrives late and corrects the row.
+    assert run([(topics[2], *KEY, 7, 190)]) == [(1, 0, "CREATE", 30, 60, 90)]
+    # A probe that is known only now meets records that came before it.
+    later = [(2, 1, t, *KEY, 6) for t in topics]
+    assert run([(topics[0], *KEY, 9, 150)], later) == [(1, 0, "CREATE", 30, 60, 90), (2, 1, "UPDATE", -20, 60, 40)]
 
 
 def test_stream_goes_on_where_it_stopped(spark):
-    key = ("src", 0, "e", "4.3", "6.4")
     source, out, checkpoint = _places(spark)
-    marks = spark.createDataFrame([(1, *key, 4)], "probe_id int, " + RECORD.rsplit(",", 2)[0] + ", base_offset long")
+    marks_in, _, _ = _places(spark)
+    spark.createDataFrame([(1, 0, "src", *KEY, 4)], MARK).write.parquet(marks_in)
 
     def run(rows):
         _records(spark, rows).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(RECORD).parquet(source)
-        jobs.match_probes(stream, marks, out, checkpoint).awaitTermination()
+        marks = spark.readStream.schema(MARK).parquet(marks_in)
+        _run_match(spark, spark.readStream.schema(RECORD).parquet(source), marks, out, checkpoint)
         return [r["offset"] for r in jobs.latest_first(spark, out).collect()]
 
-    assert run([(*key, 3, 10)]) == []
-    assert run([(*key, 9, 90)]) == [9]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert run([("src", *KEY, 3, 10)]) == []
+    assert run([("src", *KEY, 9, 90)]) == [9]
     # Files may arrive out of offset order; the smaller offset still wins.
-    assert run([(*key, 5, 50)]) == [5]
-    assert run([(*key, 7, 70)]) == [5]
+    assert run([("src", *KEY, 5, 50)]) == [5]
+    assert run([("src", *KEY, 7, 70)]) == [5]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
 
 
 def test_first_per_key_takes_the_smallest_offset_over_batches(spark):
@@ -65,31 +95,23 @@ def test_first_per_key_takes_the_smallest_offset_over_batches(spark):
     source, out, checkpoint = _places(spark)
     bounds = spark.createDataFrame([("src", 0, 2)], "topic string, partition int, base_offset long")
 
+    def firsts():
+        return {r["id"]: r["offset"] for r in jobs.latest_first(spark, out).collect()}
+
     def run(rows):
         _records(spark, rows).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(RECORD).parquet(source)
-        jobs.first_per_key(stream, bounds, out, checkpoint, state_partitions=2).awaitTermination()
-        return {r["id"]: r["offset"] for r in jobs.latest_first(spark, out).collect()}
+        query = jobs.first_per_key(stream, bounds, out, checkpoint)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"] == []
+        return firsts()
 
-    before = spark.conf.get("spark.sql.shuffle.partitions")
     assert run([(*key, 8, 80), (*key, 5, 50), (*key, 1, 10)]) == {"e": 5}
     assert run([(*key, 3, 30), (*other, 9, 90)]) == {"e": 3, "f": 9}
-    assert spark.conf.get("spark.sql.shuffle.partitions") == before
-
-
-def test_old_keys_leave_the_state_and_stay_in_the_result(spark):
-    source, out, checkpoint = _places(spark)
-    day = 86_400_000
-    bounds = spark.createDataFrame([("src", 0, 0)], "topic string, partition int, base_offset long")
-    for n, (id, offset) in enumerate([("e", 5), ("e", 9), ("f", 12), ("g", 14)]):
-        row = ("src", 0, id, "4.3", "6.4", offset, n * 10 * day)
-        _records(spark, [row]).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(RECORD).parquet(source)
-        query = jobs.first_per_key(stream, bounds, out, checkpoint, 1, "1 day")
-        query.awaitTermination()
-    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 4
-    got = {r["id"]: r["offset"] for r in jobs.latest_first(spark, out).collect()}
-    assert got == {"e": 5, "f": 12, "g": 14}
+    for _ in range(2):
+        jobs.compact(spark, out)
+        assert firsts() == {"e": 3, "f": 9} and spark.read.parquet(out).count() == 2
+    assert run([(*key, 2, 20), (*other, 11, 95)]) == {"e": 2, "f": 9}
 
 
 def test_copy_and_collect_hold_every_record(spark, tables):

@@ -25,15 +25,17 @@ def test_end_offsets(spark, table, rows):
     assert rows(T.end_offsets(table)) == [("a", 0, 5), ("a", 1, 9), ("b", 0, 1)]
 
 
-def test_scan_and_bounds(spark, table, rows, monkeypatch):
+def test_scan_and_bounds(spark, table, rows):
     bounds = spark.createDataFrame([("a", 0, 3), ("a", 1, 0)], "topic string, partition int, base_offset long")
     want = [("a", 0, 3), ("a", 0, 4), ("a", 1, 7), ("a", 1, 8)]
     assert rows(T.scan_from(table, bounds), "topic", "partition", "offset") == want
-    monkeypatch.setattr(T, "BROADCAST_ROWS", 1)
-    assert rows(T.scan_from(table, bounds), "topic", "partition", "offset") == want
     assert T.scan(table, ["a"], [1]).count() == 2
     text = T.starting_offsets_json(bounds).first()["starting_offsets"]
     assert json.loads(text) == {"a": {"0": 3, "1": 0}}
+    odd = spark.createDataFrame([('q"uote', 10, 1), ('q"uote', 9, 2)], "topic string, partition int, base_offset long")
+    assert T.starting_offsets_json(odd).first()[0] == '{"q\\"uote":{"9":2,"10":1}}'
+    marks = spark.createDataFrame([("a", 0, 3), ("a", 0, 2), ("a", None, None)], bounds.schema)
+    assert rows(T.least_bounds(marks)) == [("a", 0, 2)]
     options = T.kafka_options("host:9092", {"a": [0, 1]}, text)
     assert json.loads(options["assign"]) == {"a": [0, 1]}
 
@@ -60,10 +62,6 @@ def test_since_reaches_the_scan(spark, table):
     assert T.since(table, None).count() == 0
 
 
-def test_at_most(spark):
-    assert T.at_most(spark.range(5), 5) and not T.at_most(spark.range(6), 5)
-
-
 def test_folder_comes_from_the_session(spark):
     class Stub:
         conf = {"spark.checkpoint.dir": "s3a://team/checkpoints/"}
@@ -91,6 +89,15 @@ def test_own_tables_can_be_dropped(spark, monkeypatch):
         spark.read.parquet(frame.inputFiles()[0])
 
 
+def test_queries_run_again_after_the_tables_were_dropped(spark):
+    from hopmeter.plans import catalog
+
+    query = catalog.queries()["latency_mean"]
+    before = sorted(query(spark, "/root/testdata/sf0.001").collect())
+    session.drop_stage_tables(spark)
+    assert sorted(query(spark, "/root/testdata/sf0.001").collect()) == before
+
+
 def test_grid(spark, rows):
     cycles = spark.range(3).withColumnRenamed("id", "cycle_no")
     grid = probes.probe_grid(cycles, 4, "s", seed=1)
