@@ -11,7 +11,7 @@ weighted by the bytes each window really holds.
 Prediction uses tables of filter responses for pairs of bytes, so a position
 costs two look-ups. Defined cases: a null text, and one without a letter, is
 ``und`` with score 0, and so is everything if nothing could be learned; rows with
-a null language or null text aren't learned from; repeated rows get equal results.
+a null language or without a letter aren't learned from; repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from hopmeter.llm.common import by_task, fold_bucket
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
-PAD = 32
+LETTER = r"\p{L}"
 RESULT = "struct<lang:string,score:double>"
 
 
@@ -200,7 +200,7 @@ def labelled_windows(labelled: DataFrame, per_language: int, windows: int) -> tu
     The sample is drawn by a hash of id and text, so it doesn't depend on how the
     rows are laid out.
     """
-    rows = labelled.filter("text is not null and lang is not null and length(text) > 0")
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "lang").limit(1000).collect()
     if not top:
@@ -248,7 +248,7 @@ def language(text: Column, net: ByteNet | None) -> Column:
 
         return predict
 
-    return F.when(F.coalesce(text, F.lit("")).rlike(r"\p{L}"), by_task(RESULT, build)(text)).otherwise(und)
+    return F.when(F.coalesce(text, F.lit("")).rlike(LETTER), by_task(RESULT, build)(text)).otherwise(und)
 
 
 def identify(docs: DataFrame, held_out: int = 2, folds: int = 4, **options) -> DataFrame:
