@@ -11,6 +11,17 @@ bits, and every linked pair meets in a join of fuzzy with plain keys, where it
 is verified at once.
 
 Work is on distinct fingerprints, so groups of copies cost one row each.
+
+``keep_one``, made for choosing one document of a group, also links documents whose
+five-word shingles have a Jaccard similarity of 0.8 or more; those differ in too
+many bits for the limit above. Their distinct words hardly differ, though, so the
+same keys are taken from ``WORD_PRINTS`` fingerprints over single words, where such
+documents meet nearly always (measured recall: README). To keep large groups of
+near copies from making all their pairs, a key's fingerprints are each compared
+with one of them, the smallest, and the components join the rest; keys differ, so a
+document is compared with several. The similarity is that of the ``SKETCH``
+smallest shingle hashes of both (exact for texts with no more shingles than that).
+
 Components come from contraction to the smallest neighbour, in tables of links.
 Defined cases: a null or empty text has fingerprint zero and links like any
 other; fewer words than a shingle: the whole sequence is one shingle; repeated
@@ -20,7 +31,7 @@ no other is there.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +45,7 @@ from hopmeter.session import cut
 
 LIMIT = 3
 SEED = 42
+WORD_PRINTS, SKETCH, SIMILAR, SIMILAR_WORDS = 3, 256, 0.8, 5
 BLOCKS, BLOCK_BITS, WORD_BITS = 4, 16, 23
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
@@ -41,29 +53,70 @@ GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 # -- fingerprints -------------------------------------------------------------
 
 
-def fingerprint_of(text: str | None, shingle: int = 3) -> int:
-    """Unsigned fingerprint of a whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingle_hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles, repeats included, in portions."""
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
+    n = len(words) - k + 1
     digest = xxhash.xxh64_intdigest
-    ones, n = np.zeros(64, np.int64), len(words) - k + 1
     first, last = starts[:n].tolist(), ends[k - 1 :].tolist()
     for at in range(0, n, 65536):
-        h = np.array([
-            digest(line[a:b], SEED)
-            for a, b in zip(first[at : at + 65536], last[at : at + 65536])
+        yield np.array([
+            digest(line[a:b], SEED) for a, b in zip(first[at : at + 65536], last[at : at + 65536])
         ], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
-            axis=0, dtype=np.int64
-        )
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (rows of bytes) have each bit."""
+    return np.unpackbits(hashes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint_of(text: str | None, shingle: int = 3) -> int:
+    """Unsigned fingerprint of a whole text."""
+    words = _words(text)
+    ones, n = np.zeros(64, np.int64), 0
+    for h in _shingle_hashes(words, shingle) if words else ():
+        ones += _ones(h.view(np.uint8).reshape(-1, 8))
+        n += len(h)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+class WordHashes(dict):
+    """word -> 8 * WORD_PRINTS bytes, filled on demand."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = b"".join(
+            xxhash.xxh64_digest(word, SEED + 1 + i) for i in range(WORD_PRINTS)
+        )
+        if len(self) < 200_000:
+            self[word] = found
+        return found
+
+
+def word_prints(words: list[bytes], hashes: WordHashes) -> list[int]:
+    """Signed fingerprints over the distinct words."""
+    own = list(set(words))
+    ones = np.zeros(64 * WORD_PRINTS, np.int64)
+    for at in range(0, len(own), 65536):
+        raw = b"".join(map(hashes.__getitem__, own[at : at + 65536]))
+        ones += _ones(np.frombuffer(raw, np.uint8).reshape(-1, 8 * WORD_PRINTS))
+    return np.packbits(2 * ones > len(own), bitorder="little").view("<i8").tolist()
+
+
+def sketch_of(words: list[bytes], shingle: int = SIMILAR_WORDS) -> list[int]:
+    """The smallest distinct hashes of the shingles, as ints in order."""
+    least = np.zeros(0, np.uint32)
+    for h in _shingle_hashes(words, shingle) if words else ():
+        least = np.unique(np.concatenate((least, (h >> np.uint64(32)).astype(np.uint32))))[:SKETCH]
+    return (least.astype(np.int64) - 2**31).tolist()
+
+
 def fingerprint(text: Column, shingle: int = 3) -> Column:
     """Fingerprint as a (signed) long column."""
 
@@ -74,6 +127,25 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
     return by_task("bigint", lambda: of)(text)
 
 
+PRINTS = "struct<fp:bigint,words:array<bigint>,sketch:array<int>>"
+_PRINTS = pa.struct([("fp", pa.int64()), ("words", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
+
+
+def prints(text: Column, shingle: int = 3) -> Column:
+    """Struct of the fingerprint, those over words, and the sketch of a whole text."""
+    def build() -> Callable:
+        hashes = WordHashes()
+
+        def one(text: str | None) -> dict:
+            words = _words(text)
+            fp = fingerprint_of(text, shingle)
+            return {"fp": fp - (fp >> 63 << 64), "words": word_prints(words, hashes), "sketch": sketch_of(words)}
+
+        return lambda texts: pa.array([one(t.as_py()) for t in texts], _PRINTS)
+
+    return by_task(PRINTS, build)(text)
+
+
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -171,22 +243,53 @@ def links(fps: DataFrame) -> DataFrame:
     return fuzzy.join(plain, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
-def classes(slim: DataFrame) -> DataFrame:
-    """(fp, component_id, first_row, n_links) of every fingerprint of ``slim`` (fp, doc_id[, row]).
+def similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sketches: the share of both in the smallest of their union."""
+    least = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(F.array_intersect(a, b), least)) / F.greatest(F.size(least), F.lit(1))
+
+
+def similar_links(nodes: DataFrame, at_least: float = SIMILAR) -> DataFrame:
+    """(a, b), a < b, of fingerprints in ``nodes`` (fp, words, sketch) with similar texts."""
+    def keys(name: str, fuzzy: bool) -> DataFrame:
+        def of_print(i: int) -> Column:
+            return F.transform(golay_keys(F.col("words")[i], fuzzy), lambda key: key + F.lit(i << 40))
+
+        each = map(of_print, range(WORD_PRINTS))
+        return nodes.select(F.col("fp").alias(name), F.explode(F.concat(*each)).alias("key"))
+
+    smallest = keys("b", False).groupBy("key").agg(F.min("b").alias("b"))
+    met = cut(
+        keys("a", True).join(smallest, "key").filter("a <> b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+        "fp-met",
+    )
+    sketch = lambda name: nodes.select(F.col("fp").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+    both = met.join(sketch("a"), "a").join(sketch("b"), "b")
+    return both.filter(similarity(F.col("sketch_a"), F.col("sketch_b")) >= at_least).select("a", "b")
+
+
+def classes(slim: DataFrame, similar: bool = False) -> DataFrame:
+    """(fp, component_id, first_row, n_links) of every fingerprint of ``slim`` (fp, doc_id, row).
+
+    With ``similar`` also over ``similar_links``, from the columns words and sketch.
 
     ``component_id`` is the smallest doc_id of the component, ``first_row`` the
     row with it (the smallest if it repeats), ``n_links`` the linked other
     fingerprints.
     """
-    by_fp = cut(
-        slim.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")),
-        "fingerprints",
-    )
-    pairs = cut(links(by_fp.select("fp")), "fp-links")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    more = [F.first(c).alias(c) for c in ("words", "sketch")] if similar else []
+    by_fp = cut(slim.groupBy("fp").agg(F.min(order).alias("first"), *more), "fingerprints")
+    pairs = links(by_fp.select("fp"))
+    if similar:
+        pairs = pairs.union(similar_links(by_fp.select("fp", "words", "sketch"))).distinct()
+    pairs = cut(pairs, "fp-links")
     label = components(pairs)
     count = (
         pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     )
+    by_fp = by_fp.select("fp", "first")
     linked = by_fp.join(label, by_fp["fp"] == label["node"]).select("fp", "first", "label")
     best = linked.groupBy("label").agg(F.min("first").alias("best"))
     linked = linked.join(best, "label").join(count, "fp").select("fp", "best", "n_links")
@@ -216,14 +319,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The documents with one row of each component left, that of the smallest id.
 
-    Rows get their numbers in a written table, so that equal rows stay apart and a
+    Linked are fingerprints within the limit, and similar texts. Rows get their numbers in a written table, so that equal rows stay apart and a
     lost executor can't renumber them.
     """
     wide = cut(
         docs.select(F.struct(*docs.columns).alias("doc"))
-        .select("doc", F.monotonically_increasing_id().alias("row"), fingerprint(F.col("doc.text"), shingle).alias("fp")),
+        .select("doc", F.monotonically_increasing_id().alias("row"), prints(F.col("doc.text"), shingle).alias("print")),
         "docs-numbered",
     )
-    slim = wide.select("fp", F.col("doc.doc_id").alias("doc_id"), "row")
-    kept = classes(slim).select(F.col("first_row").alias("row")).distinct()
+    slim = wide.select("print.*", F.col("doc.doc_id").alias("doc_id"), "row")
+    kept = classes(slim, similar=True).select(F.col("first_row").alias("row")).distinct()
     return wide.join(kept, "row", "left_semi").select("doc.*")

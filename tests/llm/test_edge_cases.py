@@ -237,6 +237,42 @@ def test_one_row_of_a_group_stays(spark):
     assert got == [0, 2, 4]
 
 
+def test_similar_texts_are_one_group_and_others_stay(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    texts, group = [], []
+    for g in range(30):
+        base = [word() for _ in range(rng.choice([60, 300, 900]))]
+        for edits in (0, 0, 1, 1, 2):
+            copy = list(base)
+            for _ in range(edits * len(base) // 300 + (edits > 0)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+            group.append(g)
+        # A text that shares half its words is no near copy.
+        half = base[: len(base) // 2] + [word() for _ in range(len(base) // 2)]
+        texts.append(" ".join(half))
+        group.append(1000 + g)
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(_docs(spark, texts)).collect())
+    assert kept == [group.index(g) for g in sorted(set(group), key=group.index)]
+
+
+def test_sketches_give_the_jaccard_similarity(spark):
+    rng = random.Random(3)
+    sets = []
+    for _ in range(60):
+        universe = [f"w{i}" for i in range(rng.choice([30, 400, 3000]))]
+        a = universe[: rng.randrange(6, len(universe))]
+        b = universe[rng.randrange(len(a) // 2) :]
+        sets.append((" ".join(a), " ".join(b)))
+    frame = spark.createDataFrame(sets, "a string, b string").select("a", "b", *[
+        simhash.prints(F.col(c))["sketch"].alias(f"s{c}") for c in "ab"])
+    for r in frame.select("a", "b", simhash.similarity(F.col("sa"), F.col("sb")).alias("j")).collect():
+        a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (r["a"].split(), r["b"].split()))
+        exact = len(a & b) / len(a | b)
+        assert abs(r["j"] - exact) <= (1e-9 if len(a | b) <= simhash.SKETCH else 0.12)
+
+
 # -- 6 ----------------------------------------------------------------------------
 
 
