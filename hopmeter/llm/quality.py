@@ -257,7 +257,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns; texts are described once."""
-    wide = cut(docs.select(F.struct(*docs.columns).alias("doc"), statistics(F.col("text")).alias("s")), "docs-described")
-    rules = learn(wide.select(F.col("doc.doc_id").alias("doc_id"), "s"), labels)
-    return wide.filter(~base_failed(F.col("s")) & rule_number(rules, F.col("s")).isNull()).select("doc.*")
+    """The documents that pass, with all their columns.
+
+    Texts are described once to learn and once to decide: only the counts are
+    written in between, no second copy of the texts.
+    """
+    rules = learn(cut(docs.select("doc_id", statistics(F.col("text")).alias("s")), "text-statistics"), labels)
+    good = let(statistics(docs["text"]), lambda s: ~base_failed(s) & rule_number(rules, s).isNull())
+    return docs.filter(good)

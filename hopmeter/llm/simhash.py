@@ -45,7 +45,7 @@ from hopmeter.session import cut
 
 LIMIT = 3
 SEED = 42
-WORD_PRINTS, SKETCH, SIMILAR, SIMILAR_WORDS = 3, 256, 0.8, 5
+WORD_PRINTS, SKETCH, SIMILAR, SIMILAR_WORDS = 3, 128, 0.8, 5
 BLOCKS, BLOCK_BITS, WORD_BITS = 4, 16, 23
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
