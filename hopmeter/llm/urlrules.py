@@ -119,17 +119,12 @@ def longest_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     around = sweep(points, _ends(_prefix_chain(hosts, "rule_host", shorter), "rule_host"))
     # Sweep two: path rules of each of those hosts. The separator stands in no key.
     joined = lambda host, path: F.concat(host, F.lit(bytes([0xFE])), path.cast("binary"))
-    paths = rules.select("host", "path", "verdict", "rule_host", joined(F.col("rule_host"), F.col("path")).alias("rule_key"))
+    paths = rules.withColumn("rule_key", joined(F.col("rule_host"), F.col("path")))
     prefixes = F.transform(
         F.sequence(F.lit(0), F.length("path")),
         lambda n: joined(F.col("rule_host"), F.substring(F.col("path"), F.lit(1), n)),
     )
-    known = paths.select("rule_key", "rule_host", "path")
-    chains = (
-        known.select("rule_key", F.explode(prefixes).alias("prefix"))
-        .join(known.select(F.col("rule_key").alias("prefix")), "prefix")
-        .groupBy("rule_key").agg(F.sort_array(F.collect_set("prefix")).alias("chain"))
-    )
+    chains = _prefix_chain(paths, "rule_key", prefixes)
     at = around.filter(F.size("open") > 0).select("row", "path", F.explode("open").alias("rule_host"))
     inner = sweep(
         at.select(joined(F.col("rule_host"), F.col("path")).alias("k"), "row"), _ends(chains, "rule_key")
