@@ -190,7 +190,7 @@ def test_edit_matching_against_brute_force(spark):
     for i, doc in enumerate(docs):
         for n, item in enumerate(items):
             d = _distance(decontam.normal(item), decontam.normal(doc))
-            if d <= decontam.edit_budget(len(decontam.normal(item)), 0.06):
+            if d <= decontam.edit_budget(len(decontam.normal(item)), decontam.RATE):
                 want.add((i, n, d))
     assert any(d for _, _, d in want)
     for block in (4_000_000, 300):
