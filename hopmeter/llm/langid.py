@@ -217,9 +217,9 @@ def labelled_windows(labelled: DataFrame, per_language: int, windows: int) -> tu
 
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = (
-        rows.withColumn("drawn", drawn).filter(F.col("drawn") < share[F.col("lang")])
+        rows.select("doc_id", "text", "lang", drawn.alias("drawn")).filter(F.col("drawn") < share[F.col("lang")])
+        .select("drawn", "doc_id", "lang", by_task("array<binary>", lambda: spread)(F.col("text")).alias("w"))
         .orderBy("drawn", "doc_id").limit(per_language * len(top))
-        .select("lang", by_task("array<binary>", lambda: spread)(F.col("text")).alias("w"))
     )
     found = [(w, r["lang"]) for r in sample.collect() for w in r["w"]]
     data = np.frombuffer(b"".join(bytes(w) for w, _ in found), np.uint8).reshape(-1, WINDOW)
