@@ -17,9 +17,9 @@ five-word shingles have a Jaccard similarity of 0.8 or more; those differ in too
 many bits for the limit above. Their distinct words hardly differ, though, so the
 same keys are taken from ``WORD_PRINTS`` fingerprints over single words, where such
 documents meet nearly always (measured recall: README). To keep large groups of
-near copies from making all their pairs, a key's fingerprints are each compared
-with one of them, the smallest, and the components join the rest; keys differ, so a
-document is compared with several. The similarity is that of the ``SKETCH``
+near copies from making all their pairs, a key's fingerprints are first compared
+with one of them, in rounds; what these connect needs no more comparison, and all
+other pairs that share a key are then compared. The similarity is that of the ``SKETCH``
 smallest shingle hashes of both (exact for texts with no more shingles than that).
 
 Components come from contraction to the smallest neighbour, in tables of links.
@@ -46,6 +46,8 @@ from hopmeter.session import cut
 LIMIT = 3
 SEED = 42
 WORD_PRINTS, SKETCH, SIMILAR, SIMILAR_WORDS = 3, 128, 0.8, 5
+#: A round of comparisons with one of each key is many links if it adds a link for every so many fingerprints.
+MANY = 100
 BLOCKS, BLOCK_BITS, WORD_BITS = 4, 16, 23
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
@@ -109,11 +111,14 @@ def word_prints(words: list[bytes], hashes: WordHashes) -> list[int]:
     return np.packbits(2 * ones > len(own), bitorder="little").view("<i8").tolist()
 
 
-def sketch_of(words: list[bytes], shingle: int = SIMILAR_WORDS) -> list[int]:
-    """The smallest distinct hashes of the shingles, as ints in order."""
-    least = np.zeros(0, np.uint32)
-    for h in _shingle_hashes(words, shingle) if words else ():
-        least = np.unique(np.concatenate((least, (h >> np.uint64(32)).astype(np.uint32))))[:SKETCH]
+def shingle_set(words: list[bytes], shingle: int = SIMILAR_WORDS) -> np.ndarray:
+    """The distinct hashes of all shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *(_shingle_hashes(words, shingle) if words else ())]))
+
+
+def sketch_of(hashes: np.ndarray) -> list[int]:
+    """The smallest of the upper halves of a ``shingle_set``, as distinct ints in order."""
+    least = np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH]
     return (least.astype(np.int64) - 2**31).tolist()
 
 
@@ -127,8 +132,10 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
     return by_task("bigint", lambda: of)(text)
 
 
-PRINTS = "struct<fp:bigint,words:array<bigint>,sketch:array<int>>"
-_PRINTS = pa.struct([("fp", pa.int64()), ("words", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
+PRINTS = "struct<fp:bigint,words:array<bigint>,sketch:array<int>,n:bigint>"
+_PRINTS = pa.struct([
+    ("fp", pa.int64()), ("words", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32())), ("n", pa.int64()),
+])
 
 
 def prints(text: Column, shingle: int = 3) -> Column:
@@ -139,7 +146,10 @@ def prints(text: Column, shingle: int = 3) -> Column:
         def one(text: str | None) -> dict:
             words = _words(text)
             fp = fingerprint_of(text, shingle)
-            return {"fp": fp - (fp >> 63 << 64), "words": word_prints(words, hashes), "sketch": sketch_of(words)}
+            own = shingle_set(words)
+            return {
+                "fp": fp - (fp >> 63 << 64), "words": word_prints(words, hashes), "sketch": sketch_of(own), "n": len(own),
+            }
 
         return lambda texts: pa.array([one(t.as_py()) for t in texts], _PRINTS)
 
@@ -249,41 +259,99 @@ def similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(a, b), least)) / F.greatest(F.size(least), F.lit(1))
 
 
-def similar_links(nodes: DataFrame, at_least: float = SIMILAR) -> DataFrame:
-    """(a, b), a < b, of fingerprints in ``nodes`` (fp, words, sketch) with similar texts."""
-    def keys(name: str, fuzzy: bool) -> DataFrame:
-        def of_print(i: int) -> Column:
-            return F.transform(golay_keys(F.col("words")[i], fuzzy), lambda key: key + F.lit(i << 40))
+def _of_similar_size(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can have a Jaccard similarity of ``SIMILAR``."""
+    return (a >= b * SIMILAR - 1e-6) & (b >= a * SIMILAR - 1e-6)
+
+
+def _word_keys(at: DataFrame, fuzzy: bool) -> DataFrame:
+    """(fp, label, n, key) of ``at`` (fp, label, n, words)."""
+    def of_print(i: int) -> Column:
+        return F.transform(golay_keys(F.col("words")[i], fuzzy), lambda key: key + F.lit(i << 40))
+
+    return at.select("fp", "label", "n", F.explode(F.concat(*map(of_print, range(WORD_PRINTS)))).alias("key"))
+
+
+def _renamed(frame: DataFrame, end: str) -> DataFrame:
+    return frame.select(*[F.col(c).alias(c if c == "key" else f"{c}_{end}") for c in frame.columns])
+
+
+def _met_once(at: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each fingerprint with one of another label for each of its keys; another one every ``turn``."""
+    plain = _word_keys(at, False)
+    drawn = F.struct(F.xxhash64("fp", F.lit(turn)).alias("draw"), "fp", "label", "n")
+    one = plain.groupBy("key").agg(F.min(drawn).alias("one")).select("key", "one.fp", "one.label", "one.n")
+    return _pairs(_renamed(_word_keys(at, True), "a").join(_renamed(one, "b"), "key"))
+
 
-        each = map(of_print, range(WORD_PRINTS))
-        return nodes.select(F.col("fp").alias(name), F.explode(F.concat(*each)).alias("key"))
+def _met_all(at: DataFrame) -> DataFrame:
+    """All pairs of fingerprints that share a key and have different labels.
 
-    smallest = keys("b", False).groupBy("key").agg(F.min("b").alias("b"))
-    met = cut(
-        keys("a", True).join(smallest, "key").filter("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-        "fp-met",
+    A key's labels are joined first and their members then, so that fingerprints of
+    one label never meet, however many there are.
+    """
+    plain = _renamed(_word_keys(at, False), "b")
+    labels = plain.groupBy("key", "label_b").agg(F.min("n_b").alias("least"), F.max("n_b").alias("most"))
+    fuzzy = _renamed(_word_keys(at, True), "a").join(labels, "key").filter(
+        (F.col("label_a") != F.col("label_b"))
+        & (F.col("most") >= F.col("n_a") * SIMILAR - 1e-6) & (F.col("n_a") >= F.col("least") * SIMILAR - 1e-6)
+    )
+    return _pairs(fuzzy.join(plain, ["key", "label_b"]))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return (
+        met.filter((F.col("label_a") != F.col("label_b")) & _of_similar_size(F.col("n_a"), F.col("n_b")))
+        .select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
     )
+
+
+def similar_links(nodes: DataFrame, known: DataFrame, accept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links that with ``known`` connect all similar texts of ``nodes`` (fp, words, sketch, n) that share a key.
+
+    ``accept`` takes (a, b, s), pairs with the similarity of their sketches, and gives the (a, b) that are similar.
+    First each fingerprint is compared with one of each key, in rounds while they bring many links; then
+    every pair that shares a key and is not yet connected. So a pair left out is a connected one.
+    """
     sketch = lambda name: nodes.select(F.col("fp").alias(name), F.col("sketch").alias(f"sketch_{name}"))
-    both = met.join(sketch("a"), "a").join(sketch("b"), "b")
-    return both.filter(similarity(F.col("sketch_a"), F.col("sketch_b")) >= at_least).select("a", "b")
+    size, found, turn, last = nodes.count(), known, 0, False
+    while True:
+        label = components(found)
+        found = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        at = cut(
+            nodes.select("fp", "words", "n").join(label, F.col("fp") == F.col("node"), "left")
+            .select("fp", "words", "n", F.coalesce("label", "fp").alias("label")),
+            "fp-labels",
+        )
+        met = cut(_met_all(at) if last else _met_once(at, turn), "fp-met")
+        both = met.join(sketch("a"), "a").join(sketch("b"), "b")
+        judged = both.select("a", "b", similarity(F.col("sketch_a"), F.col("sketch_b")).alias("s"))
+        fresh = cut(accept(judged), "fp-similar")
+        found = found.union(fresh)
+        if last:
+            return found
+        turn, last = turn + 1, fresh.count() * MANY <= size
+
+
+def by_sketch(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(F.col("s") >= SIMILAR).select("a", "b")
 
 
 def classes(slim: DataFrame, similar: bool = False) -> DataFrame:
     """(fp, component_id, first_row, n_links) of every fingerprint of ``slim`` (fp, doc_id, row).
 
-    With ``similar`` also over ``similar_links``, from the columns words and sketch.
+    With ``similar`` also over ``similar_links``, from the columns words, sketch and n.
 
     ``component_id`` is the smallest doc_id of the component, ``first_row`` the
     row with it (the smallest if it repeats), ``n_links`` the linked other
     fingerprints.
     """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    more = [F.first(c).alias(c) for c in ("words", "sketch")] if similar else []
+    more = [F.min_by(F.struct("words", "sketch", "n"), order).alias("print")] if similar else []
     by_fp = cut(slim.groupBy("fp").agg(F.min(order).alias("first"), *more), "fingerprints")
     pairs = links(by_fp.select("fp"))
     if similar:
-        pairs = pairs.union(similar_links(by_fp.select("fp", "words", "sketch"))).distinct()
+        pairs = similar_links(by_fp.select("fp", "print.*"), pairs, by_sketch)
     pairs = cut(pairs, "fp-links")
     label = components(pairs)
     count = (
