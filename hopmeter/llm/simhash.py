@@ -19,8 +19,9 @@ same keys are taken from ``WORD_PRINTS`` fingerprints over single words, where s
 documents meet nearly always (measured recall: README). To keep large groups of
 near copies from making all their pairs, a key's fingerprints are first compared
 with one of them, in rounds; what these connect needs no more comparison, and all
-other pairs that share a key are then compared. The similarity is that of the ``SKETCH``
-smallest shingle hashes of both (exact for texts with no more shingles than that).
+other pairs that share a key are then compared. The ``SKETCH``
+smallest shingle hashes of both tell which pairs are far from similar (five standard
+errors below the limit); the others are judged by all shingles of their texts.
 
 Components come from contraction to the smallest neighbour, in tables of links.
 Defined cases: a null or empty text has fingerprint zero and links like any
@@ -32,6 +33,7 @@ no other is there.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ from hopmeter.session import cut
 LIMIT = 3
 SEED = 42
 WORD_PRINTS, SKETCH, SIMILAR, SIMILAR_WORDS = 3, 128, 0.8, 5
+#: Pairs whose sketches are less similar aren't looked at: five standard errors of a sketch below ``SIMILAR``.
+ROUGH = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / SKETCH) ** 0.5
 #: A round of comparisons with one of each key is many links if it adds a link for every so many fingerprints.
 MANY = 100
 BLOCKS, BLOCK_BITS, WORD_BITS = 4, 16, 23
@@ -306,10 +310,11 @@ def _pairs(met: DataFrame) -> DataFrame:
     )
 
 
-def similar_links(nodes: DataFrame, known: DataFrame, accept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def similar_links(nodes: DataFrame, known: DataFrame, accept: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
     """Links that with ``known`` connect all similar texts of ``nodes`` (fp, words, sketch, n) that share a key.
 
-    ``accept`` takes (a, b, s), pairs with the similarity of their sketches, and gives the (a, b) that are similar.
+    ``accept`` takes (a, b, s), pairs with the similarity of their sketches, and gives the (a, b) that are similar;
+    all of them if its second argument says that it is asked for the last time.
     First each fingerprint is compared with one of each key, in rounds while they bring many links; then
     every pair that shares a key and is not yet connected. So a pair left out is a connected one.
     """
@@ -326,32 +331,62 @@ def similar_links(nodes: DataFrame, known: DataFrame, accept: Callable[[DataFram
         met = cut(_met_all(at) if last else _met_once(at, turn), "fp-met")
         both = met.join(sketch("a"), "a").join(sketch("b"), "b")
         judged = both.select("a", "b", similarity(F.col("sketch_a"), F.col("sketch_b")).alias("s"))
-        fresh = cut(accept(judged), "fp-similar")
+        fresh = cut(accept(judged, last), "fp-similar")
         found = found.union(fresh)
         if last:
             return found
         turn, last = turn + 1, fresh.count() * MANY <= size
 
 
-def by_sketch(pairs: DataFrame) -> DataFrame:
-    return pairs.filter(F.col("s") >= SIMILAR).select("a", "b")
+def exact_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of all shingles of two texts."""
+    def build() -> Callable:
+        hashes = lru_cache(maxsize=8)(lambda text: shingle_set(_words(text)))
+
+        def one(a: str, b: str) -> float:
+            x, y = hashes(a), hashes(b)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both / max(1, len(x) + len(y) - both)
+
+        return lambda xs, ys: pa.array([one(x.as_py(), y.as_py()) for x, y in zip(xs, ys)], pa.float64())
+
+    return by_task("double", build)(a, b)
+
+
+def by_texts(rows: DataFrame, texts: DataFrame) -> Callable[[DataFrame, bool], DataFrame]:
+    """What ``similar_links`` accepts, from the texts of ``rows`` (fp, row) in ``texts`` (row, text)."""
+    def accept(pairs: DataFrame, last: bool) -> DataFrame:
+        near = pairs.filter(F.col("s") >= ROUGH)
+        ends = near.select("a", "b", "s", F.explode(F.array("a", "b")).alias("fp"))
+        if not last:
+            # What is connected by its best pairs needs no other; all others come back.
+            ends = ends.groupBy("fp").agg(F.max(F.struct("s", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+            ends = ends.select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
+        found = ends.select("a", "b", "fp").join(rows, "fp").join(texts, "row")
+        text = lambda end: F.first(F.when(F.col("fp") == F.col(end), F.coalesce("text", F.lit(""))), True)
+        both = found.groupBy("a", "b").agg(text("a").alias("x"), text("b").alias("y"))
+        judged = both.select("a", "b", exact_similarity(F.col("x"), F.col("y")).alias("j"))
+        return judged.filter(F.col("j") >= SIMILAR).select("a", "b")
+
+    return accept
 
 
-def classes(slim: DataFrame, similar: bool = False) -> DataFrame:
+def classes(slim: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(fp, component_id, first_row, n_links) of every fingerprint of ``slim`` (fp, doc_id, row).
 
-    With ``similar`` also over ``similar_links``, from the columns words, sketch and n.
+    With ``texts`` (row, text) also over ``similar_links``, from the columns words, sketch and n.
 
     ``component_id`` is the smallest doc_id of the component, ``first_row`` the
     row with it (the smallest if it repeats), ``n_links`` the linked other
     fingerprints.
     """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    more = [F.min_by(F.struct("words", "sketch", "n"), order).alias("print")] if similar else []
+    more = [F.min_by(F.struct("words", "sketch", "n"), order).alias("print")] if texts is not None else []
     by_fp = cut(slim.groupBy("fp").agg(F.min(order).alias("first"), *more), "fingerprints")
     pairs = links(by_fp.select("fp"))
-    if similar:
-        pairs = similar_links(by_fp.select("fp", "print.*"), pairs, by_sketch)
+    if texts is not None:
+        accept = by_texts(by_fp.select("fp", "first.row"), texts)
+        pairs = similar_links(by_fp.select("fp", "print.*"), pairs, accept)
     pairs = cut(pairs, "fp-links")
     label = components(pairs)
     count = (
@@ -396,5 +431,5 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
         "docs-numbered",
     )
     slim = wide.select("print.*", F.col("doc.doc_id").alias("doc_id"), "row")
-    kept = classes(slim, similar=True).select(F.col("first_row").alias("row")).distinct()
+    kept = classes(slim, wide.select("row", F.col("doc.text").alias("text"))).select(F.col("first_row").alias("row")).distinct()
     return wide.join(kept, "row", "left_semi").select("doc.*")

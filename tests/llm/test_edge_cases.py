@@ -304,6 +304,28 @@ def test_groups_grown_copy_from_copy_are_one_class(spark):
     assert set(want) <= set(kept) and len(kept) <= len(want) + 2
 
 
+def test_similarity_is_judged_by_all_shingles(spark):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    texts = []
+    # Pairs around the limit: 19 words changed here and there leave a similarity of 0.81, 20 one of 0.799.
+    for changed in [18, 19, 20, 21] * 20:
+        base = [word() for _ in range(899)]
+        copy = list(base)
+        for at in rng.sample(range(10, 890, 10), changed):
+            copy[at] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    sets = [_shingles(t) for t in texts]
+    bits = lambda i: (simhash.fingerprint_of(texts[i]) ^ simhash.fingerprint_of(texts[i + 1])).bit_count()
+    exact = [_similarity(sets[i], sets[i + 1]) >= 0.8 or bits(i) <= 3 for i in range(0, len(texts), 2)]
+    assert 20 < sum(exact) < 60
+    kept = {r["doc_id"] for r in simhash.keep_one(_docs(spark, texts)).collect()}
+    gone = [2 * i + 1 not in kept for i in range(len(exact))]
+    assert not any(g and not e for g, e in zip(gone, exact))
+    # A pair that meets on no key stays.
+    assert sum(e and not g for g, e in zip(gone, exact)) <= 3
+
+
 def test_sketches_give_the_jaccard_similarity(spark):
     rng = random.Random(3)
     sets = []
