@@ -308,9 +308,10 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by its kind in angle brackets; overlapping spans count as the first."""
+    """``text`` with each span replaced by its kind in angle brackets; overlapping spans go whole, under the kind of the first."""
     def apart(acc: Column, s: Column) -> Column:
-        return F.when(s["start"] < acc["at"], acc).otherwise(
+        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))
+        return F.when(s["start"] < acc["at"], longer).otherwise(
             F.struct(
                 s["end"].alias("at"),
                 F.concat(

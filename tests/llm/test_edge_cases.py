@@ -455,6 +455,16 @@ def test_spans_against_plain_patterns(spark):
         assert red[i] == out + t[at:]
 
 
+def test_overlapping_spans_leave_nothing_of_either(spark):
+    texts = ["see 10.0.0.0 4111 1111 1111 1111 end", "plain"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    red = {r["doc_id"]: r["text"] for r in pii.redact(frame).collect()}
+    assert red == {0: "see <ip> end", 1: "plain"}
+    spans = F.expr("array(struct(0 start, 0 kind, 9 end), struct(2 start, 1 kind, 5 end), struct(7 start, 4 kind, 12 end), struct(12 start, 5 kind, 14 end))")
+    got = spark.createDataFrame([("abcdefghijklmnop",)], "t string").select(pii.redacted(F.col("t"), spans)).first()[0]
+    assert got == "<email><number>op"
+
+
 # -- 9 ----------------------------------------------------------------------------
 
 
