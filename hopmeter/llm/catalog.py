@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopmeter.llm import bpe, decontam, langid, licenses, lm, pii, quality, shards, simhash, urlrules
+from hopmeter.llm import (
+    bpe, collocations, decontam, langid, licenses, lm, merkle, pii, quality, shards, simhash, tokenfile, urlrules,
+)
 from hopmeter.llm.common import documents
 
 
@@ -65,6 +67,39 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", found).select("doc_id", "found.*")
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids written as shards, and every document read back by its key."""
+    store = tokenfile.write(documents(spark, sf_dir), "doc_id", F.col("text"))
+    return tokenfile.read(store).select(
+        F.col("key").cast(store.key_type).alias("doc_id"), "start",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, and the root that a tampered copy of some would give."""
+    def fields(n_chars: Column) -> list[Column]:
+        return [F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")]
+
+    changed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 0
+    other = F.when(changed, merkle.leaf_digest(fields(F.col("n_chars") + 1)))
+    manifest = merkle.build(
+        documents(spark, sf_dir), fields(F.col("n_chars")), F.col("lang"), F.col("doc_id"), {"other": F.unhex(other)}
+    )
+    proved = merkle.proofs(manifest).withColumn(
+        "folded_root", merkle.folded(F.coalesce(F.lower(F.hex("other")), "leaf"), F.col("steps"))
+    )
+    return proved.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root",
+        F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

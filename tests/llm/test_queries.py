@@ -43,7 +43,7 @@ def test_registered_with_the_others():
 
     names = set(contract.queries())
     assert set(catalog.queries()) | {"pipeline"} <= names
-    assert {re.match(r"op(\d+)_", n)[1] for n in catalog.queries()} == {str(n) for n in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in catalog.queries()} == {str(n) for n in range(1, 14)}
 
 
 def test_quality(spark, docs):
