@@ -1,16 +1,22 @@
 """Phrases whose words stand together more often than their parts would let expect.
 
-Every occurrence of a word opens a window of up to five words of its piece, and a
-window is a path in a HAT-trie: under a language's shallow trie over word ids lie
-hash containers of the windows' further words with their counts; a container that
-grows too large bursts into one per second word. Beyond ``ENTRIES`` entries a task
-spills its largest subtrees. A spilled run is sorted and goes out in one binary per
-prefix partition, words of its own dictionary instead of texts: words and pairs to
-the partition of the pair, longer windows to that of their first three words, so
-that neither a frequent word nor a frequent pair makes a partition large. Each
-partition merges its runs; a phrase's count is the sum over the windows it begins.
-Only phrases of ``least`` occurrences leave a partition, and since the parts of such
-a phrase are as frequent, scores need nothing else.
+Every pair of words opens a window of up to five words of its piece, and a window is
+a path in a HAT-trie: under a language's shallow trie over word ids lie hash
+containers of the windows' further words with their counts; a container that grows
+too large bursts into one per second word. Beyond ``ENTRIES`` entries a task spills its
+largest subtrees. A spilled run is sorted and goes out in one binary per prefix
+partition, words of its own dictionary instead of texts: words and pairs to the
+partition of the pair, longer windows to that of their first three words, so that
+neither a frequent word nor a frequent pair makes a partition large. Each partition
+merges its runs; a phrase's count is the sum over the windows it begins. Only
+phrases of ``least`` occurrences leave a partition, and since the parts of such a
+phrase are as frequent, scores need nothing else.
+
+Most pairs are rare, and no candidate holds a rare pair. A pass before counts pairs in
+``BUCKETS`` buckets of their hashes; a window ends before a pair whose bucket has fewer
+than ``least``. Two pairs in one bucket only let more through, so counts are exact at any
+size, while the bits that tasks get are 2^26 at most. Where the corpus has more than
+some hundred times as many pairs as buckets, nearly all pass and the tries do all the work.
 
 What one task holds are the distinct windows of a partition; partitions are as many
 as the bytes of text ask for (``PART_BYTES``). A run holds each distinct window once, so a
@@ -27,10 +33,12 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +51,8 @@ ENTRIES, BURST = 1_000_000, 16_384
 WORDS = 1_000_000
 #: Bytes of text handled at once, and per prefix partition.
 PORTION, PART_BYTES = 4 << 20, 8 << 20
+#: Buckets of pairs, and in how many pieces their counts go out.
+BUCKETS, PIECES = 1 << 26, 64
 #: Rows ranked in one group of the first of two rankings; the second has ``top`` rows of each.
 SALTS = 64
 
@@ -65,13 +75,16 @@ class WordIds(dict):
         return n
 
 
-def windows(ids: np.ndarray) -> np.ndarray:
-    """(n, 5) windows of the words of ``ids``, zero behind the end of a piece."""
+def windows(ids: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """(n, 5) windows of two words of ``ids`` and more, zero behind their end; ``often[i]``: words i and i + 1 may go together."""
     padded = np.concatenate([ids, np.zeros(LONGEST, ids.dtype)])
-    columns = [ids]
+    joined = np.concatenate([often, np.zeros(LONGEST, bool)])
+    at = np.flatnonzero(often)
+    columns, goes_on = [ids[at]], np.ones(len(at), bool)
     for k in range(1, LONGEST):
-        columns.append(np.where(columns[-1] > 0, padded[k : k + len(ids)], 0))
-    return np.stack(columns, axis=1)[ids > 0]
+        goes_on = goes_on & joined[at + k - 1]
+        columns.append(np.where(goes_on, padded[at + k], 0))
+    return np.stack(columns, axis=1)
 
 
 class HatTrie:
@@ -152,14 +165,10 @@ def _summed(rows: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarra
 
 
 def run_entries(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of spilled windows: words and pairs with their sums, and the windows of three words and more."""
+    """Of spilled windows: pairs with their sums, and the windows of three words and more."""
     pairs, pair_counts = _summed(rows, counts, 2)
-    words, word_counts = _summed(pairs, pair_counts, 1)
-    longer, real = rows[:, 2] > 0, pairs[:, 1] > 0
-    return (
-        np.concatenate([words, pairs[real], rows[longer]]),
-        np.concatenate([word_counts, pair_counts[real], counts[longer]]),
-    )
+    longer = rows[:, 2] > 0
+    return np.concatenate([pairs, rows[longer]]), np.concatenate([pair_counts, counts[longer]])
 
 
 def pack_run(sections: list[tuple[str, list[bytes], np.ndarray, np.ndarray]]) -> bytes:
@@ -187,88 +196,173 @@ def unpack_run(run: bytes) -> Iterator[tuple[str, list[bytes], np.ndarray, np.nd
         at += 8 * n_rows
 
 
+class Words:
+    """Word ids of a task and their hashes."""
+
+    def __init__(self):
+        self.ids, self.names, self.hashes = WordIds(), [], np.zeros(0, np.uint64)
+
+    def read(self, texts: list[bytes]) -> np.ndarray:
+        """Ids of the texts' words, zero between pieces."""
+        tokens = b" . ".join(texts).lower().translate(_STOPS).replace(b".", b" . ").split()
+        found = np.fromiter(map(self.ids.__getitem__, tokens), "<u4", len(tokens))
+        if len(self.names) < len(self.ids):
+            fresh = list(islice(self.ids, len(self.names), None))
+            self.names += fresh
+            made = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
+            self.hashes = np.concatenate([self.hashes, made])
+        return found
+
+    def mixed(self, lang: str, *columns: np.ndarray) -> np.ndarray:
+        """A hash of the words of each row; zero ids count as no word."""
+        mixed = np.full(len(columns[0]), xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")), np.uint64)
+        for column in columns:
+            mixed = (mixed ^ np.where(column > 0, self.hashes[column], np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        return mixed
+
+    def pairs(self, lang: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of words with a next one in their piece, bucket of the pair)."""
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        return at, (self.mixed(lang, ids[at], ids[at + 1]) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """The texts in portions of one language each."""
+    waiting: dict[str, list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch["lang"], batch["text"]):
+            raw = text.as_py().encode("utf-8", "surrogatepass")
+            waiting.setdefault(lang.as_py(), []).append(raw)
+            size += len(raw)
+            if size >= PORTION:
+                yield from waiting.items()
+                waiting, size = {}, 0
+    yield from waiting.items()
+
+
+def _bucket_counter(least: int):
+    """Rows (piece, counts) of the pairs of a task, counts cut off at ``least``."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = Words(), np.zeros(BUCKETS, np.uint8)
+        for lang, texts in _by_lang(batches):
+            _, bucket = words.pairs(lang, words.read(texts))
+            bucket, n = np.unique(bucket, return_counts=True)
+            counts[bucket] = np.minimum(counts[bucket] + n, min(least, 255))
+            if len(words.ids) > WORDS:
+                words = Words()
+        for i, piece in enumerate(counts.reshape(PIECES, -1)):
+            yield pa.RecordBatch.from_pydict({"part": [i], "run": [pa.compress(piece.tobytes(), "zstd", asbytes=True)]}, _RUN)
+
+    return count
+
+
+def _bucket_bits(least: int):
+    """Which buckets of a piece have ``least`` pairs."""
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(BUCKETS // PIECES, np.int64)
+        for run in table["run"]:
+            raw = pa.decompress(run.as_buffer(), len(total), "zstd", asbytes=True)
+            total = np.minimum(total + np.frombuffer(raw, np.uint8), least)
+        return pa.table({"part": table["part"].slice(0, 1), "run": [np.packbits(total >= min(least, 255)).tobytes()]}, _RUN)
+
+    return add
+
+
+def pair_bits(own: DataFrame, least: int) -> bytes:
+    """One bit per bucket of pairs: whether they occur ``least`` times together."""
+    pieces = own.mapInArrow(_bucket_counter(least), "part int, run binary").groupBy("part").applyInArrow(
+        _bucket_bits(least), "part int, run binary"
+    )
+    found = {r["part"]: bytes(r["run"]) for r in pieces.collect()}
+    return b"".join(found.get(i, bytes(BUCKETS // PIECES // 8)) for i in range(PIECES))
+
+
 class Counting:
     """The tries of a task, one per language, over one set of word ids."""
 
-    def __init__(self, parts: int):
-        self.parts, self.ids, self.tries = parts, WordIds(), {}
-        self.words: list[bytes] = []
-        self.hashes = np.zeros(0, np.uint64)
+    def __init__(self, parts: int, bits: bytes):
+        self.parts, self.bits = parts, np.frombuffer(bits, np.uint8)
+        self.begin()
+
+    def begin(self) -> None:
+        self.words, self.tries, self.single = Words(), {}, {}
 
     def add(self, lang: str, texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
         """Count the texts; gives the runs that this makes too many."""
-        tokens = b" . ".join(texts).lower().translate(_STOPS).replace(b".", b" . ").split()
-        ids = np.fromiter(map(self.ids.__getitem__, tokens), "<u4", len(tokens))
-        self.tries.setdefault(lang, HatTrie()).add(windows(ids))
-        if len(self.ids) > WORDS:
-            yield from self.spill(0)
-            self.ids, self.words, self.hashes = WordIds(), [], np.zeros(0, np.uint64)
+        ids = self.words.read(texts)
+        at, bucket = self.words.pairs(lang, ids)
+        often = np.zeros(len(ids), bool)
+        often[at] = self.bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1
+        self.tries.setdefault(lang, HatTrie()).add(windows(ids, often))
+        single = np.bincount(ids, minlength=len(self.words.ids))
+        single[: len(self.single.get(lang, ()))] += self.single.get(lang, single[:0])
+        self.single[lang] = single
+        if len(self.words.ids) > WORDS:
+            yield from self.end()
+            self.begin()
         elif sum(t.entries for t in self.tries.values()) > ENTRIES:
             yield from self.spill(ENTRIES // 2)
 
+    def end(self) -> Iterator[tuple[int, bytes]]:
+        """All that is left, and the single words."""
+        yield from self.spill(0)
+        by_lang = {}
+        for lang, counts in self.single.items():
+            own = np.flatnonzero(counts[1:]) + 1
+            rows = np.zeros((len(own), LONGEST), "<u4")
+            rows[:, 0] = own
+            by_lang[lang] = rows, counts[own].astype(np.int64)
+        yield from self.runs(by_lang)
+
     def spill(self, keep: int) -> Iterator[tuple[int, bytes]]:
-        """(partition, run) over all languages; each language gives in proportion."""
-        self.words.extend(list(self.ids)[len(self.words) :])
-        fresh = [xxhash.xxh3_64_intdigest(w) for w in self.words[len(self.hashes) :]]
-        self.hashes = np.concatenate([self.hashes, np.array(fresh, np.uint64)])
-        total = sum(t.entries for t in self.tries.values())
+        """Runs of the largest subtrees; each language gives in proportion."""
+        total = max(1, sum(t.entries for t in self.tries.values()))
+        yield from self.runs({
+            lang: run_entries(*trie.spill(trie.entries * keep // total)) for lang, trie in self.tries.items()
+        })
+
+    def runs(self, by_lang: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
+        """(partition, run), words and rows in the order of their bytes."""
         by_part: dict[int, list] = {}
-        for lang, trie in self.tries.items():
-            rows, counts = run_entries(*trie.spill(trie.entries * keep // max(1, total)))
-            mixed = np.full(len(rows), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
-            for k in range(3):
-                mixed = (mixed ^ np.where(rows[:, k] > 0, self.hashes[rows[:, k]], np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-            part = (mixed % np.uint64(self.parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+        for lang, (rows, counts) in by_lang.items():
+            part = (self.words.mixed(lang, *rows[:, :3].T) % np.uint64(self.parts)).astype(np.int64)
+            known = np.unique(rows)
+            known = known[known > 0]
+            names = [self.words.names[i] for i in known.tolist()]
+            order = sorted(range(len(names)), key=names.__getitem__)
+            names = [names[i] for i in order]
+            rank = np.zeros(len(self.words.names), "<u4")
+            rank[known[np.array(order, np.int64)]] = np.arange(1, len(names) + 1)
+            rows = rank[rows]
+            order = np.lexsort((*(rows[:, k] for k in range(LONGEST - 1, -1, -1)), part))
+            rows, counts = rows[order], counts[order]
             ends = np.searchsorted(part[order], np.arange(self.parts + 1))
             for p in np.flatnonzero(np.diff(ends)).tolist():
-                own = order[ends[p] : ends[p + 1]]
-                by_part.setdefault(p, []).append((lang, *self._section(rows[own]), counts[own]))
+                own = rows[ends[p] : ends[p + 1]]
+                used = np.unique(own)
+                used = used[used > 0]
+                local = np.searchsorted(used, own, side="left") + 1
+                local[own == 0] = 0
+                by_part.setdefault(p, []).append(
+                    (lang, [names[i - 1] for i in used.tolist()], local, counts[ends[p] : ends[p + 1]])
+                )
         for p, sections in by_part.items():
-            yield p, pack_run([self._sorted(*s) for s in sections])
-
-    def _section(self, rows: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """The words of the rows in order, and the rows with ids into them."""
-        known, at = np.unique(rows, return_inverse=True)
-        names = [self.words[i] for i in known.tolist() if i]
-        order = sorted(range(len(names)), key=names.__getitem__)
-        rank = np.zeros(len(names) + 1, "<u4")
-        rank[np.array(order, np.int64) + 1] = np.arange(1, len(names) + 1)
-        place = rank if len(known) and known[0] == 0 else rank[1:]
-        return [names[i] for i in order], place[at].reshape(rows.shape)
-
-    @staticmethod
-    def _sorted(lang: str, words: list[bytes], rows: np.ndarray, counts: np.ndarray) -> tuple:
-        order = np.lexsort(tuple(rows[:, k] for k in range(LONGEST - 1, -1, -1)))
-        return lang, words, rows[order], counts[order]
+            yield p, pack_run(sections)
 
 
-def _counter(parts: int):
+def _counter(parts: int, bits: Broadcast):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = Counting(parts)
-        waiting: dict[str, list[bytes]] = {}
-        size = 0
+        tries = Counting(parts, bits.value)
 
         def out(runs: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
             for part, run in runs:
                 yield pa.RecordBatch.from_pydict({"part": [part], "run": [run]}, _RUN)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, texts in waiting.items():
-                yield from out(tries.add(lang, texts))
-            waiting.clear()
-
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
-                raw = text.as_py().encode("utf-8", "surrogatepass")
-                waiting.setdefault(lang.as_py(), []).append(raw)
-                size += len(raw)
-                if size >= PORTION:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-        yield from out(tries.spill(0))
+        for lang, texts in _by_lang(batches):
+            yield from out(tries.add(lang, texts))
+        yield from out(tries.end())
 
     return count
 
@@ -317,7 +411,8 @@ def frequent(docs: DataFrame, least: int) -> DataFrame:
     own = docs.filter("text IS NOT NULL").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(64, -(-size // PART_BYTES))
-    runs = own.mapInArrow(_counter(parts), "part int, run binary")
+    bits = docs.sparkSession.sparkContext.broadcast(pair_bits(own, least))
+    runs = own.mapInArrow(_counter(parts, bits), "part int, run binary")
     return runs.groupBy("part").applyInArrow(_merger(least), "lang string, size int, phrase string, f bigint")
 
 
