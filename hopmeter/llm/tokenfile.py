@@ -9,8 +9,8 @@ how many documents have it; then where each document starts. A lookup is a few
 hashes and two array reads, whatever the size of the shard, and a key that was
 never written is told by its fingerprint (save one in 2^32).
 
-Documents are encoded once, each distinct word by the library, and written; range
-sorted by key; and each task writes its range as one or more shards. A shard's name
+Documents are range sorted by key, and each task encodes its range, every distinct
+word once by the library, and writes it as one or more shards. A shard's name
 is drawn anew in each attempt and only finished tasks get into the manifest table,
 so that lost executors and repeated tasks leave no trace in it.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import io
 import json
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -44,7 +45,12 @@ END_ID = 2
 #: A shard ends after so many documents or ids, whichever comes first.
 SHARD_DOCS, SHARD_IDS = 1 << 18, 1 << 27
 #: Words whose ids a task keeps; beyond it starts anew, which costs time only.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
+#: Texts encoded at once.
+TEXTS = 2000
+#: Letters before this one are letters in every version of the character tables.
+LATER_SCRIPTS = "\u0530"
+MARKS = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
 #: Bits per key on the first level.
 GAMMA = 2.0
 #: Bytes of ids sent back at once.
@@ -63,37 +69,61 @@ def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(text: Column, vocabulary: str, end_id: int = END_ID) -> Column:
-    """Ids of a whole text and the end id, as little-endian 32-bit integers in a binary.
+class Encoder:
+    """Ids of whole texts, each distinct word encoded once by the library.
 
     The vocabulary's words never span ASCII white space and its normal form doesn't
-    look across it either, so a text's ids are those of its pieces; each task lets
-    the library encode a piece once.
+    look across it either, so a text's ids are those of its pieces. A mark at the
+    end of a word is a piece of its own behind a letter: it neither joins the
+    letter's word nor forms a character with it. Words of ASCII letters alone, of which the
+    normal form is the lower case, go straight to the library's merges.
     """
-    def build() -> Callable:
+
+    def __init__(self, vocabulary: str, end_id: int, type: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer, known = Tokenizer.from_file(vocabulary), {}
-        end = np.array([end_id], "<u4").tobytes()
-
-        def of(texts: pa.Array) -> pa.Array:
-            pieces = [(t.as_py() or "").encode("utf-8", "surrogatepass").split() for t in texts]
-            if len(known) > KEPT_WORDS:
-                known.clear()
-            fresh = [p for p in set().union(*pieces) if p not in known] if pieces else []
-            for at in range(0, len(fresh), 10_000):
-                some = fresh[at : at + 10_000]
-                names = [p.decode("utf-8", "surrogatepass") for p in some]
-                for piece, found in zip(some, tokenizer.encode_batch_fast(names, add_special_tokens=False)):
-                    known[piece] = np.array(found.ids, "<u4").tobytes()
-            return pa.array([b"".join([*map(known.__getitem__, p), end]) for p in pieces], pa.binary())
-
-        return of
-
-    return by_task("binary", build)(text)
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.model = self.tokenizer.model
+        self.type, self.end = type, np.array([end_id], type).tobytes()
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        rest = []
+        for p in pieces:
+            if p.isascii() and p.isalpha():
+                self.pieces[p] = np.array([t.id for t in self.model.tokenize(p.lower())], self.type).tobytes()
+            else:
+                rest.append(p)
+        for at in range(0, len(rest), 10_000):
+            some = rest[at : at + 10_000]
+            for p, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.pieces[p] = np.array(found.ids, self.type).tobytes()
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text and the end id."""
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        # Names of special tokens are told apart by case.
+        split = [(t if b"<|" in t else t.lower()).split() for t in raw]
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
+            self.pieces.clear()
+        cut = {w: _pieces(w) for w in set().union(*split) if w not in self.words}
+        self._learn({p for some in cut.values() for p in some if p not in self.pieces})
+        for w, some in cut.items():
+            self.words[w] = b"".join(map(self.pieces.__getitem__, some))
+        return [b"".join([*map(self.words.__getitem__, words), self.end]) for words in split]
+
+
+def _pieces(word: bytes) -> tuple[str, ...]:
+    """A word without the marks at its end, and these; whole where the last letter's normal form may not end in a letter."""
+    text = word.decode("utf-8", "surrogatepass")
+    core = text.rstrip(MARKS)
+    last = unicodedata.normalize("NFC", core[-1:]).lower()[-1:]
+    return (core, text[len(core) :]) if core != text and last.isalpha() and core[-1] < LATER_SCRIPTS else (text,)
 
 
 # -- minimal perfect hash -------------------------------------------------------------
@@ -211,7 +241,7 @@ class _Shard:
     """A shard being written."""
 
     def __init__(self, folder: str, width: int):
-        self.path, self.type = f"{folder}/{uuid.uuid4().hex}", f"<u{width}"
+        self.path, self.width = f"{folder}/{uuid.uuid4().hex}", width
         system, at = _place(f"{self.path}.ids")
         system.create_dir(at.rsplit("/", 1)[0], recursive=True)
         self.out = system.open_output_stream(at, buffer_size=1 << 20)
@@ -220,11 +250,10 @@ class _Shard:
         self.n_ids, self.ends = 0, [None, None]
 
     def add(self, key: str | None, ids: bytes) -> None:
-        values = np.frombuffer(ids, "<u4")
-        self.out.write(values.astype(self.type).tobytes())
+        self.out.write(ids)
         self.keys.append(key_bytes(key))
-        self.lengths.append(len(values))
-        self.n_ids += len(values)
+        self.lengths.append(len(ids) // self.width)
+        self.n_ids += self.lengths[-1]
         self.ends = [key if len(self.keys) == 1 else self.ends[0], key]
 
     def full(self) -> bool:
@@ -235,7 +264,7 @@ class _Shard:
         _save(f"{self.path}.idx", make_index(self.keys, np.array(self.lengths, np.int64)))
         return {
             "task": task, "number": number, "path": self.path, "n_docs": len(self.keys), "n_ids": self.n_ids,
-            "width": int(self.type[-1]), "first_key": self.ends[0], "last_key": self.ends[1],
+            "width": self.width, "first_key": self.ends[0], "last_key": self.ends[1],
         }
 
 
@@ -245,16 +274,19 @@ _MANIFEST = pa.schema([
 ])
 
 
-def _writer(folder: str, width: int) -> Callable:
+def _writer(folder: str, vocabulary: str, end_id: int, width: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, shard, done = TaskContext.get().partitionId(), None, []
+        encoder = Encoder(vocabulary, end_id, f"<u{width}")
         for batch in batches:
-            for key, ids in zip(batch["key"], batch["ids"]):
-                shard = shard or _Shard(folder, width)
-                shard.add(key.as_py(), ids.as_buffer())
-                if shard.full():
-                    done.append(shard.close(task, len(done)))
-                    shard = None
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                for key, ids in zip(some["key"].to_pylist(), encoder.texts(some["text"].to_pylist())):
+                    shard = shard or _Shard(folder, width)
+                    shard.add(key, ids)
+                    if shard.full():
+                        done.append(shard.close(task, len(done)))
+                        shard = None
         if shard:
             done.append(shard.close(task, len(done)))
         yield pa.RecordBatch.from_pylist(done, _MANIFEST)
@@ -277,13 +309,12 @@ def write(docs: DataFrame, key: str, text: Column, vocabulary: str | None = None
     with open(vocabulary) as source:
         model = json.load(source)
     top = max(end_id, *model["model"]["vocab"].values(), *[t["id"] for t in model["added_tokens"]])
-    rows = cut(docs.select(
-        F.col(key).alias("order"), F.monotonically_increasing_id().alias("row"), encoded(text, vocabulary, end_id).alias("ids"),
-    ), "encoded")
-    laid = rows.repartitionByRange("order", "row").sortWithinPartitions("order", "row")
+    laid = docs.select(
+        F.col(key).alias("order"), F.monotonically_increasing_id().alias("row"), text.alias("text")
+    ).repartitionByRange("order", "row").sortWithinPartitions("order", "row")
+    writer = _writer(fresh_path(spark, "token-ids"), vocabulary, end_id, 2 if top < 1 << 16 else 4)
     shards = cut(
-        laid.select(F.col("order").cast("string").alias("key"), "ids")
-        .mapInArrow(_writer(fresh_path(spark, "token-ids"), 2 if top < 1 << 16 else 4), MANIFEST), "token-shards",
+        laid.select(F.col("order").cast("string").alias("key"), "text").mapInArrow(writer, MANIFEST), "token-shards",
     )
     # One row per shard: tasks, and documents by the quarter million.
     along = Window.orderBy("task", "number")

@@ -90,6 +90,15 @@ def test_token_store_of_text_keys_and_of_nothing(spark, odd):
     assert tokenfile.fetch(nothing, spark.createDataFrame([(1,)], "key long")).count() == 0
 
 
+def test_encoding_by_words_is_that_of_whole_texts(tokenizer):
+    rng = random.Random(1)
+    letters = "aBz'é́ñ,.<=>*-̸ \t\x0b\x1c0¼中İΣ| \xa0sS’“क़ẹᄀ\u1161ſ"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([2, 3, 4, 30]))) for _ in range(20_000)]
+    got = tokenfile.Encoder(tokenfile.vocabulary_file(), 2, "<u2").texts(texts)
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u2").tolist() == _ids(tokenizer, text), ascii(text)
+
+
 def test_hash_is_perfect_and_minimal():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 63, 64, 65, 20_000):
