@@ -119,8 +119,11 @@ class Encoder:
 
 
 def _pieces(word: bytes) -> tuple[str, ...]:
-    """A word without the marks at its end, and these; whole where the last letter's normal form may not end in a letter."""
+    """A word without the marks at its end, and these; whole where the last letter's normal form may not end in a
+    letter, or where the name of a special token may stand."""
     text = word.decode("utf-8", "surrogatepass")
+    if "<|" in text:
+        return (text,)
     core = text.rstrip(MARKS)
     last = unicodedata.normalize("NFC", core[-1:]).lower()[-1:]
     return (core, text[len(core) :]) if core != text and last.isalpha() and core[-1] < LATER_SCRIPTS else (text,)
