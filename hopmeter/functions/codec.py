@@ -96,6 +96,13 @@ def any_stage_key(value: Column, mode: str = "PERMISSIVE") -> Column:
     return F.from_json(value, S.ANY_STAGE_KEY, {"mode": mode})
 
 
+#: Names of the key's fields as the raw topic has them, and where an entity record has them.
+KEY_FIELDS = ["id", "lat", "xlong"]
+ENTITY_PATHS = {
+    "id": "externalSystemID", "lat": "basicAttributes.coordinate.lat", "xlong": "basicAttributes.coordinate.long",
+}
+
+
 def entity_key(message: str) -> tuple[Column, Column, Column]:
     """(id, lat, long) of a parsed envelope column, coordinates as text.
 

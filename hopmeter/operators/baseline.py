@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 BUCKET_MS = 1 << 16
 
 
+def bucket_of(ms: Column, bucket_ms: int = BUCKET_MS) -> Column:
+    return F.floor(ms / bucket_ms)
+
+
+def asked_buckets(probes: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """(partition, bucket) of the time buckets that hold probes."""
+    known = probes.select("partition", "ms").dropna()
+    return known.select("partition", bucket_of(F.col("ms"), bucket_ms).alias("bucket")).distinct()
+
+
 def baseline_offsets(
     records: DataFrame, probes: DataFrame, topics: list[str], bucket_ms: int = BUCKET_MS
 ) -> DataFrame:
@@ -25,40 +35,50 @@ def baseline_offsets(
     buckets, and per millisecond inside the buckets that hold probes. Both levels
     combine records before the shuffle, and all topics share their shuffles.
     """
-    ends = [f"_end{i}" for i in range(len(topics))]
-    bucket = F.floor(F.col("ms") / bucket_ms).alias("bucket")
     records = records.filter(F.col("topic").isin(topics)).select(
         "topic", "partition", "offset", F.col("ts_ms").alias("ms")
-    ).select("*", bucket)
+    )
+    ends = records.select("topic", "partition", bucket_of(F.col("ms"), bucket_ms).alias("bucket"), "offset")
+    return offsets_within(ends, records, probes, topics, bucket_ms)
+
+
+def offsets_within(
+    ends: DataFrame, records: DataFrame, probes: DataFrame, topics: list[str], bucket_ms: int = BUCKET_MS
+) -> DataFrame:
+    """``baseline_offsets`` from ``ends`` (topic, partition, bucket, offset), of which the maxima count,
+    and the ``records`` (topic, partition, offset, ms) of at least the buckets that hold probes.
+    """
+    names = [f"_end{i}" for i in range(len(topics))]
+    bucket = bucket_of(F.col("ms"), bucket_ms).alias("bucket")
     asked = probes.select("partition", "ms").dropna().distinct().select("*", bucket)
-    asked_buckets = asked.select("partition", "bucket").distinct()
+    with_probes = asked.select("partition", "bucket").distinct()
 
     def end_per_topic() -> list[Column]:
         return [
-            (F.max(F.when(F.col("topic") == t, F.col("offset"))) + 1).alias(end)
-            for t, end in zip(topics, ends)
+            (F.max(F.when(F.col("topic") == t, F.col("offset"))) + 1).alias(name)
+            for t, name in zip(topics, names)
         ]
 
     def no_ends() -> list[Column]:
-        return [F.lit(None).cast("long").alias(end) for end in ends]
+        return [F.lit(None).cast("long").alias(name) for name in names]
 
     # Whole earlier buckets; a bucket with probes but no records gets a row too.
-    per_bucket = records.groupBy("partition", "bucket").agg(*end_per_topic())
+    per_bucket = ends.groupBy("partition", "bucket").agg(*end_per_topic())
     earlier = (
         Window.partitionBy("partition").orderBy("bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     before = (
-        per_bucket.unionByName(asked_buckets.select("*", *no_ends()))
-        .groupBy("partition", "bucket").agg(*[F.max(end).alias(end) for end in ends])
+        per_bucket.unionByName(with_probes.select("*", *no_ends()))
+        .groupBy("partition", "bucket").agg(*[F.max(name).alias(name) for name in names])
         .select("partition", "bucket", *[
-            F.max(end).over(earlier).alias(f"_before{end}") for end in ends
+            F.max(name).over(earlier).alias(f"_before{name}") for name in names
         ])
     )
 
     # Earlier milliseconds of the same bucket, where probes ask for them. A record
     # at the probe's own millisecond counts as later (kind 0 sorts first).
-    detail = records.join(asked_buckets, ["partition", "bucket"], "left_semi")
+    detail = records.select("*", bucket).join(with_probes, ["partition", "bucket"], "left_semi")
     marks = (
         detail.groupBy("partition", "bucket", "ms").agg(*end_per_topic())
         .withColumn("kind", F.lit(1))
@@ -70,15 +90,15 @@ def baseline_offsets(
     )
     inside = marks.select(
         "partition", "bucket", "ms", "kind",
-        *[F.max(end).over(upto).alias(f"_inside{end}") for end in ends],
+        *[F.max(name).over(upto).alias(f"_inside{name}") for name in names],
     ).filter("kind = 0")
 
     base = F.array(*[
         F.struct(
             F.lit(t).alias("topic"),
-            F.coalesce(F.greatest(f"_before{end}", f"_inside{end}"), F.lit(0)).alias("base_offset"),
+            F.coalesce(F.greatest(f"_before{name}", f"_inside{name}"), F.lit(0)).alias("base_offset"),
         )
-        for t, end in zip(topics, ends)
+        for t, name in zip(topics, names)
     ])
     answers = inside.join(before, ["partition", "bucket"]).select("partition", "ms", base.alias("base"))
     unknown = F.array(*[

@@ -61,11 +61,13 @@ def exact_median(values: DataFrame, by: list[str], value: str) -> DataFrame:
     # The join below tests the band for null; tested here as well, both readers of
     # the counts have one plan and share its shuffle.
     known = F.col(value).isNotNull() & F.floor(F.col(value) / BAND).isNotNull()
-    counts = (
-        values.filter(known)
-        .groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_band", F.floor(F.col("_v") / BAND))
-    )
+    counts = values.filter(known).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return median_of_counts(counts, by)
+
+
+def median_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Exact median per group from ``_n``, how often each whole number ``_v`` occurs."""
+    counts = counts.withColumn("_band", F.floor(F.col("_v") / BAND))
     bands = counts.groupBy(*by, "_band").agg(F.sum("_n").alias("_rows"))
     whole = Window.partitionBy(*by)
     upto = whole.orderBy("_band").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -115,6 +117,54 @@ def latency_summary(latency: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def partial_moments(latency: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, metric, n, mean, m2): count, mean and sum of squares about it, to be merged."""
+    wide = latency.groupBy(*by).agg(*[
+        F.struct(
+            F.count(m).alias("n"), F.avg(m).alias("mean"), (F.var_pop(m) * F.count(m)).alias("m2"),
+        ).alias(m)
+        for m in METRICS
+    ])
+    long = wide.unpivot(list(by), METRICS, "metric", "_s").select(*by, "metric", "_s.*")
+    return long.filter("n > 0")
+
+
+def merge_moments(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Parts of a group as one: squares about the parts' means, and the means' own about the common mean."""
+    n = F.sum("n")
+    whole = parts.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(
+        n.alias("_n"), (F.sum(F.col("n") * F.col("mean")) / n).alias("_mean")
+    )
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    about = parts.join(whole, same).select(
+        *by, "_n", "_mean",
+        (F.col("m2") + F.col("n") * (F.col("mean") - F.col("_mean")) ** 2).alias("_m2"),
+    )
+    return about.groupBy(*by, F.col("_n").alias("n"), F.col("_mean").alias("mean")).agg(F.sum("_m2").alias("m2"))
+
+
+def value_counts(latency: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, metric, _v, _n): how often each value occurs."""
+    long = per_metric(latency, by).filter("value IS NOT NULL")
+    return long.groupBy(*by, "metric", F.col("value").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def merge_counts(parts: DataFrame, by: list[str]) -> DataFrame:
+    return parts.groupBy(*by, "_v").agg(F.sum("_n").alias("_n"))
+
+
+def summary_of_parts(moments: DataFrame, counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``latency_summary`` from the parts of any number of batches."""
+    groups = [*by, "metric"]
+    whole = merge_moments(moments, groups)
+    medians = median_of_counts(merge_counts(counts, groups), groups)
+    return whole.join(medians, same_group(whole, medians, groups), "left").select(
+        *[whole[c] for c in groups], "n", "mean", "median", F.sqrt(F.col("m2") / F.col("n")).alias("stddev")
+    )
+
+
 def phase_vectors(latency: DataFrame, keep: list[str]) -> DataFrame:
     """The metric vectors split into CREATE and UPDATE, in long form."""
     return per_metric(latency, [*keep, "phase"])

@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 from hopmeter.functions import codec
 from hopmeter.functions.text import minute_stamp
 from hopmeter.operators import decode, latency, probes, report, summary
-from hopmeter.operators.first_match import KEY, first_match_by_time, keep_probed
-from hopmeter.plans.fixture import PARTITIONS, events
-from hopmeter.plans.stages import PROBE, StageTables, open_tables, whole_run
+from hopmeter.operators.first_match import KEY, first_match_by_time
+from hopmeter.operators.slices import SliceTree
+from hopmeter.plans.fixture import CLOCK, PARTITIONS, events, spoiled
+from hopmeter.plans.stages import FILES_PER_BATCH, PROBE, WITHIN, StageTables, open_tables, whole_run
 from hopmeter.schemas import CATEGORIES, CREATION_TOPIC, NATIONALITIES, UPDATE_TOPIC
-from hopmeter.session import fresh_path, pin_utc
+from hopmeter.session import cut, fresh_path, pin_utc
+from hopmeter.sources import index
 from hopmeter.sources import topics as T
 from hopmeter.streaming import jobs
+from hopmeter.streaming.once import first_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 GRID_UPDATES = 5
 SEED = 7
-FILES_PER_BATCH = "64"
 SLICE = (20, 150)
+OFF_HALVES = 1.234e-7
 
 _QUERIES: dict[str, Query] = {}
 
@@ -75,6 +78,27 @@ def scan_from_offset(p: StageTables) -> DataFrame:
     return T.scan_from(p.topics, p.bounds).select(*_POSITION, _ts_ms())
 
 
+@_query
+def end_offsets_indexed(p: StageTables) -> DataFrame:
+    return index.end_offsets_of_files(p.spark, p.topics_path)
+
+
+@_query
+def baseline_offsets_indexed(p: StageTables) -> DataFrame:
+    """Base offsets from the stored index, and the records of the probes' own time buckets."""
+    asked = p.probes.select("probe_id", "partition", "ms")
+    return index.baseline_from_files(p.spark, p.topics_path, asked, p.stages).select(
+        "probe_id", "topic", "partition", "base_offset"
+    )
+
+
+@_query
+def scan_from_offset_indexed(p: StageTables) -> DataFrame:
+    """What a second batch of probes may match: files before its first base offsets stay closed."""
+    bounds = cut(index.bounds_from_files(p.spark, p.topics_path, p.late_probes.select("partition", "ms"), p.stages), "bounds")
+    return index.scan_from_files(p.spark, p.topics_path, bounds).select(*_POSITION, _ts_ms())
+
+
 @_query
 def kafka_starting_offsets(p: StageTables) -> DataFrame:
     return T.starting_offsets_json(p.bounds)
@@ -121,6 +145,17 @@ def unified_topic_records(p: StageTables) -> DataFrame:
     return p.read_records()
 
 
+@_query
+def decode_rejects(p: StageTables) -> DataFrame:
+    """Records of a spoiled topic table that carry no complete key, and why."""
+    return decode.faults(spoiled(p.topics), p.source)
+
+
+@_query
+def decode_reject_counts(p: StageTables) -> DataFrame:
+    return decode.faults(spoiled(p.topics), p.source).groupBy("topic", "fault").agg(F.count("*").alias("n"))
+
+
 @_query
 def match_predicate(p: StageTables) -> DataFrame:
     """Every record against the create probe of its cycle (one per id); false where there is none."""
@@ -145,8 +180,8 @@ def entity_validate(p: StageTables) -> DataFrame:
         one_of(NATIONALITIES, "FRANCE"), one_of(CATEGORIES, "car"),
     )
     sent = p.probes.select("probe_id", codec.envelope(codec.entity_message(record)).alias("m"))
-    valid, rejected = decode.validate(
-        sent.select("probe_id", "m.nationality", "m.category"), "nationality", "category"
+    valid, rejected, _ = decode.write_validated(
+        sent.select("probe_id", "m.nationality", "m.category"), "nationality", "category", fresh_path(p.spark, "validated")
     )
     return valid.withColumn("fault", F.lit(None).cast("string")).unionByName(rejected)
 
@@ -305,6 +340,19 @@ def std_slice(p: StageTables) -> DataFrame:
     return _rounded(table, *names)
 
 
+@_query
+def std_slices(p: StageTables) -> DataFrame:
+    """A slice of its own for every event, over the values of its type."""
+    names = ["max", "min", "mean", "var", "varp", "stddev", "stddevp", "sum"]
+    rows = events(p.spark, p.sf_dir)
+    lo = F.col("user_id") % 40
+    slices = rows.select("event_id", "event_type", lo.alias("lo"), (lo + F.col("event_id") % 300 - 2).alias("hi"))
+    tree = SliceTree(rows, ["event_type"], ["ts", "event_id"], "value")
+    # Means of hundredths often lie on half a millionth, where the last digit of a float would decide.
+    answers = tree.answer(slices, names, strict=False)
+    return answers.withColumns({n: F.round(F.col(n) + OFF_HALVES, 6) for n in names})
+
+
 # Reports
 
 
@@ -393,16 +441,34 @@ def stream_first_match(p: StageTables) -> DataFrame:
     return jobs.latest_first(p.spark, out).select(*KEY, "offset", "ts_ms")
 
 
+@_query
+def stream_first_match_once(p: StageTables) -> DataFrame:
+    """The same with each key told once, when its time is over."""
+    out, checkpoint = _stream_places(p, "stream-once")
+    span = p.span[1] - p.span[0] + WITHIN
+    first_once(
+        p.record_arrivals(), p.bounds, out, checkpoint, span, WITHIN, p.spark.sparkContext.defaultParallelism
+    ).awaitTermination()
+    return p.spark.read.parquet(out).select(*KEY, "offset", "ts_ms")
+
+
 @_query
 def stream_stage_latency(p: StageTables) -> DataFrame:
-    """Records and probes as streams, first hits as a stream of their own, then latencies."""
-    cores = p.spark.sparkContext.defaultParallelism
-    hits_out, hits_checkpoint = _stream_places(p, "stream-hits")
-    records = keep_probed(_record_stream(p), p.probes)
-    marks = jobs.read_batches(p.spark, p.marks_path, p.marks.schema, maxFilesPerTrigger=FILES_PER_BATCH)
-    jobs.match_probes(records, marks, hits_out, hits_checkpoint, cores).awaitTermination()
-    schema = jobs.latest_first(p.spark, hits_out).schema
-    hits = jobs.read_batches(p.spark, hits_out, schema, maxFilesPerTrigger=FILES_PER_BATCH)
-    out, checkpoint = _stream_places(p, "stream-latency")
-    jobs.stage_latencies(hits, p.stages, PROBE, out, checkpoint, cores).awaitTermination()
-    return jobs.latest_latency(p.spark, out, PROBE)
+    """Records and probes as streams, first hits as a stream of their own, then latencies; all state has an end."""
+    return p.spark.read.parquet(p.stream_latency_path).drop("batch")
+
+
+@_query
+def stream_unmatched(p: StageTables) -> DataFrame:
+    """Probes that the stream gave up waiting for, with the topic where nothing came."""
+    hits = jobs.latest_first(p.spark, p.stream_hits_path).filter(F.col("topic") != CLOCK)
+    return latency.unmatched(hits).select("probe_id", "cycle_no", "update_no", "missing_topic", "reason")
+
+
+@_query
+def stream_latency_summary(p: StageTables) -> DataFrame:
+    """Statistics kept up batch by batch over the stream of latencies."""
+    out, checkpoint = _stream_places(p, "stream-summary")
+    rows = jobs.read_batches(p.spark, p.stream_latency_path, p.latency.schema, maxFilesPerTrigger=FILES_PER_BATCH)
+    jobs.summarize(rows, [], out, checkpoint).awaitTermination()
+    return _rounded(jobs.latest_summary(p.spark, out, []), "mean", "stddev")

@@ -81,3 +81,43 @@ def topics_of(probes: DataFrame, group_rows: int | None = None) -> DataFrame:
         "topic", "partition", "offset", F.timestamp_millis("ts_ms").alias("timestamp"),
         value.alias("value"),
     )
+
+
+#: Topic of the row that tells a stream how late it is.
+CLOCK = "clock"
+
+
+def in_slices(rows: DataFrame, ms: str, slices: int, span: tuple[int, int], path: str) -> None:
+    """Append ``rows`` in ``slices`` slices of time, as they would have come, one write after the other."""
+    first, last = span
+    width = (last - first) // slices + 1
+    for i in range(slices):
+        at = F.col(ms) - first
+        inside = (at >= i * width) if i else F.lit(True)
+        rows.filter(inside & (at < (i + 1) * width) if i < slices - 1 else inside).write.mode("append").parquet(path)
+
+
+def tick(rows: DataFrame, ms: int, *times: str) -> DataFrame:
+    """One row of the shape of ``rows`` that belongs to nothing: a later moment and a key no one has."""
+    def value(field):
+        if field.name in times:
+            at = F.lit(ms) if field.dataType.typeName() == "long" else F.timestamp_millis(F.lit(ms))
+            return at.alias(field.name)
+        known = {"topic": CLOCK, "partition": -1, "id": "", "lat": "", "xlong": "", "offset": 0, "base_offset": 0}
+        return F.lit(known.get(field.name)).cast(field.dataType).alias(field.name)
+
+    return rows.sparkSession.range(1).select(*[value(f) for f in rows.schema.fields])
+
+
+def spoiled(topics: DataFrame) -> DataFrame:
+    """The topic table with some documents cut off, renamed or of other types."""
+    value, turn = F.col("value"), F.col("offset") % 11
+    half = F.substring(value, F.lit(1), F.floor(F.length(value) / 2).cast("int"))
+    return topics.withColumn(
+        "value",
+        F.when(turn == 1, half)
+        .when(turn == 3, F.replace(value, F.lit('"lat":'), F.lit('"lot":')))
+        .when(turn == 5, F.regexp_replace(value, '"long":[0-9.E]+', '"long":true'))
+        .when(turn == 7, F.replace(value, F.lit("xternalSystemID"), F.lit("xternal")))
+        .when(turn == 9, F.lit(None).cast("string")).otherwise(value),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from hopmeter.functions.wording import RULE
 from hopmeter.operators.report import csv_labels, summary_sentences
-from hopmeter.plans.catalog import GRID_UPDATES, SEED, SLICE
+from hopmeter.plans.catalog import GRID_UPDATES, OFF_HALVES, SEED, SLICE
 
 PROBES = """
 WITH p AS (
@@ -55,6 +55,17 @@ hits AS (
                AND t.off >= b.base_off),
 first_hit AS (SELECT * FROM hits WHERE rn = 1)"""
 
+FIRST_PER_KEY = """,
+ranked AS (
+  SELECT t.*, row_number() OVER (PARTITION BY t.topic, t.part, id, lat, xlong ORDER BY off) AS rn
+  FROM topics t JOIN bounds h ON h.topic = t.topic AND h.part = t.part WHERE t.off >= h.base_off)
+SELECT topic, part AS partition, id, lat, xlong, off AS "offset", ts_ms FROM ranked WHERE rn = 1"""
+
+UNMATCHED = """
+SELECT k.probe_id, k.cycle_no, k.update_no, b.topic AS missing_topic, 'no record' AS reason
+FROM baseline b JOIN k ON k.probe_id = b.probe_id
+WHERE NOT EXISTS (SELECT 1 FROM first_hit h WHERE h.probe_id = b.probe_id AND h.topic = b.topic)"""
+
 LATENCY = HITS + """,
 lat AS (
   SELECT k.probe_id, k.cycle_no, k.update_no,
@@ -108,6 +119,9 @@ STATS = {
     "stddevp": "stddev_pop({x})",
     "sum": "coalesce(sum({x}), 0)",
 }
+EMPTY = {n: "CAST('nan' AS DOUBLE)" for n in STATS} | {
+    "max": "CAST('-inf' AS DOUBLE)", "min": "CAST('inf' AS DOUBLE)", "sum": "0",
+}
 POSITION = "topic, part AS partition, off AS \"offset\""
 GROUPED = """count(*) AS n, round(avg(value), 6) AS mean, median(value) AS median,
        round(stddev_pop(value), 6) AS stddev"""
@@ -181,6 +195,38 @@ UNION ALL SELECT CASE metric {LABELS} END || ',' || pos || ',' || {CELL} FROM pl
 UNION ALL SELECT unnest(['', 'Export to CSV ', 'CREATE', '', 'UPDATE', '', ''])"""
 
 
+# What each way of spoiling a document does to it, by topic.
+REJECTS = """,
+rejects AS (
+  SELECT *, CASE off % 11 WHEN 1 THEN 'malformed' WHEN 9 THEN 'no value' WHEN 3 THEN 'missing field'
+              WHEN 5 THEN CASE WHEN topic <> 'src-raw-data' THEN 'wrong type' END
+              WHEN 7 THEN CASE WHEN topic <> 'src-raw-data' THEN 'missing field' END END AS fault,
+            CASE off % 11 WHEN 3 THEN 'lat'
+              WHEN 5 THEN CASE WHEN topic <> 'src-raw-data' THEN 'xlong' END
+              WHEN 7 THEN CASE WHEN topic <> 'src-raw-data' THEN 'id' END END AS fields
+  FROM topics)"""
+
+
+def _slices() -> str:
+    values = ", ".join(
+        f"CASE WHEN fault IS NULL THEN round(coalesce({e.format(x='v.value')}, {EMPTY[n]}) + {OFF_HALVES}, 6) END AS {n}"
+        for n, e in STATS.items()
+    )
+    return f"""
+WITH placed AS (
+  SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos FROM events),
+sizes AS (SELECT event_type, count(*) AS size FROM events GROUP BY event_type),
+asked AS (
+  SELECT event_id, event_type, user_id % 40 AS lo, user_id % 40 + event_id % 300 - 2 AS hi FROM events),
+judged AS (
+  SELECT a.*, CASE WHEN lo < 0 OR lo > hi THEN 'slice bounds out of order'
+                   WHEN hi > size THEN 'slice bounds out of range' END AS fault
+  FROM asked a JOIN sizes s ON s.event_type = a.event_type)
+SELECT event_id, j.event_type, lo, hi, fault, {values}
+FROM judged j LEFT JOIN placed v ON v.event_type = j.event_type AND v.pos >= j.lo AND v.pos < j.hi AND j.fault IS NULL
+GROUP BY event_id, j.event_type, lo, hi, fault"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "topic_scan": TOPICS + f"""
@@ -192,6 +238,19 @@ UNION ALL SELECT DISTINCT 'creation', part, CAST(0 AS BIGINT) FROM topics""",
         "scan_from_offset": MARKS + """
 SELECT t.topic, t.part AS partition, t.off AS "offset", t.ts_ms
 FROM topics t JOIN bounds h ON h.topic = t.topic AND h.part = t.part WHERE t.off >= h.base_off""",
+        "end_offsets_indexed": TOPICS + """
+SELECT topic, part AS partition, max(off) + 1 AS end_offset FROM topics GROUP BY topic, part""",
+        "baseline_offsets_indexed": MARKS + """
+SELECT probe_id, topic, part AS partition, base_off AS base_offset FROM baseline""",
+        "scan_from_offset_indexed": MARKS + """,
+late AS (
+  SELECT b.topic, b.part, min(b.base_off) AS base_off FROM baseline b JOIN k ON k.probe_id = b.probe_id
+  WHERE k.ms * 2 >= (SELECT min(ms) + max(ms) FROM k) GROUP BY b.topic, b.part)
+SELECT t.topic, t.part AS partition, t.off AS "offset", t.ts_ms
+FROM topics t JOIN late h ON h.topic = t.topic AND h.part = t.part WHERE t.off >= h.base_off""",
+        "decode_rejects": TOPICS + REJECTS + f" SELECT {POSITION}, fault, fields FROM rejects WHERE fault IS NOT NULL",
+        "decode_reject_counts": TOPICS + REJECTS + """
+SELECT topic, fault, count(*) AS n FROM rejects WHERE fault IS NOT NULL GROUP BY topic, fault""",
         "kafka_starting_offsets": MARKS + """,
 per_topic AS (
   SELECT topic, '"' || topic || '":{' ||
@@ -252,10 +311,7 @@ SELECT probe_id AS event_id, cycle_no AS user_id, update_no,
 SELECT probe_id, topic, part AS partition, base_off AS base_offset, off AS "offset", ts_ms FROM first_hit""",
         "stage_latency_3": LATENCY + " SELECT * FROM lat",
         "stage_latency_2": LATENCY + " SELECT * FROM lat2",
-        "unmatched_probes": HITS + """
-SELECT k.probe_id, k.cycle_no, k.update_no, b.topic AS missing_topic, 'no record' AS reason
-FROM baseline b JOIN k ON k.probe_id = b.probe_id
-WHERE NOT EXISTS (SELECT 1 FROM first_hit h WHERE h.probe_id = b.probe_id AND h.topic = b.topic)""",
+        "unmatched_probes": HITS + UNMATCHED,
         "latency_mean": LATENCY + " SELECT metric, round(avg(value), 6) AS mean FROM long GROUP BY metric",
         "latency_median": LATENCY + " SELECT metric, median(value) AS median FROM long GROUP BY metric",
         "latency_stddev_pop": LATENCY + """
@@ -303,12 +359,12 @@ FROM lat2""",
         "report_sink": _report(),
         "stream_topic_read": TOPICS + f" SELECT {POSITION}, ts_ms FROM topics",
         "stream_sink": TOPICS + f" SELECT {POSITION}, ts_ms FROM topics",
-        "stream_first_match": MARKS + """,
-ranked AS (
-  SELECT t.*, row_number() OVER (PARTITION BY t.topic, t.part, id, lat, xlong ORDER BY off) AS rn
-  FROM topics t JOIN bounds h ON h.topic = t.topic AND h.part = t.part WHERE t.off >= h.base_off)
-SELECT topic, part AS partition, id, lat, xlong, off AS "offset", ts_ms FROM ranked WHERE rn = 1""",
+        "stream_first_match": MARKS + FIRST_PER_KEY,
+        "stream_first_match_once": MARKS + FIRST_PER_KEY,
         "stream_stage_latency": LATENCY + " SELECT * FROM lat",
+        "stream_unmatched": HITS + UNMATCHED,
+        "stream_latency_summary": LATENCY + f" SELECT metric, {GROUPED} FROM long GROUP BY metric",
+        "std_slices": _slices(),
     }
     for name in STATS:
         sql[f"std_{name}"] = _std(name)

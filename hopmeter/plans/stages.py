@@ -17,8 +17,13 @@ from hopmeter.operators.latency import probe_facts, stage_latency
 from hopmeter.plans import fixture
 from hopmeter.schemas import stage_topics
 from hopmeter.session import ON_DROP, cut, drop_stage_tables, fresh_path, pin_utc
+from hopmeter.sources import index
 from hopmeter.sources.topics import least_bounds, read_topics, since, write_topics
+from hopmeter.streaming import jobs
 
+FILES_PER_BATCH = "64"
+# Slices of time in which the streams' rows come, and milliseconds within which a probe is answered.
+SLICES, WITHIN = 4, 600_000
 PROBE = ["probe_id", "cycle_no", "update_no"]
 _OPEN: dict[tuple, "StageTables"] = {}
 
@@ -44,6 +49,7 @@ class StageTables:
     def topics_path(self) -> str:
         path = fresh_path(self.spark, "topics")
         write_topics(fixture.topics_of(self.probes), path)
+        index.extend_index(self.spark, path)
         return path
 
     @property
@@ -78,6 +84,80 @@ class StageTables:
         """Where reading may start: no probe looks further back."""
         return least_bounds(self.marks)
 
+    @cached_property
+    def span(self) -> tuple[int, int]:
+        """Moments of the first and the last probe."""
+        return tuple(self.probes.agg(F.min("ms"), F.max("ms")).first())
+
+    @property
+    def late_probes(self) -> DataFrame:
+        """A second batch of probes: those of the later half of the time."""
+        return self.probes.filter(F.col("ms") * 2 >= sum(self.span))
+
+    # Streams: what came in slices of time, and a tick at the end that lets all windows close.
+
+    @property
+    def lateness(self) -> int:
+        """Milliseconds that a row may come behind others: a slice, and the records older than their probes."""
+        first, last = self.span
+        return (last - first) // SLICES + 120_000
+
+    @property
+    def closing(self) -> int:
+        first, last = self.span
+        return last + 2 * (last - first + WITHIN + self.lateness) + 1
+
+    @cached_property
+    def arrivals_path(self) -> str:
+        path = fresh_path(self.spark, "arrivals")
+        ms = F.unix_millis("timestamp")
+        fixture.in_slices(self.topics.withColumn("_ms", ms), "_ms", SLICES, self.span, path)
+        fixture.tick(self.topics, self.closing, "timestamp").write.mode("append").parquet(path)
+        return path
+
+    @cached_property
+    def mark_arrivals_path(self) -> str:
+        path = fresh_path(self.spark, "mark-arrivals")
+        fixture.in_slices(self.marks.withColumn("_ms", F.unix_millis("start_time")), "_ms", SLICES, self.span, path)
+        fixture.tick(self.marks, self.closing, "start_time").write.mode("append").parquet(path)
+        return path
+
+    def record_arrivals(self) -> DataFrame:
+        """Decoded records as a stream, a tick at its end."""
+        arrived = jobs.read_stream(self.spark, self.arrivals_path, maxFilesPerTrigger=FILES_PER_BATCH)
+        records = unify(arrived, self.source, also=[fixture.CLOCK])
+        # The tick has no document.
+        is_tick = F.col("topic") == fixture.CLOCK
+        return records.withColumns({
+            c: F.when(is_tick, F.lit("")).otherwise(F.col(c)) for c in ("id", "lat", "xlong")
+        })
+
+    @cached_property
+    def stream_hits_path(self) -> str:
+        """First hits and misses of a stream of marks over a stream of records, and a tick."""
+        out, checkpoint = (fresh_path(self.spark, name) for name in ("stream-hits", "stream-checkpoint"))
+        records = self.record_arrivals()
+        marks = jobs.read_batches(self.spark, self.mark_arrivals_path, self.marks.schema, maxFilesPerTrigger=FILES_PER_BATCH)
+        jobs.match_probes(
+            records, marks, out, checkpoint, self.spark.sparkContext.defaultParallelism,
+            within=f"{WITHIN} milliseconds", lateness=f"{self.lateness} milliseconds",
+        ).awaitTermination()
+        end = fixture.tick(jobs.latest_first(self.spark, out), self.closing + WITHIN, "start_time")
+        end.write.parquet(f"{out}/batch=1000000000")
+        return out
+
+    @cached_property
+    def stream_latency_path(self) -> str:
+        """Latencies of that stream, each probe once."""
+        out, checkpoint = (fresh_path(self.spark, name) for name in ("stream-latency", "stream-checkpoint"))
+        schema = jobs.latest_first(self.spark, self.stream_hits_path).schema
+        hits = jobs.read_batches(self.spark, self.stream_hits_path, schema, maxFilesPerTrigger=FILES_PER_BATCH)
+        jobs.stage_latencies(
+            hits, self.stages, PROBE, out, checkpoint, self.spark.sparkContext.defaultParallelism,
+            delay=f"{WITHIN + self.lateness} milliseconds",
+        ).awaitTermination()
+        return out
+
     def find_wanted(self) -> DataFrame:
         """Decoded records that a probe may match: none is older than the first probe."""
         first = self.probes.agg(F.min("ms")).first()[0]

@@ -112,17 +112,25 @@ def since(topics: DataFrame, ms: int | None) -> DataFrame:
     return topics.filter(F.col("timestamp") >= F.timestamp_millis(F.lit(ms)))
 
 
-def write_topics(topics: DataFrame, path: str, mode: str = "errorifexists") -> None:
+#: Records a file of a topic table holds at most, so that a bound on offsets can leave files unopened.
+FILE_RECORDS = 4_000_000
+
+
+def write_topics(
+    topics: DataFrame, path: str, mode: str = "errorifexists", file_records: int = FILE_RECORDS
+) -> None:
     """Write a topic table in a topic=/partition= layout, each file in offset order.
 
     Ranges over (topic, partition, offset) spread a hot partition over many
     tasks, and the files keep narrow offset ranges for min/max pruning.
+    ``index.extend_index`` afterwards keeps those ranges at hand.
     """
     (
         topics.select(*TOPIC_TABLE.fieldNames())
         .repartitionByRange("topic", "partition", "offset")
         .sortWithinPartitions("topic", "partition", "offset")
-        .write.mode(mode).partitionBy("topic", "partition").parquet(path)
+        .write.mode(mode).option("maxRecordsPerFile", file_records)
+        .partitionBy("topic", "partition").parquet(path)
     )
 
 

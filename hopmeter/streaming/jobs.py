@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from hopmeter.operators import summary
 from hopmeter.operators.first_match import KEY
 from hopmeter.operators.latency import stage_latency
 from hopmeter.schemas import TOPIC_TABLE
@@ -29,7 +30,7 @@ def read_stream(
     return files.select(*TOPIC_TABLE.fieldNames())
 
 
-def _start(
+def start(
     stream: DataFrame, checkpoint: str, per_batch: Callable[[DataFrame, int], None],
     mode: str = "append", every: str | None = None,
 ) -> StreamingQuery:
@@ -42,7 +43,7 @@ def _start(
 
 
 @contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Settings a stream takes over when it starts; the session gets its own back."""
     saved = {k: spark.conf.get(k, None) for k in values}
     try:
@@ -54,7 +55,7 @@ def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _batch_path(out: str, batch_id: int) -> str:
+def batch_path(out: str, batch_id: int) -> str:
     # A repeated batch replaces what its first try wrote.
     return f"{out}/batch={batch_id}"
 
@@ -75,9 +76,9 @@ def collect_by_topic(
 ) -> StreamingQuery:
     """Callback per micro-batch that files the records under their topic."""
     def file_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("topic").parquet(_batch_path(out, batch_id))
+        batch.write.mode("overwrite").partitionBy("topic").parquet(batch_path(out, batch_id))
 
-    return _start(stream, checkpoint, file_batch, every=every)
+    return start(stream, checkpoint, file_batch, every=every)
 
 
 def first_per_key(
@@ -92,14 +93,15 @@ def first_per_key(
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         firsts = batch.groupBy(*KEY).agg(F.min(F.struct("offset", "ts_ms")).alias("hit"))
-        firsts.select(*KEY, "hit.*").write.mode("overwrite").parquet(_batch_path(out, batch_id))
+        firsts.select(*KEY, "hit.*").write.mode("overwrite").parquet(batch_path(out, batch_id))
 
-    return _start(scan_from(records, bounds), checkpoint, write, every=every)
+    return start(scan_from(records, bounds), checkpoint, write, every=every)
 
 
 def match_probes(
     records: DataFrame, marks: DataFrame, out: str, checkpoint: str,
     state_partitions: int | None = None, every: str | None = None,
+    within: str | None = None, lateness: str | None = None, sent: str = "start_time",
 ) -> StreamingQuery:
     """First hits of the probes, where records and ``marks`` both are streams.
 
@@ -107,16 +109,46 @@ def match_probes(
     so a probe sent long after the stream began is matched, and nothing is read
     again for a later batch. Each micro-batch writes its minima per probe and
     topic; ``latest_first`` merges them.
+
+    Without ``within`` both sides wait for ever. With it, as an interval such as
+    "10 minutes", a hit's broker time lies at most so far behind the probe's time
+    ``sent`` (and at most ``lateness`` before it), and rows of either side may come
+    ``lateness`` behind the newest of their kind. Rows leave the state when the
+    watermark says that nothing can meet them any more. A mark that leaves without a
+    hit is written with null ``offset`` and ``ts_ms``, once, and so is a mark that
+    nothing can match: every mark ends up in the table, as a hit or as a miss.
     """
     columns = marks.columns
-    pairs = records.select(*KEY, "offset", "ts_ms").join(marks, KEY).filter(F.col("offset") >= F.col("base_offset"))
+    if within is None:
+        pairs = records.select(*KEY, "offset", "ts_ms").join(marks, KEY).filter(F.col("offset") >= F.col("base_offset"))
+    else:
+        pairs = _match_in_time(records, marks, within, lateness or within, sent)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         hits = batch.groupBy(*columns).agg(F.min(F.struct("offset", "ts_ms")).alias("hit"))
-        hits.select(*columns, "hit.*").write.mode("overwrite").parquet(_batch_path(out, batch_id))
-
-    with _settings(records.sparkSession, _state_settings(state_partitions)):
-        return _start(pairs, checkpoint, write, every=every)
+        hits.select(*columns, "hit.*").write.mode("overwrite").parquet(batch_path(out, batch_id))
+
+    with settings(records.sparkSession, state_settings(state_partitions)):
+        return start(pairs, checkpoint, write, every=every)
+
+
+def _match_in_time(records: DataFrame, marks: DataFrame, within: str, lateness: str, sent: str) -> DataFrame:
+    """Marks with every record in their interval, or with nulls once there can't be one."""
+    askable = F.col("base_offset").isNotNull() & F.col(sent).isNotNull()
+    for c in KEY:
+        askable = askable & F.col(c).isNotNull()
+    left = marks.filter(askable).withWatermark(sent, lateness)
+    right = records.select(
+        *[F.col(c).alias(f"_{c}") for c in KEY], "offset", "ts_ms", F.timestamp_millis("ts_ms").alias("_at")
+    ).withWatermark("_at", lateness)
+    meets = (F.col("offset") >= F.col("base_offset")) & F.expr(
+        f"_at >= {sent} - INTERVAL {lateness} AND _at <= {sent} + INTERVAL {within}"
+    )
+    for c in KEY:
+        meets = meets & (F.col(c) == F.col(f"_{c}"))
+    met = left.join(right, meets, "left_outer").select(*marks.columns, "offset", "ts_ms")
+    nothing = F.lit(None).cast("bigint")
+    return met.unionByName(marks.filter(~askable).select("*", nothing.alias("offset"), nothing.alias("ts_ms")))
 
 
 def read_batches(spark: SparkSession, path: str, schema: StructType, **options: str) -> DataFrame:
@@ -127,29 +159,70 @@ def read_batches(spark: SparkSession, path: str, schema: StructType, **options:
 def stage_latencies(
     hits: DataFrame, topics: list[str], by: list[str], out: str, checkpoint: str,
     state_partitions: int | None = None, every: str | None = None,
+    delay: str | None = None, sent: str = "start_time",
 ) -> StreamingQuery:
     """Hop latencies of a stream of first hits, written when a probe's third stage arrives.
 
     The state holds the first hit of each stage per probe. A smaller offset that
     arrives late corrects the probe: its row is written again, and
     ``latest_latency`` reads the last one.
+
+    With ``delay``, the time after which no more hits of a probe can come (``within``
+    and ``lateness`` of ``match_probes`` together), a probe is written once and for
+    all when the watermark of ``sent`` has passed it, and leaves the state.
     """
+    hits = hits.filter("offset IS NOT NULL")
+    groups = list(by)
+    if delay is not None:
+        hits = hits.withWatermark(sent, delay)
+        groups = [*groups, *([] if sent in by else [sent])]
     first = [
         F.min(F.when(F.col("topic") == t, F.struct("offset", "ts_ms"))).alias(f"_h{i}")
         for i, t in enumerate(topics)
     ]
-    stages = hits.groupBy(*by).agg(*first)
+    stages = hits.groupBy(*groups).agg(*first)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         times = [F.struct(F.lit(t).alias("topic"), F.col(f"_h{i}.ts_ms").alias("ts_ms")) for i, t in enumerate(topics)]
         rows = batch.select(*by, F.inline(F.array(*times)))
-        stage_latency(rows, topics, by).write.mode("overwrite").parquet(_batch_path(out, batch_id))
+        stage_latency(rows, topics, by).write.mode("overwrite").parquet(batch_path(out, batch_id))
+
+    with settings(hits.sparkSession, state_settings(state_partitions)):
+        return start(stages, checkpoint, write, mode="append" if delay else "update", every=every)
+
+
+def summarize(
+    latencies: DataFrame, by: list[str], out: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Statistics of a stream of final latencies: one row per probe, as ``stage_latencies`` with ``delay`` writes.
+
+    Each micro-batch writes what can be merged: count, mean and centred squares per
+    group and metric, and how often each value occurs, for the median. No state is kept and a
+    repeated batch replaces its first try. ``latest_summary`` merges on read,
+    ``compact_summary`` keeps the tables small.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        summary.partial_moments(batch, by).write.mode("overwrite").parquet(batch_path(f"{out}/moments", batch_id))
+        summary.value_counts(batch, by).write.mode("overwrite").parquet(batch_path(f"{out}/counts", batch_id))
+        batch.unpersist()
+
+    return start(latencies, checkpoint, write, every=every)
+
 
-    with _settings(hits.sparkSession, _state_settings(state_partitions)):
-        return _start(stages, checkpoint, write, mode="update", every=every)
+def latest_summary(spark: SparkSession, out: str, by: list[str]) -> DataFrame:
+    """``latency_summary`` of all latencies that ``summarize`` has seen."""
+    moments, counts = (spark.read.parquet(f"{out}/{name}").drop("batch") for name in ("moments", "counts"))
+    return summary.summary_of_parts(moments, counts, by)
 
 
-def _state_settings(partitions: int | None) -> dict[str, str]:
+def compact_summary(spark: SparkSession, out: str, by: list[str]) -> None:
+    """Merge the batches of ``summarize`` into one; call it between runs of the stream."""
+    _merge_batches(spark, f"{out}/moments", lambda parts: summary.merge_moments(parts, [*by, "metric"]))
+    _merge_batches(spark, f"{out}/counts", lambda parts: summary.merge_counts(parts, [*by, "metric"]))
+
+
+def state_settings(partitions: int | None) -> dict[str, str]:
     """State in RocksDB; a stream keeps its number of state partitions for life."""
     settings = {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB}
     return settings | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
@@ -179,11 +252,47 @@ def compact(spark: SparkSession, out: str) -> None:
     The merged batch is written before the others go, and minima merge again to
     the same, so a crash in between loses nothing.
     """
+    old, merged = _batches(spark, out)
+    latest_first(spark, out).write.mode("overwrite").parquet(batch_path(out, merged))
+    _drop(spark, old)
+
+
+def _batches(spark: SparkSession, out: str) -> tuple[list[str], int]:
+    """(folders of the batches, number of the batch that they may be merged into)."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(out)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     old = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("batch=")]
     lowest = min((int(p.getName().removeprefix("batch=")) for p in old), default=0)
-    latest_first(spark, out).write.mode("overwrite").parquet(_batch_path(out, min(lowest, 0) - 1))
-    for path in old:
-        fs.delete(path, True)
+    return [p.toString() for p in old], min(lowest, 0) - 1
+
+
+def _drop(spark: SparkSession, folders: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for name in folders:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _merge_batches(spark: SparkSession, out: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace the batches of sums by one.
+
+    Sums must not be read beside what they were made of, so the merged batch lies
+    hidden until the others are gone; a crash in between leaves it to the next call.
+    """
+    jvm = spark.sparkContext._jvm
+    hidden = jvm.org.apache.hadoop.fs.Path(f"{out}/_merged")
+    fs = hidden.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = jvm.org.apache.hadoop.fs.Path(f"{out}/_merged/_SUCCESS")
+    old, number = _batches(spark, out)
+    if fs.exists(done):
+        # The last call wrote the sums and was ended before all batches were gone; it named them.
+        named = [r[0] for r in spark.read.text(f"{out}/_merged_of").collect()]
+        old = [f for f in old if f in named]
+        number = min([int(f.rsplit("=", 1)[1]) for f in named] + [0]) - 1
+    else:
+        fs.delete(hidden, True)
+        spark.createDataFrame([(f,) for f in old], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/_merged_of")
+        merge(spark.read.parquet(*old).drop("batch")).write.parquet(f"{out}/_merged")
+    _drop(spark, old)
+    fs.rename(hidden, jvm.org.apache.hadoop.fs.Path(batch_path(out, number)))

@@ -128,5 +128,5 @@ def test_copy_and_collect_hold_every_record(spark, tables):
 def test_repeated_batch_replaces_its_first_try(spark):
     out = fresh_path(spark, "test-batch")
     for n in (3, 2):
-        spark.range(n).write.mode("overwrite").parquet(jobs._batch_path(out, 0))
+        spark.range(n).write.mode("overwrite").parquet(jobs.batch_path(out, 0))
     assert spark.read.parquet(out).count() == 2
