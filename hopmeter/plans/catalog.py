@@ -445,9 +445,9 @@ def stream_first_match(p: StageTables) -> DataFrame:
 def stream_first_match_once(p: StageTables) -> DataFrame:
     """The same with each key told once, when its time is over."""
     out, checkpoint = _stream_places(p, "stream-once")
-    span = p.span[1] - p.span[0] + WITHIN
+    pause = f"{p.span[1] - p.span[0] + WITHIN} milliseconds"
     first_once(
-        p.record_arrivals(), p.bounds, out, checkpoint, span, WITHIN, p.spark.sparkContext.defaultParallelism
+        p.record_arrivals(), p.bounds, out, checkpoint, pause, pause, p.spark.sparkContext.defaultParallelism
     ).awaitTermination()
     return p.spark.read.parquet(out).select(*KEY, "offset", "ts_ms")
 

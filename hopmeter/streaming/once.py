@@ -1,87 +1,36 @@
-"""First record per key, told once: a state processor for consumers that can't merge on read.
+"""First record per key, told once: an append stream for consumers that can't merge on read.
 
-``jobs.first_per_key`` keeps no state and may write a key in several batches. Here each key is
-one row of an append stream. The state holds a key's least offset until the watermark
-is ``wait`` past the key's first record; then the row is written, and the key is
-remembered for ``keep`` more, so that records that come again don't tell it twice. Both
-times over, the key leaves the state.
+``jobs.first_per_key`` keeps no state and may write a key in several batches. Here a key is
+one row. The state holds the least offset of a key's records, which belong together
+as long as no more than ``pause`` lies between their broker times; when the watermark has
+passed the last one by as much, the row is written and the key leaves the state. A
+key that is seen again after that is a new key.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from hopmeter.operators.first_match import KEY
 from hopmeter.sources.topics import scan_from
 from hopmeter.streaming.jobs import batch_path, settings, start, state_settings
 
-# Sent to tasks with its code, so that executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-FIRST = "topic string, partition int, id string, lat string, xlong string, offset bigint, ts_ms bigint"
-
-
-class LeastRecord(StatefulProcessor):
-    """Per key the record of the least offset, given out when its time is over."""
-
-    def __init__(self, wait_ms: int, keep_ms: int):
-        self.wait_ms, self.keep_ms = wait_ms, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.least = handle.getValueState("least", "offset bigint, ts_ms bigint, told boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.least.get() if self.least.exists() else None
-        best, first_ms = None, None
-        for part in rows:
-            row = part.loc[part["offset"].idxmin()]
-            at = (int(row["offset"]), int(row["ts_ms"]))
-            best = at if best is None else min(best, at)
-            first_ms = min(int(part["ts_ms"].min()), first_ms if first_ms is not None else at[1])
-        if known is None:
-            self.least.update((*best, False))
-            # A timer in the past would never ring before the watermark moves again.
-            self.handle.registerTimer(max(first_ms + self.wait_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        elif not known[2]:
-            self.least.update((*min(best, (known[0], known[1])), False))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        offset, ts_ms, told = self.least.get()
-        if told:
-            self.least.clear()
-            return
-        self.least.update((offset, ts_ms, True))
-        self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.keep_ms)
-        yield pd.DataFrame([(*key, offset, ts_ms)], columns=[*KEY, "offset", "ts_ms"])
-
-    def close(self) -> None:
-        pass
-
 
 def first_once(
-    records: DataFrame, bounds: DataFrame, out: str, checkpoint: str, wait_ms: int, keep_ms: int,
+    records: DataFrame, bounds: DataFrame, out: str, checkpoint: str, pause: str, lateness: str,
     state_partitions: int | None = None, every: str | None = None,
 ) -> StreamingQuery:
     """Smallest offset per topic and key at or after the topic partition's bound, one row per key.
 
-    A record counts if it comes before the watermark, which stands ``wait_ms`` behind the newest
-    broker time, has passed it. A smaller offset may come until ``wait_ms`` after the
-    key's first record; a key that is seen again more than ``keep_ms`` after it was
-    told is a new key.
+    ``pause`` and ``lateness`` are intervals such as "10 minutes"; a record counts if it comes
+    no more than ``lateness`` behind the newest broker time.
     """
-    at = records.withColumn("_at", F.timestamp_millis("ts_ms")).withWatermark("_at", f"{wait_ms} milliseconds")
-    firsts = scan_from(at, bounds).select(*KEY, "offset", "ts_ms", "_at").groupBy(*KEY).transformWithStateInPandas(
-        LeastRecord(wait_ms, keep_ms), FIRST, "append", "eventtime"
-    )
+    at = records.withColumn("_at", F.timestamp_millis("ts_ms")).withWatermark("_at", lateness)
+    firsts = scan_from(at, bounds).groupBy(F.session_window("_at", pause), *KEY).agg(
+        F.min(F.struct("offset", "ts_ms")).alias("hit")
+    ).select(*KEY, "hit.*")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(batch_path(out, batch_id))

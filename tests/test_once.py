@@ -6,7 +6,7 @@ from hopmeter.session import fresh_path
 from hopmeter.streaming.once import first_once
 
 RECORD = "topic string, partition int, id string, lat string, xlong string, offset long, ts_ms long"
-WAIT, KEEP = 1_000, 10_000
+PAUSE, LATENESS = "2 seconds", "1 second"
 
 
 class Run:
@@ -20,7 +20,7 @@ class Run:
         records = [("src", 0, key, "4.3", "6.4", offset, ms) for key, offset, ms in rows]
         self.spark.createDataFrame(records, RECORD).coalesce(1).write.mode("append").parquet(self.source)
         stream = self.spark.readStream.schema(RECORD).parquet(self.source)
-        query = first_once(stream, self.bounds, self.out, self.checkpoint, WAIT, KEEP, 2)
+        query = first_once(stream, self.bounds, self.out, self.checkpoint, PAUSE, LATENESS, 2)
         query.awaitTermination()
         progress = query.lastProgress
         self.state = progress["stateOperators"][0]["numRowsTotal"] if progress["stateOperators"] else None
@@ -33,25 +33,26 @@ class Run:
         return self.add(("clock", 0, ms))
 
 
-def test_least_offset_is_told_once_its_time_is_over(spark):
+def test_least_offset_is_told_once_the_key_pauses(spark):
     run = Run(spark)
     assert run.add(("a", 9, 10_000), ("a", 7, 10_100), ("b", 5, 10_200), ("a", 1, 10_000)) == []
-    assert run.add(("a", 6, 10_300)) == []
-    assert run.clock(12_500) == [("a", 6), ("b", 5)]
-    # Known keys are not told again, a new one is.
-    assert run.add(("a", 12, 12_600), ("c", 13, 12_700)) == [("a", 6), ("b", 5)]
-    assert run.clock(15_000) == [("a", 6), ("b", 5), ("c", 13)]
+    assert run.add(("a", 6, 11_900)) == []
+    # The watermark, a second back, has passed two seconds after the last record of the one, not of the other.
+    assert run.clock(13_500) == [("b", 5)]
+    assert run.add(("a", 8, 13_000)) == [("b", 5)]
+    assert run.clock(16_500) == [("a", 6), ("b", 5)]
+    assert run.clock(30_000) == [("a", 6), ("b", 5)]
+    # Seen again after its pause it is a new key.
+    run.add(("b", 20, 31_000))
+    assert run.clock(40_000) == [("a", 6), ("b", 5), ("b", 20)]
 
 
 def test_keys_leave_the_state(spark):
     run = Run(spark)
     run.add(*[(f"k{i}", 10 + i, 20_000 + i) for i in range(50)])
     assert run.state >= 50
-    assert len(run.clock(23_000)) == 50
-    assert run.state >= 50
-    assert len(run.clock(60_000)) == 50
-    run.clock(60_001)
-    assert run.state <= 2
+    assert len(run.clock(26_000)) == 50
+    assert run.state == 0
 
 
 def test_each_key_once_as_the_merged_table_has_it(spark):
