@@ -15,11 +15,15 @@ Work is on distinct fingerprints, so groups of copies cost one row each.
 ``keep_one``, made for choosing one document of a group, also links documents whose
 five-word shingles have a Jaccard similarity of 0.8 or more; those differ in too
 many bits for the limit above. Their distinct words hardly differ, though, so the
-same keys are taken from ``WORD_PRINTS`` fingerprints over single words, where such
-documents meet nearly always (measured recall: README). To keep large groups of
+same keys are taken from ``WORD_PRINTS`` fingerprints over single words, where documents
+with changes here and there meet nearly always; those that differ in a long run of
+words meet in one of five bands of least shingle hashes (recall: README). To keep large groups of
 near copies from making all their pairs, a key's fingerprints are first compared
 with one of them, in rounds; what these connect needs no more comparison, and all
-other pairs that share a key are then compared. The ``SKETCH``
+other pairs that share a key are then compared: pair by pair where a key has few
+classes left, and else in blocks. A family, that is all that hangs together by such
+crowded keys, is dealt into blocks, and two blocks are compared in one task by a
+product of their tables of shingles, which gives only links between classes. The ``SKETCH``
 smallest shingle hashes of both tell which pairs are far from similar (five standard
 errors below the limit); the others are judged by all shingles of their texts.
 
@@ -52,6 +56,11 @@ WORD_PRINTS, SKETCH, SIMILAR, SIMILAR_WORDS = 3, 128, 0.8, 5
 ROUGH = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / SKETCH) ** 0.5
 #: A round of comparisons with one of each key is many links if it adds a link for every so many fingerprints.
 MANY = 100
+#: Keys of more labels than this are compared in blocks of so many members, so many shingles at a time.
+CROWD, BLOCK, COLUMNS = 32, 512, 8192
+#: Odd factors, which are orders of 64-bit hashes; two of them make a band. Texts of the
+#: similarity 0.8 share the least hashes of a band in 64 of 100 cases, and of one of five in 99.
+ORDERS = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 11)]
 BLOCKS, BLOCK_BITS, WORD_BITS = 4, 16, 23
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
@@ -136,9 +145,19 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
     return by_task("bigint", lambda: of)(text)
 
 
-PRINTS = "struct<fp:bigint,words:array<bigint>,sketch:array<int>,n:bigint>"
+def bands_of(hashes: np.ndarray) -> list[int]:
+    """Keys of a ``shingle_set``: per band the least hashes under two orders of their own."""
+    if not len(hashes):
+        return []
+    least = [int((hashes * np.uint64(odd)).min()) for odd in ORDERS]
+    pairs = (b"%d %d" % pair for pair in zip(least[::2], least[1::2]))
+    return [1 << 45 | band << 41 | xxhash.xxh64_intdigest(pair, SEED) >> 23 for band, pair in enumerate(pairs)]
+
+
+PRINTS = "struct<fp:bigint,words:array<bigint>,bands:array<bigint>,sketch:array<int>,n:bigint>"
 _PRINTS = pa.struct([
-    ("fp", pa.int64()), ("words", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32())), ("n", pa.int64()),
+    ("fp", pa.int64()), ("words", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())),
+    ("sketch", pa.list_(pa.int32())), ("n", pa.int64()),
 ])
 
 
@@ -152,7 +171,8 @@ def prints(text: Column, shingle: int = 3) -> Column:
             fp = fingerprint_of(text, shingle)
             own = shingle_set(words)
             return {
-                "fp": fp - (fp >> 63 << 64), "words": word_prints(words, hashes), "sketch": sketch_of(own), "n": len(own),
+                "fp": fp - (fp >> 63 << 64), "words": word_prints(words, hashes), "bands": bands_of(own),
+                "sketch": sketch_of(own), "n": len(own),
             }
 
         return lambda texts: pa.array([one(t.as_py()) for t in texts], _PRINTS)
@@ -269,11 +289,12 @@ def _of_similar_size(a: Column, b: Column) -> Column:
 
 
 def _word_keys(at: DataFrame, fuzzy: bool) -> DataFrame:
-    """(fp, label, n, key) of ``at`` (fp, label, n, words)."""
+    """(fp, label, n, key) of ``at`` (fp, label, n, words, bands)."""
     def of_print(i: int) -> Column:
         return F.transform(golay_keys(F.col("words")[i], fuzzy), lambda key: key + F.lit(i << 40))
 
-    return at.select("fp", "label", "n", F.explode(F.concat(*map(of_print, range(WORD_PRINTS)))).alias("key"))
+    keys = F.concat(*map(of_print, range(WORD_PRINTS)), "bands")
+    return at.select("fp", "label", "n", F.explode(keys).alias("key"))
 
 
 def _renamed(frame: DataFrame, end: str) -> DataFrame:
@@ -288,13 +309,13 @@ def _met_once(at: DataFrame, turn: int) -> DataFrame:
     return _pairs(_renamed(_word_keys(at, True), "a").join(_renamed(one, "b"), "key"))
 
 
-def _met_all(at: DataFrame) -> DataFrame:
-    """All pairs of fingerprints that share a key and have different labels.
+def _met_all(at: DataFrame, crowded: DataFrame) -> DataFrame:
+    """All pairs of fingerprints that share a key which is not ``crowded`` (key) and have different labels.
 
     A key's labels are joined first and their members then, so that fingerprints of
     one label never meet, however many there are.
     """
-    plain = _renamed(_word_keys(at, False), "b")
+    plain = _renamed(_word_keys(at, False), "b").join(crowded, "key", "left_anti")
     labels = plain.groupBy("key", "label_b").agg(F.min("n_b").alias("least"), F.max("n_b").alias("most"))
     fuzzy = _renamed(_word_keys(at, True), "a").join(labels, "key").filter(
         (F.col("label_a") != F.col("label_b"))
@@ -303,6 +324,102 @@ def _met_all(at: DataFrame) -> DataFrame:
     return _pairs(fuzzy.join(plain, ["key", "label_b"]))
 
 
+def _crowded(at: DataFrame) -> DataFrame:
+    """Keys with more than ``CROWD`` labels."""
+    labels = _word_keys(at, False).groupBy("key", "label").agg(F.lit(1).alias("one"))
+    return labels.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key")
+
+
+def _families(at: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(fp, family) of the fingerprints that share a crowded key, directly or over others.
+
+    Each member is linked with one of its key, so the links are as many as the members.
+    """
+    plain = _word_keys(at, False).join(crowded, "key", "left_semi")
+    one = plain.groupBy("key").agg(F.min("fp").alias("one"))
+    stars = _word_keys(at, True).join(one, "key").select(F.col("fp").alias("a"), F.col("one").alias("b"))
+    return components(cut(stars.distinct(), "fp-stars")).select(F.col("node").alias("fp"), F.col("label").alias("family"))
+
+
+def shingle_binary(text: Column) -> Column:
+    """The distinct shingle hashes of a whole text as a binary."""
+    def build() -> Callable:
+        return lambda texts: pa.array([shingle_set(_words(t.as_py())).tobytes() for t in texts], pa.binary())
+
+    return by_task("binary", build)(text)
+
+
+def _common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of ``sets`` shares with each of ``others``; counted in portions of columns."""
+    def entries(of: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(of)), [len(x) for x in of]), np.concatenate([np.zeros(0, "<u8"), *of])
+
+    (row_a, a), (row_b, b) = entries(sets), entries(others)
+    shared = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+    total = np.zeros((len(sets), len(others)), np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        some = shared[at : at + COLUMNS]
+        tables = []
+        for row, of, n in ((row_a, a, len(sets)), (row_b, b, len(others))):
+            column = np.searchsorted(some, of)
+            here = column < len(some)
+            here[here] = some[column[here]] == of[here]
+            table = np.zeros((n, len(some)), np.float32)
+            table[row[here], column[here]] = 1
+            tables.append(table)
+        total += tables[0] @ tables[1].T
+    return total
+
+
+def block_links(table: pa.Table) -> pa.Table:
+    """Links between the labels of two blocks of a family (or inside one), as few as connect them."""
+    rows = table.sort_by("fp").to_pydict()
+    left = [i for i, (own, low) in enumerate(zip(rows["block"], rows["low"])) if own == low]
+    right = [i for i, (own, high) in enumerate(zip(rows["block"], rows["high"])) if own == high]
+    sets = [np.frombuffer(x, "<u8") for x in rows["shingles"]]
+    sizes = np.array([len(x) for x in sets], np.float64)
+    both = _common([sets[i] for i in left], [sets[i] for i in right]).astype(np.float64)
+    union = sizes[left][:, None] + sizes[right][None, :] - both
+    near = both / np.maximum(union, 1) >= SIMILAR
+    root = {label: label for label in rows["label"]}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    links = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+        a, b = left[i], right[j]
+        x, y = find(rows["label"][a]), find(rows["label"][b])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            links.append((rows["fp"][a], rows["fp"][b]))
+    ends = list(zip(*links)) or [(), ()]
+    return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+
+def family_links(at: DataFrame, crowded: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all similar texts which share a crowded key.
+
+    A family goes through tasks in pairs of blocks of ``BLOCK`` members with all their
+    shingles; a pair of blocks is compared as a whole and gives only links that connect labels.
+    """
+    member = _families(at, crowded)
+    size = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    sets = cut(
+        member.join(size, "family").select("fp", "family", "blocks", own.alias("block")).join(at.select("fp", "label"), "fp")
+        .join(rows, "fp").join(texts, "row").select("fp", "label", "family", "blocks", "block", shingle_binary(F.col("text")).alias("shingles")),
+        "fp-families",
+    )
+    placed = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select(
+        "fp", "label", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "shingles"
+    )
+    return placed.groupBy("family", "low", "high").applyInArrow(block_links, "a bigint, b bigint")
+
+
 def _pairs(met: DataFrame) -> DataFrame:
     return (
         met.filter((F.col("label_a") != F.col("label_b")) & _of_similar_size(F.col("n_a"), F.col("n_b")))
@@ -310,13 +427,17 @@ def _pairs(met: DataFrame) -> DataFrame:
     )
 
 
-def similar_links(nodes: DataFrame, known: DataFrame, accept: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+def similar_links(
+    nodes: DataFrame, known: DataFrame, accept: Callable[[DataFrame, bool], DataFrame],
+    crowd: Callable[[DataFrame, DataFrame], DataFrame],
+) -> DataFrame:
     """Links that with ``known`` connect all similar texts of ``nodes`` (fp, words, sketch, n) that share a key.
 
     ``accept`` takes (a, b, s), pairs with the similarity of their sketches, and gives the (a, b) that are similar;
     all of them if its second argument says that it is asked for the last time.
     First each fingerprint is compared with one of each key, in rounds while they bring many links; then
-    every pair that shares a key and is not yet connected. So a pair left out is a connected one.
+    every pair that shares a key and is not yet connected. So a pair left out is a connected one. Keys that
+    still have many labels then are left to ``crowd``, which takes the labels and these keys and gives links.
     """
     sketch = lambda name: nodes.select(F.col("fp").alias(name), F.col("sketch").alias(f"sketch_{name}"))
     size, found, turn, last = nodes.count(), known, 0, False
@@ -324,17 +445,18 @@ def similar_links(nodes: DataFrame, known: DataFrame, accept: Callable[[DataFram
         label = components(found)
         found = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
         at = cut(
-            nodes.select("fp", "words", "n").join(label, F.col("fp") == F.col("node"), "left")
-            .select("fp", "words", "n", F.coalesce("label", "fp").alias("label")),
+            nodes.select("fp", "words", "bands", "n").join(label, F.col("fp") == F.col("node"), "left")
+            .select("fp", "words", "bands", "n", F.coalesce("label", "fp").alias("label")),
             "fp-labels",
         )
-        met = cut(_met_all(at) if last else _met_once(at, turn), "fp-met")
+        crowded = cut(_crowded(at), "fp-crowded") if last else None
+        met = cut(_met_all(at, crowded) if last else _met_once(at, turn), "fp-met")
         both = met.join(sketch("a"), "a").join(sketch("b"), "b")
         judged = both.select("a", "b", similarity(F.col("sketch_a"), F.col("sketch_b")).alias("s"))
         fresh = cut(accept(judged, last), "fp-similar")
         found = found.union(fresh)
         if last:
-            return found
+            return found if crowded.isEmpty() else found.union(cut(crowd(at, crowded), "fp-crowd-links"))
         turn, last = turn + 1, fresh.count() * MANY <= size
 
 
@@ -374,19 +496,22 @@ def by_texts(rows: DataFrame, texts: DataFrame) -> Callable[[DataFrame, bool], D
 def classes(slim: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(fp, component_id, first_row, n_links) of every fingerprint of ``slim`` (fp, doc_id, row).
 
-    With ``texts`` (row, text) also over ``similar_links``, from the columns words, sketch and n.
+    With ``texts`` (row, text) also over ``similar_links``, from the columns words, bands, sketch and n.
 
     ``component_id`` is the smallest doc_id of the component, ``first_row`` the
     row with it (the smallest if it repeats), ``n_links`` the linked other
     fingerprints.
     """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    more = [F.min_by(F.struct("words", "sketch", "n"), order).alias("print")] if texts is not None else []
+    more = [F.min_by(F.struct("words", "bands", "sketch", "n"), order).alias("print")] if texts is not None else []
     by_fp = cut(slim.groupBy("fp").agg(F.min(order).alias("first"), *more), "fingerprints")
     pairs = links(by_fp.select("fp"))
     if texts is not None:
-        accept = by_texts(by_fp.select("fp", "first.row"), texts)
-        pairs = similar_links(by_fp.select("fp", "print.*"), pairs, accept)
+        rows = by_fp.select("fp", "first.row")
+        pairs = similar_links(
+            by_fp.select("fp", "print.*"), pairs, by_texts(rows, texts),
+            lambda at, crowded: family_links(at, crowded, rows, texts),
+        )
     pairs = cut(pairs, "fp-links")
     label = components(pairs)
     count = (
