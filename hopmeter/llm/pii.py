@@ -1,14 +1,16 @@
 """Personal data by boosted trees over candidate spans.
 
 Generators with high recall propose spans of six kinds, which may overlap. Each
-candidate gets format features (its rule's verdict, length, share of digits) and
-context features (a cue word before it, letters or digits touching it), all of a
-few values each. Gradient boosting works on the counts per combination of values
-(at most 1,152, however large the corpus), so training is one aggregation; the
-trees become conditional expressions. The labels are weak: the rule's verdict for
-kinds that have a rule, the cue for the others. One half of the documents grows
-the trees, the other sets the threshold of each kind, where the precision among
-candidates above it reaches ``precision``.
+candidate gets format features (length, share of digits, kinds of characters, how
+varied they are) and context features (letters or digits touching it, a cue word
+before it), all of a few values each. Gradient boosting works on the counts per
+combination of values (at most 6,912, however large the corpus), so training is one
+aggregation; the trees become conditional expressions. The labels are weak and never
+among a kind's own features: for email, ip, card and phone the rule's verdict, which format
+and context must foretell; for secrets and numbers a cue word before them, which the
+format must foretell. What a cue names is taken as it is; a token without one is taken where
+nearly all that look like it have one, so hashes that look like keys stay. One half of the documents grows the trees, the other sets the threshold
+of each kind, where the precision among candidates above it reaches ``precision``.
 
 Spans that pass their kind's fixed rule (email, ip, card, phone) always stay. The
 others are added where their score reaches the threshold and no such span is
@@ -36,7 +38,7 @@ from hopmeter.session import cut
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "secret", "number"]
 #: Feature -> number of values.
-FEATURES = {"kind": len(KINDS), "valid": 2, "length": 4, "digits": 4, "cue": 2, "glued": 2}
+FEATURES = {"kind": len(KINDS), "length": 4, "digits": 4, "mix": 4, "variety": 3, "hint": 2, "glued": 2}
 _SECRET = r"""(?i)(token|secret|passwor[dt]|passwd|pwd|api.?key|key|bearer)["']?\s{0,3}[=:]?\s{0,3}["']?$"""
 _NUMBER = r"(?i)(tel|phone|fax|mobile|call|account|iban|ssn|card|passport)[a-z]{0,10}[.:# ]{0,3}$"
 _PLACE = r"(?i)(mail|contact|write|address|host|server|from|ip)[a-z]{0,10}[.:# ]{0,3}$"
@@ -102,6 +104,17 @@ def _valid(kind: str) -> Callable[[Column], Column]:
     return lambda m: F.lit(kind == "email")
 
 
+def _mix(x: Column) -> Column:
+    """How many of small letters, capitals and digits there are."""
+    return sum((x.rlike(f"[{some}]").cast("int") for some in ("a-z", "A-Z", "0-9")), F.lit(0))
+
+
+def _variety(x: Column, size: Column) -> Column:
+    """Distinct characters against the length, as far as 32 characters can differ."""
+    share = F.size(F.array_distinct(F.split(x, ""))) / F.least(size, F.lit(32))
+    return F.when(share < 0.3, 0).when(share < 0.6, 1).otherwise(2)
+
+
 def _generators(text: Column) -> dict[str, tuple[Column, Column, str]]:
     """kind -> (prefilter, text with hopeless characters replaced, pattern)."""
     local, label = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -134,8 +147,11 @@ def candidates(text: Column) -> Column:
                 _valid(kind)(s["match"]).cast("int").alias("valid"),
                 F.when(size < 12, 0).when(size < 20, 1).when(size < 36, 2).otherwise(3).alias("length"),
                 F.when(share == 0, 0).when(share < 0.3, 1).when(share < 0.9, 2).otherwise(3).alias("digits"),
+                _mix(s["match"]).alias("mix"), _variety(s["match"], size).alias("variety"),
                 s["before"].rlike(CUES[kind]).cast("int").alias("cue"),
                 touches.cast("int").alias("glued"),
+                # The cue where it isn't the label.
+                (s["before"].rlike(CUES[kind]) if kind in BASE else F.lit(False)).cast("int").alias("hint"),
             )
 
         return one
@@ -185,11 +201,11 @@ class Trees:
         return sum((walk(t) for t in self.trees), F.lit(0.0))
 
     def adds(self, c: Column) -> Column:
-        """Whether a candidate's score reaches its kind's threshold."""
+        """Whether a cue word names it, or its score reaches its kind's threshold."""
         least = F.lit(float("inf"))
         for kind, threshold in self.thresholds.items():
             least = F.when(c["kind"] == kind, F.lit(threshold)).otherwise(least)
-        return self.score(c) >= least
+        return ((c["cue"] == 1) & (c["kind"] >= len(BASE))) | (self.score(c) >= least)
 
 
 def _predict(node, x: np.ndarray) -> np.ndarray:
