@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopmeter.llm.common import by_task, fold_bucket
@@ -197,15 +197,12 @@ def fit(windows: np.ndarray, langs: list[str], epochs: int = 5, batch: int = 64,
 def labelled_windows(labelled: DataFrame, per_language: int, windows: int) -> tuple[np.ndarray, list[str]]:
     """Training windows of a bounded sample of ``labelled`` (doc_id, text, lang).
 
-    The sample is drawn by a hash of id and text, so it doesn't depend on how the
-    rows are laid out.
+    The sample has about ``per_language`` documents of every language, never twice as many,
+    so it grows with the number of languages only. It is drawn by a hash of id and text and
+    doesn't depend on how the rows are laid out.
     """
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("doc_id", "text", "lang")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "lang").limit(1000).collect()
-    if not top:
-        return np.zeros((0, WINDOW), np.uint8), []
-    share = F.create_map(*[x for r in top for x in (F.lit(r["lang"]), F.lit(per_language / r["n"]))])
 
     def spread(texts: pa.Array) -> pa.Array:
         out = []
@@ -216,10 +213,12 @@ def labelled_windows(labelled: DataFrame, per_language: int, windows: int) -> tu
         return pa.array(out, pa.list_(pa.binary()))
 
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = rows.withColumn("drawn", drawn).join(counts, "lang").filter(F.col("drawn") * F.col("n") < per_language)
+    # About as many as asked for; twice as many at most, those of the least draw.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id"))
     sample = (
-        rows.select("doc_id", "text", "lang", drawn.alias("drawn")).filter(F.col("drawn") < share[F.col("lang")])
-        .select("drawn", "doc_id", "lang", by_task("array<binary>", lambda: spread)(F.col("text")).alias("w"))
-        .orderBy("drawn", "doc_id").limit(per_language * len(top))
+        some.select("drawn", "doc_id", "lang", by_task("array<binary>", lambda: spread)(F.col("text")).alias("w"))
+        .withColumn("place", place).filter(F.col("place") <= 2 * per_language).orderBy("lang", "place")
     )
     found = [(w, r["lang"]) for r in sample.collect() for w in r["w"]]
     data = np.frombuffer(b"".join(bytes(w) for w, _ in found), np.uint8).reshape(-1, WINDOW)
