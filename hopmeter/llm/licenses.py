@@ -6,8 +6,8 @@ order, with nothing between them but what regions allow.
 
 A few fixed phrases are looked for beside the templates; their labels are always
 kept. Defined cases: a null or empty text has no words, no labels and score 0;
-repeated rows give repeated results; a template without mandatory first word is
-refused. Every word of a text is read, however long the text is.
+repeated rows give repeated results; a template that may begin with any word is
+refused; of templates that begin at one place all labels count; other columns are never read. Every word of a text is read, however long the text is.
 """
 
 from __future__ import annotations
@@ -28,24 +28,81 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: label -> templates; wording of common notices.
+# Wording of whole licenses and of notices, words only. A template that
+# is not a whole text names the license beyond doubt. Holders and years are regions.
+_AS_IS = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the "
+    "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or "
+    "copyright holders be liable for any claim damages or other liability whether in an action of contract tort or "
+    "otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of <<replace:1-8>> and associated "
+    "documentation files <<optional>>the software<<end>>"
+)
+_MIT_RIGHTS = (
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+    "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do "
+    "so subject to the following conditions the above copyright notice and this permission notice "
+    "<<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software"
+)
+_BSD_START = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+    "following conditions are met"
+)
+_BSD_TWO = (
+    "<<optional>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and "
+    "the following disclaimer <<optional>>2<<end>> redistributions in binary form must reproduce the above copyright notice "
+    "this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_THREE = (
+    "<<optional>>3<<end>> neither the name of <<replace:1-12>> nor the names of its contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission"
+)
+_BSD_AS_IS = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties "
+    "including but not limited to the implied warranties of merchantability and fitness for a particular purpose are "
+    "disclaimed in no event shall the copyright <<replace:1-2>> or contributors be liable for any direct indirect incidental "
+    "special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract "
+    "strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if "
+    "advised of the possibility of such damage"
+)
+
+
+def _gnu(name: str) -> list[str]:
+    """Notices of one of the three licenses of the family."""
+    return [
+        f"licensed under the <<optional>>terms of the<<end>> gnu {name} <<optional>>version <<replace:1-2>><<end>>",
+        f"redistribute it and or modify it under the terms of the gnu {name} "
+        "<<optional>>as published by the free software foundation<<end>> "
+        "<<optional>>either version <<replace:1-2>> of the license or at your option any later version<<end>>",
+    ]
+
+
+#: label -> templates.
 TEMPLATES = {
-    "gpl": [
-        "licensed under the <<optional>>terms of the<<end>> gnu general public license "
-        "<<optional>>version <<replace:1-2>><<end>>",
-        "redistribute it and or modify it under the terms of the gnu "
-        "<<optional>>lesser<<end>> <<optional>>affero<<end>> general public license "
-        "<<optional>>as published by the free software foundation<<end>>",
-    ],
+    "gpl": _gnu("general public license"),
+    "lgpl": _gnu("lesser general public license"),
+    "agpl": _gnu("affero general public license"),
     "apache": [
-        "licensed under the apache license <<optional>>version 2 0<<end>>",
+        "licensed under the apache license <<optional>>version 2 0<<end>> <<optional>>the license you may not use this file "
+        "except in compliance with the license you may obtain a copy of the license at http www apache org licenses license "
+        "2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed "
+        "on an as is basis without warranties or conditions of any kind either express or implied see the license for the "
+        "specific language governing permissions and limitations under the license<<end>>",
         "licensed under the apache 2 0 license",
         "apache software license <<optional>>version 2 0<<end>>",
     ],
     "mit": [
         "released under the <<optional>>terms of the<<end>> mit <<optional>>x11<<end>> license",
-        "permission is hereby granted free of charge to any person obtaining a copy of "
-        "<<replace:1-8>> and associated documentation files <<optional>>the software<<end>>",
+        _MIT_GRANT,
+        f"{_MIT_GRANT} {_MIT_RIGHTS} {_AS_IS}",
+    ],
+    "isc": [
+        "permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee "
+        "is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "released under the <<optional>>terms of the<<end>> isc license",
     ],
     "cc-by": [
         "licensed under <<optional>>the<<end>> <<optional>>a<<end>> cc by "
@@ -56,13 +113,29 @@ TEMPLATES = {
     ],
     "cc-by-nc": [
         "licensed under <<optional>>the<<end>> cc by nc <<optional>>sa<<end>> <<optional>>4 0<<end>>",
+        "licensed under a creative commons attribution noncommercial <<optional>>sharealike<<end>>",
+    ],
+    "cc-by-sa": [
+        "licensed under <<optional>>the<<end>> cc by sa <<optional>>4 0<<end>>",
+        "licensed under a creative commons attribution sharealike",
+    ],
+    "cc0": ["to the extent possible under law <<replace:1-12>> has waived all copyright and related or neighboring rights to"],
+    "bsd": [_BSD_START, "<<optional>>released under the<<end>> bsd <<replace:1-2>> clause license"],
+    "bsd-2-clause": [f"{_BSD_START} {_BSD_TWO} {_BSD_AS_IS}"],
+    "bsd-3-clause": [f"{_BSD_START} {_BSD_TWO} {_BSD_THREE} {_BSD_AS_IS}"],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable "
+        "for any damages arising from the use of this software permission is granted to anyone to use this software for any "
+        "purpose including commercial applications and to alter it and redistribute it freely",
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use "
+        "compile sell or distribute this software",
     ],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are "
-        "permitted provided that the following conditions are met",
-        "<<optional>>released under the<<end>> bsd <<replace:1-2>> clause license",
+    "mpl": [
+        "subject to the terms of the mozilla public license <<optional>>v <<replace:1-2>><<end>> <<optional>>if a copy of the "
+        "mpl was not distributed with this file you can obtain one at <<replace:1-8>><<end>>",
     ],
-    "mpl": ["subject to the terms of the mozilla public license <<optional>>v <<replace:1-2>><<end>>"],
 }
 TABLE = bytes(
     c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32
@@ -121,7 +194,10 @@ class Automaton:
         if opened or not self.mandatory:
             raise ValueError(f"open region or no mandatory word in {markup!r}")
         self.last = at
-        self.first = {w for s in self._closure({0}) for w in self.steps[s]["on"]}
+        start = [self.steps[s] for s in self._closure({0})]
+        if any(step["any"] is not None for step in start):
+            raise ValueError(f"{markup!r} may begin with any word; a template is looked up by its first word")
+        self.first = {w for step in start for w in step["on"]}
 
     def _add(self, at: int, word: bytes | None) -> int:
         self.steps.append({"on": {}, "any": None, "free": []})
