@@ -6,8 +6,8 @@ passage. All pieces are searched at once in every text; only around a piece hit
 is the edit distance computed, by Myers' bit-parallel recurrence over a window.
 
 Texts and items are compared lower-cased with white space collapsed. The items
-are the stated query set: they go to the tasks in blocks of bounded size, and
-documents are never shuffled. Defined cases: a null or empty text, and a null or
+are the stated query set: they go to the tasks in blocks of bounded size, a pass over the
+documents each, and documents are never shuffled. Items may have ids of any type. Defined cases: a null or empty text, and a null or
 empty item, match nothing; repeated items all report; an item too short for one
 edit must occur exactly; repeated documents each report; a null id is reported
 as null. Columns other than ``text`` (and the id) are never looked at.
@@ -15,7 +15,8 @@ as null. Columns other than ``text`` (and the id) are never looked at.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -23,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopmeter.llm.common import by_task
+from hopmeter.session import cut
 
 #: Edits allowed per character of an item. At 0.1 the pieces get so short that chance
 #: hits cost sixteen times the search itself.
 RATE = 0.08
-HITS = "array<struct<item_id:bigint,distance:int>>"
-_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
+BLOCK_CHARS = 4_000_000
+HITS = "array<struct<item_id:string,distance:int>>"
+_HITS = pa.list_(pa.struct([("item_id", pa.string()), ("distance", pa.int32())]))
 
 
 def normal(text: str) -> str:
@@ -121,36 +124,53 @@ class Matcher:
         return sorted(out, key=lambda h: (h["item_id"] is None, h["item_id"], h["distance"]))
 
 
-def item_blocks(items: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
-    """Items in blocks of about ``block_chars`` characters, fetched block by block."""
-    slim = items.select(F.col("item_id").cast("bigint"), "text").filter("text is not null")
+def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items in blocks of about ``block_chars`` characters, fetched one after the other."""
+    slim = items.select(F.col("item_id").cast("string"), "text").filter("text is not null")
     total = slim.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
     block = F.pmod(F.xxhash64("text"), F.lit(n))
-    return [[tuple(r) for r in slim.filter(block == b).collect()] for b in range(n)]
+    for b in range(n):
+        yield [tuple(r) for r in slim.filter(block == b).collect()]
 
 
-def benchmark_hits(
-    items: DataFrame, text: Column, rate: float = RATE, block_chars: int = 4_000_000
-) -> Column:
-    """Array of (item_id, distance) of the items found in ``text``."""
-    def search(block: list[tuple[int, str]]) -> Callable:
-        def build() -> Callable:
-            matcher = Matcher(block, rate)
-            return lambda texts: pa.array([matcher.hits(t.as_py()) for t in texts], _HITS)
+def _search(block: list[tuple[str | None, str]], rate: float, text: Column) -> Column:
+    """Array of (item_id, distance) of the items of a block found in ``text``."""
+    def build() -> Callable:
+        matcher = Matcher(block, rate)
+        return lambda texts: pa.array([matcher.hits(t.as_py()) for t in texts], _HITS)
+
+    return by_task(HITS, build)(text)
 
-        return by_task(HITS, build)
 
-    columns = [search(block)(text) for block in item_blocks(items, block_chars)]
-    return F.array_sort(F.concat(*columns)) if len(columns) > 1 else columns[0]
+def benchmark_hits(
+    docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """(row, hit) of the items that the rows of ``docs`` (row, text) hold; a hit is (item_id, distance), the id as text.
+
+    Each block of items has a pass of its own and writes what it finds, so that neither the
+    driver nor a task ever has more than one block.
+    """
+    found = []
+    for block in item_blocks(items, block_chars):
+        hits = docs.select("row", F.explode(_search(block, rate, F.col("text"))).alias("hit"))
+        found.append(cut(hits, "benchmark-hits"))
+    return reduce(DataFrame.union, found)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, distance) of every item found in every document."""
-    hit = F.explode(benchmark_hits(items, F.col("text"), **options)).alias("hit")
-    return docs.select("doc_id", hit).select("doc_id", "hit.item_id", "hit.distance")
+    slim = docs.select(F.struct(F.col("doc_id")).alias("row"), "text")
+    found = benchmark_hits(slim, items, **options)
+    return found.select("row.doc_id", F.col("hit.item_id").cast(items.schema["item_id"].dataType).alias("item_id"), "hit.distance")
+
 
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents in which no item is found, with all their columns.
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents in which no item is found, with all their columns."""
-    return docs.filter(F.size(benchmark_hits(items, docs["text"], **options)) <= 0)
+    Documents that a block rejects are not looked at for the next one.
+    """
+    for i, block in enumerate(item_blocks(items, block_chars)):
+        docs = cut(docs, "benchmark-clean") if i else docs
+        docs = docs.filter(F.size(_search(block, rate, docs["text"])) <= 0)
+    return docs
