@@ -24,7 +24,8 @@ URL_RULES = [
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    row = lambda rule: F.struct(*[F.lit(x).alias(n) for x, n in zip(rule, ("host", "path", "verdict"))])
+    rules = spark.range(1).select(F.inline(F.array(*map(row, URL_RULES))))
     return urlrules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
