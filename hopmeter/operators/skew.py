@@ -18,10 +18,18 @@ GROUP_ROWS_SETTING = "spark.hopmeter.groupRows"
 SLOTS = 1 << 20
 
 
-def _slot(keys: list[str]) -> Column:
+def slot(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
 
 
+def hot_slots(df: DataFrame, keys: list[str], group_rows: int | None = None) -> DataFrame:
+    """(_slot) of the hash slots with more rows than a group may have, as a written table."""
+    if group_rows is None:
+        group_rows = int(df.sparkSession.conf.get(GROUP_ROWS_SETTING, str(GROUP_ROWS)))
+    counts = df.groupBy(slot(keys).alias("_slot")).count()
+    return cut(counts.filter(F.col("count") > group_rows).select("_slot"), "hot-slots")
+
+
 def split_hot(
     df: DataFrame, keys: list[str], group_rows: int | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -33,17 +41,10 @@ def split_hot(
     slot is merely treated as hot. The list of hot slots is a written table of at
     most ``SLOTS`` integers, empty most of the time.
     """
-    if group_rows is None:
-        group_rows = int(df.sparkSession.conf.get(GROUP_ROWS_SETTING, str(GROUP_ROWS)))
-    hot = (
-        df.groupBy(_slot(keys).alias("_slot")).count()
-        .filter(F.col("count") > group_rows)
-        .select("_slot")
-    )
-    listed = cut(hot, "hot-slots")
+    listed = hot_slots(df, keys, group_rows)
     if listed.isEmpty():
         return df, None
-    marked = df.withColumn("_slot", _slot(keys))
+    marked = df.withColumn("_slot", slot(keys))
     return (
         marked.join(listed, "_slot", "left_anti").drop("_slot"),
         marked.join(listed, "_slot", "left_semi").drop("_slot"),

@@ -243,6 +243,16 @@ def first_match_asof(p: StageTables) -> DataFrame:
     )
 
 
+@_query
+def first_match_bucketed(p: StageTables) -> DataFrame:
+    """Two batches of probes against records that lie in buckets of their key."""
+    late = F.unix_millis("start_time") * 2 >= sum(p.span)
+    hits = [p.record_buckets.match(p.marks.filter(part)) for part in (late, ~late)]
+    return hits[0].unionByName(hits[1]).filter("offset IS NOT NULL").select(
+        "probe_id", "topic", "partition", "base_offset", "offset", "ts_ms"
+    )
+
+
 @_query
 def first_match_any_partition(p: StageTables) -> DataFrame:
     """Messages sent without a key: source records land in another partition than the probe's."""

@@ -308,6 +308,8 @@ FROM c CROSS JOIN (VALUES (CAST(0 AS BIGINT), 'create', '44.9', '95.8'),
 SELECT probe_id AS event_id, cycle_no AS user_id, update_no,
        CASE WHEN update_no = 0 THEN 'CREATE' ELSE 'UPDATE' END AS phase FROM k""",
         "first_match_asof": HITS + """
+SELECT probe_id, topic, part AS partition, base_off AS base_offset, off AS "offset", ts_ms FROM first_hit""",
+        "first_match_bucketed": HITS + """
 SELECT probe_id, topic, part AS partition, base_off AS base_offset, off AS "offset", ts_ms FROM first_hit""",
         "stage_latency_3": LATENCY + " SELECT * FROM lat",
         "stage_latency_2": LATENCY + " SELECT * FROM lat2",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopmeter.operators.baseline import baseline_offsets
+from hopmeter.operators.buckets import RecordBuckets
 from hopmeter.operators.decode import unify
 from hopmeter.operators.first_match import KEY, first_match, keep_probed
 from hopmeter.operators.latency import probe_facts, stage_latency
@@ -167,6 +168,10 @@ class StageTables:
     def wanted(self) -> DataFrame:
         return cut(self.find_wanted(), "wanted")
 
+    @cached_property
+    def record_buckets(self) -> RecordBuckets:
+        return RecordBuckets(self.wanted, self.marks.schema, self.spark.sparkContext.defaultParallelism)
+
     def find_hits(self) -> DataFrame:
         return first_match(self.wanted, self.marks)
 
