@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import io
 import json
+import struct
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,7 +46,7 @@ END_ID = 2
 #: A shard ends after so many documents or ids, whichever comes first.
 SHARD_DOCS, SHARD_IDS = 1 << 18, 1 << 27
 #: Words whose ids a task keeps; beyond it starts anew, which costs time only.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 #: Texts encoded at once.
 TEXTS = 2000
 #: Letters before this one are letters in every version of the character tables.
@@ -87,21 +88,25 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
-        self.type, self.end = type, np.array([end_id], type).tobytes()
+        self.code = "H" if type == "<u2" else "I"
+        self.end = self._raw([end_id])
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def _raw(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
     def _learn(self, pieces: set[str]) -> None:
-        rest = []
+        rest, merge = [], self.model.tokenize
         for p in pieces:
             if p.isascii() and p.isalpha():
-                self.pieces[p] = np.array([t.id for t in self.model.tokenize(p.lower())], self.type).tobytes()
+                self.pieces[p] = self._raw([t.id for t in merge(p.lower())])
             else:
                 rest.append(p)
         for at in range(0, len(rest), 10_000):
             some = rest[at : at + 10_000]
             for p, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.pieces[p] = np.array(found.ids, self.type).tobytes()
+                self.pieces[p] = self._raw(found.ids)
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id."""
@@ -122,11 +127,13 @@ def _pieces(word: bytes) -> tuple[str, ...]:
     """A word without the marks at its end, and these; whole where the last letter's normal form may not end in a
     letter, or where the name of a special token may stand."""
     text = word.decode("utf-8", "surrogatepass")
-    if "<|" in text:
+    if word.isalpha() or "<|" in text:
         return (text,)
     core = text.rstrip(MARKS)
-    last = unicodedata.normalize("NFC", core[-1:]).lower()[-1:]
-    return (core, text[len(core) :]) if core != text and last.isalpha() and core[-1] < LATER_SCRIPTS else (text,)
+    last = core[-1:]
+    if not last.isascii():
+        last = unicodedata.normalize("NFC", last).lower()[-1] if last < LATER_SCRIPTS else ""
+    return (core, text[len(core) :]) if core != text and last.isalpha() else (text,)
 
 
 # -- minimal perfect hash -------------------------------------------------------------
