@@ -1,6 +1,7 @@
 """Registered queries over whole small tables, against SQL or a brute-force version."""
 
 import hashlib
+import math
 import os
 import re
 import sys
@@ -14,10 +15,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import public_tokenizers  # noqa: E402
 import tiktoken  # noqa: E402
 import xxhash  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from compare import connect, differences  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from hopmeter.llm import bpe, catalog, common  # noqa: E402
+from hopmeter.llm import bpe, catalog, common, decontam, lm, pii  # noqa: E402
+from tests.llm.test_edge_cases import _plain_spans  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -159,3 +162,67 @@ def test_pipeline(spark, docs):
             texts = after
     assert all(r["round_trip"] for r in left.collect()) and {r["doc_id"]: r["text"] for r in left.collect()} == texts
     assert corpus_pipeline.run(spark, SF_DIR).count() == len(texts)
+
+
+def test_decontamination(spark, docs):
+    """Every item against every whole text, without pieces."""
+    items = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in catalog.op4_decontamination(spark, SF_DIR).collect()}
+    want = set()
+    for i, text in docs.items():
+        plain = decontam.normal(text or "")
+        for item in items:
+            pattern = decontam.normal(item["text"] or "")
+            budget = decontam.edit_budget(len(pattern), decontam.RATE)
+            if pattern and (least := 0 if pattern in plain else decontam.myers_least(pattern, plain)) <= budget:
+                want.add((i, item["item_id"], least))
+    assert got == want and want
+
+
+def test_language_model(spark, docs):
+    """Base scores by their formula; the network's score is better on documents it has not seen."""
+    tokens = {i: [*re.findall(SPACE.encode(), (t or "").encode().lower()), b""] for i, t in docs.items()}
+    held = {i for i in docs if crc32(str(i).encode()) % 10 == 0}
+    c = Counter(w for i, ts in tokens.items() if i not in held for w in ts)
+    total = sum(c.values())
+    got = _by_id(catalog.op6_language_model(spark, SF_DIR))
+    assert set(got) == set(docs)
+    for i, ts in tokens.items():
+        base = sum(math.log10((c[w] + 0.1) / (total + 0.1 * (len(c) + 1))) for w in ts)
+        assert math.isclose(got[i]["base_score"], base, rel_tol=1e-9)
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(ts), sum(c[w] > 0 for w in ts), total)
+        assert got[i]["held_out"] == (i in held)
+    n = sum(len(tokens[i]) for i in held)
+    gain = sum(got[i]["score"] - got[i]["base_score"] for i in held) / n
+    assert gain > 0.05, gain
+
+
+def test_language_model_trains_on_a_share_of_any_corpus_and_long_documents(spark, docs):
+    training = common.documents(spark, SF_DIR)
+    head = lm.head_of(lm.token_counts(training), 50_000)
+    for fit_tokens, share in ((1000, 0.5), (1000, 1.0), (10**9, 0.05)):
+        rows, shards = lm._sample(training, head, fit_tokens, share)
+        found = rows.select("shard", "doc_id", F.length("u").alias("n")).collect()
+        wanted = min(head.tokens, max(fit_tokens, share * head.tokens))
+        assert 0.5 * wanted < sum(r["n"] for r in found) < 1.6 * wanted
+        assert shards == max(1, round(wanted / fit_tokens)) and {r["shard"] for r in found} <= set(range(shards))
+        if share == 1.0:
+            # No document is too long to teach.
+            assert {r["doc_id"] for r in found} == set(docs) and max(r["n"] for r in found) > fit_tokens
+    few = lm.score(training, fit_tokens=20_000, fit_share=1.0).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert few[0] > few[1]
+
+
+def test_personal_data(spark, docs):
+    got = _by_id(catalog.op8_personal_data(spark, SF_DIR))
+    assert set(got) == set(docs)
+    for i, text in docs.items():
+        base = _plain_spans(text or "")
+        kinds = Counter(s.split(":")[0] for s in base)
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [kinds[k] for k in ("email", "ip", "card", "phone")]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        spans = got[i]["spans"].split(",") if got[i]["spans"] else []
+        assert set(base) <= set(spans)
+        for s in spans:
+            kind, a, b = s.split(":")
+            assert kind in pii.KINDS and 0 <= int(a) < int(b) <= len(text)
