@@ -57,7 +57,7 @@ ROUGH = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / SKETCH) ** 0.5
 #: A round of comparisons with one of each key is many links if it adds a link for every so many fingerprints.
 MANY = 100
 #: Keys of more labels than this are compared in blocks of so many members, so many shingles at a time.
-CROWD, BLOCK, COLUMNS = 32, 512, 8192
+CROWD, BLOCK, COLUMNS = 32, 256, 4096
 #: Odd factors, which are orders of 64-bit hashes; two of them make a band. Texts of the
 #: similarity 0.8 share the least hashes of a band in 64 of 100 cases, and of one of five in 99.
 ORDERS = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 11)]
