@@ -313,10 +313,12 @@ def find(docs: DataFrame) -> DataFrame:
         F.filter("candidates", is_base),
         lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")),
     )
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
-        for k, kind in enumerate(BASE)
-    ]
+
+    def of_kind(k: int) -> Callable[[Column], Column]:
+        # A second parameter of its own would get the place in the array.
+        return lambda s: s["kind"] == k
+
+    counts = [F.size(F.filter("base", of_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
     return (
         found.select("doc_id", F.sort_array(base).alias("base"), selected(F.col("candidates"), trees).alias("all"))
         .select("doc_id", *counts, F.sha2(_names(F.col("base")), 256).alias("base_sha256"), _names(F.col("all")).alias("spans"))
