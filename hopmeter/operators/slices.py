@@ -2,10 +2,12 @@
 
 Where ``std_slice`` takes one pair of bounds for all groups, a ``SliceTree`` answers a table of
 (group, lo, hi). The vectors are cut into aligned blocks of 32 positions, those into blocks of
-32 blocks and so on; each block stores count, sum, mean, centred squares, minimum and
-maximum. A slice is then a few whole blocks: at most 62 on each of log32(length)
-levels, which are looked up by their number. Nothing is scanned per slice, no join
-has a range for a condition, and a long vector is spread over tasks block by block.
+32 blocks and so on; each block has count, sum, mean, centred squares, minimum and
+maximum, and is stored in one row with the 31 others of its parent. A slice is then at
+most 62 whole blocks on each of log32(length) levels, in at most two rows a level, which are
+looked up by their number. Slices with the same bounds are answered once. Nothing is scanned
+per slice, no join has a range for a condition, and a long vector is spread over tasks
+block by block.
 """
 
 from __future__ import annotations
@@ -79,29 +81,38 @@ def slice_fault(lo: Column, hi: Column, length: Column) -> Column:
     )
 
 
-def whole_blocks(lo: Column, hi: Column, levels: int) -> Column:
-    """Array of (level, block) that together are the positions ``[lo, hi)``."""
-    none = F.array().cast("array<bigint>")
+def runs(lo: Column, hi: Column, levels: int) -> Column:
+    """Array of (level, parent, first, end): blocks that together are the positions ``[lo, hi)``.
+
+    A run holds the blocks ``[first, end)`` of a level, all children of the block ``parent`` of the next.
+    """
+    fan = 1 << FANOUT_BITS
 
-    def run(level: int, first: Column, end: Column) -> Column:
-        numbers = F.when(end > first, F.sequence(first, end - 1)).otherwise(none)
-        return F.transform(numbers, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
+    def run(level: int, parent: Column, first: Column, end: Column, only: Column) -> Column:
+        found = F.struct(F.lit(level).alias("level"), parent.alias("parent"), first.alias("first"), end.alias("end"))
+        return F.when(only & (first < end), found)
 
     def cover(level: int) -> tuple[Column, Column]:
         width = 1 << FANOUT_BITS * level
         return F.ceil(lo / width).cast("bigint"), F.floor(hi / width).cast("bigint")
 
-    parts = []
+    found = []
     for level in range(levels):
-        first, end = cover(level)
-        if level == levels - 1:
-            parts.append(run(level, first, end))
-            continue
-        above, above_end = cover(level + 1)
-        full, left, right = above < above_end, above * (1 << FANOUT_BITS), above_end * (1 << FANOUT_BITS)
-        parts.append(run(level, first, F.when(full, left).otherwise(end)))
-        parts.append(run(level, F.when(full, right).otherwise(end), end))
-    return F.concat(*parts)
+        (first, end), (above, above_end) = cover(level), cover(level + 1)
+        # Blocks left and right of the parents that the slice holds whole; or all lie inside one parent.
+        apart = above <= above_end
+        found += [
+            run(level, above - 1, first, above * fan, apart),
+            run(level, above_end, F.when(apart, above_end * fan).otherwise(first), end, F.lit(True)),
+        ]
+    return F.array_compact(F.array(*found))
+
+
+def whole_blocks(lo: Column, hi: Column, levels: int) -> Column:
+    """Array of (level, block) that together are the positions ``[lo, hi)``."""
+    return F.flatten(F.transform(runs(lo, hi, levels), lambda r: F.transform(
+        F.sequence(r["first"], r["end"] - 1), lambda b: F.struct(r["level"].alias("level"), b.alias("block"))
+    )))
 
 
 class SliceTree:
@@ -111,23 +122,35 @@ class SliceTree:
         self.by = by
         narrow = df.select(*dict.fromkeys([*by, *order, x]))
         placed = with_ordinal(narrow, by, list(order), "_position", group_rows)
-        self.elements = cut(
-            placed.select(*by, F.lit(0).alias("level"), F.col("_position").alias("block"), F.col(x).cast("double").alias("_x")),
-            "slice-elements",
+        elements = placed.select(*by, F.col("_position").alias("_at"), F.col(x).cast("double").alias("_child"))
+        #: Per level a table (by, block, children): what the blocks of 32 are made of, in order.
+        self.tables = [self._children(elements)]
+        lowest = self.tables[0]
+        self.lengths = lowest.groupBy(*by).agg(
+            F.max(F.col("block") * (1 << FANOUT_BITS) + F.size("children")).alias("_length")
         )
-        self.lengths = self.elements.groupBy(*by).agg((F.max("block") + 1).alias("_length"))
         longest = self.lengths.agg(F.max("_length")).first()[0] or 0
-        self.levels = 1
-        above = self.elements.select(*by, "block", _of_one(F.col("_x")).alias("part"))
-        self.blocks = []
         while longest >> FANOUT_BITS * self.levels:
-            at = F.shiftright("block", FANOUT_BITS).alias("block")
-            # At most 32 parts, in order, so that sums don't depend on who comes first.
-            parts = F.transform(F.array_sort(F.collect_list(F.struct("_at", "part"))), lambda p: p["part"])
-            merged = above.select(*by, at, F.col("block").alias("_at"), "part").groupBy(*by, "block").agg(parts.alias("parts"))
-            above = cut(merged.select(*by, "block", _merged(F.col("parts")).alias("part")), "slice-blocks")
-            self.blocks.append(above.withColumn("level", F.lit(self.levels)))
-            self.levels += 1
+            whole = self.tables[-1].select(*by, F.col("block").alias("_at"), self._parts(self.levels - 1).alias("_child"))
+            self.tables.append(self._children(whole))
+
+    @property
+    def levels(self) -> int:
+        return len(self.tables)
+
+    def _children(self, rows: DataFrame) -> DataFrame:
+        # At most 32, in order, so that sums don't depend on who comes first.
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_child"))), lambda c: c["_child"])
+        block = F.shiftright("_at", FANOUT_BITS).alias("block")
+        return cut(rows.groupBy(*self.by, block).agg(ordered.alias("children")), "slice-blocks")
+
+    @staticmethod
+    def _parts(level: int, first: Column | None = None, end: Column | None = None) -> Column:
+        """One part of all children, or of those with the numbers ``[first, end)``."""
+        children = F.col("children")
+        if first is not None:
+            children = F.slice(children, (first % (1 << FANOUT_BITS) + 1).cast("int"), (end - first).cast("int"))
+        return _merged(children if level else F.transform(children, _of_one))
 
     def answer(self, slices: DataFrame, names: list[str], strict: bool = True) -> DataFrame:
         """``slices`` (by, lo, hi and any other columns, all kept) with the statistics ``names``.
@@ -135,8 +158,8 @@ class SliceTree:
         Bounds outside a vector end the job with ``strict``; else the row gets its reason in
         ``fault`` and null statistics. An empty slice gives NaN, infinities or 0.
         """
-        lengths = self.lengths
-        asked = cut(slices.withColumn("_slice", F.monotonically_increasing_id()), "slices")
+        lengths, bounds = self.lengths, [*self.by, "lo", "hi"]
+        asked = cut(slices, "slices")
         sized = asked.join(lengths, same_group(asked, lengths, self.by), "left").select(
             *[asked[c] for c in asked.columns], F.coalesce("_length", F.lit(0).cast("bigint")).alias("_length")
         )
@@ -147,21 +170,34 @@ class SliceTree:
             )).cast("bigint"))
             sized = sized.withColumn("lo", F.coalesce(stop, F.col("lo")))
         judged = cut(sized.withColumn("fault", fault), "slices-judged")
-        nodes = judged.filter("fault IS NULL").select(
-            *self.by, "_slice",
-            F.inline(whole_blocks(F.col("lo").cast("bigint"), F.col("hi").cast("bigint"), self.levels)),
+        # Written, as the ids depend on the layout of tasks.
+        different = cut(
+            judged.filter("fault IS NULL").select(*bounds).distinct()
+            .withColumn("_slice", F.monotonically_increasing_id()), "slices-different",
+        )
+        pieces = different.select(
+            *self.by, "_slice", F.inline(runs(F.col("lo").cast("bigint"), F.col("hi").cast("bigint"), self.levels))
         )
 
-        def found(table: DataFrame, wanted: DataFrame) -> DataFrame:
-            same = same_group(wanted, table, [*self.by, "level", "block"])
-            return wanted.join(table, same).select("_slice", wanted["level"], wanted["block"], "part")
-
-        met = found(self.elements.withColumn("part", _of_one(F.col("_x"))), nodes.filter("level = 0"))
-        for level, table in enumerate(self.blocks, 1):
-            met = met.unionByName(found(table, nodes.filter(F.col("level") == level)))
+        def found(level: int) -> DataFrame:
+            wanted, table = pieces.filter(F.col("level") == level).drop("level"), self.tables[level]
+            wanted = wanted.withColumnRenamed("parent", "block")
+            # By its files Spark takes either side for small: slices are counted before they become pieces, and blocks
+            # are compressed. Merging keeps both out of the driver.
+            return wanted.join(table.hint("merge"), same_group(wanted, table, [*self.by, "block"])).select(
+                "_slice", F.lit(level).alias("level"), wanted["block"],
+                self._parts(level, F.col("first"), F.col("end")).alias("part"),
+            )
+
+        met = found(0)
+        for level in range(1, self.levels):
+            met = met.unionByName(found(level))
         parts = F.transform(F.array_sort(F.collect_list(F.struct("level", "block", "part"))), lambda p: p["part"])
         whole = met.groupBy("_slice").agg(parts.alias("_parts"))
         part = _merged(F.coalesce("_parts", F.array().cast(whole.schema["_parts"].dataType)))
-        answered = judged.join(whole, "_slice", "left").withColumn("_part", part)
-        values = [F.when(F.col("fault").isNull(), _STATISTICS[n](F.col("_part"))).alias(n) for n in names]
-        return answered.select(*slices.columns, *([] if strict else ["fault"]), *values)
+        values = [_STATISTICS[n](F.col("_part")).alias(f"_{n}") for n in names]
+        answers = different.join(whole.hint("merge"), "_slice", "left").withColumn("_part", part).select(*bounds, *values)
+        return judged.join(answers.hint("merge"), same_group(judged, answers, bounds), "left").select(
+            *[judged[c] for c in slices.columns], *([] if strict else ["fault"]),
+            *[F.when(F.col("fault").isNull(), F.col(f"_{n}")).alias(n) for n in names],
+        )

@@ -94,3 +94,21 @@ def test_statistics_of_a_slice_far_from_zero_keep_their_digits(spark):
     tree = SliceTree(df.withColumn("g", F.lit(1)), ["g"], ["i"], "x")
     row = tree.answer(spark.createDataFrame([(1, 3, 4999)], "g int, lo int, hi int"), ["varp"]).first()
     assert math.isclose(row["varp"], statistics.pvariance([x - 1e9 for x in xs[3:4999]]), rel_tol=1e-7)
+
+
+def test_no_slices_or_blocks_pass_through_the_driver(spark, tree):
+    rows = spark.range(200).selectExpr("id AS k", "'e' AS g", "id % 4 AS lo", "id % 4 + 1100 + id AS hi")
+    answers = tree.answer(rows, ["sum"])
+    plan = answers._jdf.queryExecution().optimizedPlan().toString()
+    # All joins but the one with the lengths of the groups, which were counted before, merge.
+    assert plan.count("strategy=merge") == tree.levels + 2
+    joined = answers._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in joined and "BroadcastNestedLoopJoin" not in joined
+
+
+def test_slices_with_the_same_bounds_are_answered_once_and_all_kept(spark, vectors, tree):
+    rows = [(k, g, 3, 30 + k % 2) for k in range(40) for g in ("d", None)]
+    got = tree.answer(spark.createDataFrame(rows, "k long, g string, lo long, hi long"), ["sum"]).collect()
+    assert sorted(r["k"] for r in got) == sorted(r[0] for r in rows)
+    for r in got:
+        assert _close(r["sum"], sum(x for x in vectors[r["g"]][3 : r["hi"]] if x is not None))
