@@ -28,12 +28,14 @@ def unify(
     )
     is_raw = F.col("topic") == raw_topic(source)
     id, lat, xlong = codec.entity_key("m")
-    return parsed.select(
-        "topic", "partition", "offset", "ts_ms",
+    key = F.struct(
         F.when(is_raw, F.col("m.id")).otherwise(id).alias("id"),
         F.when(is_raw, F.col("m.lat")).otherwise(lat).alias("lat"),
         F.when(is_raw, F.col("m.xlong")).otherwise(xlong).alias("xlong"),
     )
+    # One row each. Filters and joins on the key stay above the inline; a filter below it would parse
+    # the value anew for every field it tests.
+    return parsed.select("topic", "partition", "offset", "ts_ms", F.inline(F.array(key)))
 
 
 def rejects(records: DataFrame) -> DataFrame:
@@ -74,13 +76,14 @@ def faults(topics: DataFrame, source: str) -> DataFrame:
 
     bad = F.array_compact(F.array(*[of(name) for name in codec.KEY_FIELDS]))
     whole = F.when(F.col("value").isNull(), F.lit("no value")).when(F.col("v").isNull(), F.lit("malformed"))
-    return parsed.select("topic", "partition", "offset", whole.alias("whole"), bad.alias("bad")).filter(
-        "whole IS NOT NULL OR size(bad) > 0"
-    ).select(
-        "topic", "partition", "offset",
+    judged = parsed.select("topic", "partition", "offset", whole.alias("whole"), bad.alias("bad"))
+    found = F.struct(
         F.coalesce("whole", F.array_max("bad.fault")).alias("fault"),
         F.when(F.col("whole").isNull(), F.array_join("bad.field", ",")).alias("fields"),
     )
+    # Not a filter: that would move below the parsing and parse the value anew for every field it tests.
+    kept = F.array_compact(F.array(F.when(F.col("whole").isNotNull() | (F.size("bad") > 0), found)))
+    return judged.select("topic", "partition", "offset", F.inline(kept))
 
 
 def of_probe(records: DataFrame, id: str, lat: str, xlong: str) -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from hopmeter.functions import codec
 from hopmeter.operators import decode
+from hopmeter.operators.first_match import keep_probed
 from hopmeter.schemas import TOPIC_TABLE
 
 ENTITY = ('{"basicAttributes":{"coordinate":{"lat":4.3,"long":1500.0}},"externalSystemID":"e1"%s}')
@@ -99,3 +100,12 @@ def test_symbols(spark, rows):
     valid, rejected = decode.validate(df, "nationality", "category")
     assert rows(valid, "n") == [(1,)]
     assert rows(rejected, "n", "fault") == [(2, "nationality"), (3, "category"), (4, "nationality,category")]
+
+
+def test_a_value_is_parsed_once_whoever_asks_for_the_key(spark, topic, tmp_path):
+    topic("src", ENTITY % "").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    probes = spark.createDataFrame([("e1", "4.3", "1500.0")], "id string, lat string, xlong string")
+    for found in (keep_probed(decode.unify(table, "src"), probes), decode.rejects(decode.unify(table, "src")), decode.faults(table, "src")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1
