@@ -65,10 +65,18 @@ def _arrivals():
 
 def topics_of(probes: DataFrame, group_rows: int | None = None) -> DataFrame:
     """The topic table, offsets by time of arrival in each topic partition."""
-    messages = probes.select("*", F.inline(_arrivals()))
-    placed = with_ordinal(
+    return with_values(placed_messages(probes, group_rows))
+
+
+def placed_messages(probes: DataFrame, group_rows: int | None = None) -> DataFrame:
+    """The messages of the topic table with their offsets, values still to be made."""
+    messages = probes.select("probe_id", "id", "lat", "xlong", "partition", "ms", F.inline(_arrivals()))
+    return with_ordinal(
         messages, ["topic", "partition"], ["ts_ms", "probe_id", "copy_no"], "offset", group_rows
     )
+
+
+def with_values(placed: DataFrame) -> DataFrame:
     record = codec.entity_record(F.col("id"), F.col("lat"), F.col("xlong"), SOURCE)
     value = (
         F.when(F.col("topic") == raw_topic(SOURCE), codec.raw_message(

@@ -49,7 +49,7 @@ class StageTables:
     @cached_property
     def topics_path(self) -> str:
         path = fresh_path(self.spark, "topics")
-        write_topics(fixture.topics_of(self.probes), path)
+        write_topics(fixture.placed_messages(self.probes), path, finish=fixture.with_values)
         index.extend_index(self.spark, path)
         return path
 
