@@ -11,8 +11,8 @@ tokens if the unit is a group; so every text, known words or not, gets a
 probability, and they add up to at most one.
 
 The gates are trained in numpy by truncated backpropagation on whole documents, however
-long, of a hash sample that grows with the corpus: ``fit_share`` of the training
-tokens (and ``fit_tokens`` at least), dealt into shards of about ``fit_tokens``. One shard
+long: of all training documents, dealt by a hash into shards of about ``fit_tokens`` tokens
+(``fit_share`` below 1 takes fewer, to try things out). One shard
 trains a network from its random start, then every shard trains that network on in a task
 of its own, and the mean of what they come to is the model. The driver holds weights only,
 summed up in tasks. Scoring runs over lanes: documents follow each
@@ -285,7 +285,9 @@ class Network:
             d_input[t] = np.concatenate([d_z, d_r, d_new], axis=1)
             g["state"] += before.T @ d_s
             back = (dh * z + d_s @ p["state"].T) * keep[t][:, None]
-        np.add.at(g["input"], given.reshape(-1), d_input.reshape(-1, 3 * n))
+        order = np.argsort(given, axis=None, kind="stable")
+        units, firsts = np.unique(given.reshape(-1)[order], return_index=True)
+        g["input"][units] = np.add.reduceat(d_input.reshape(-1, 3 * n)[order], firsts, axis=0)
         return g, last
 
 
@@ -402,7 +404,7 @@ def score_units(net: Network, docs: list[np.ndarray], end: int) -> np.ndarray:
 
 
 def _sample(training: DataFrame, head: Head, fit_tokens: int, fit_share: float) -> tuple[DataFrame, int]:
-    """(shard, drawn, doc_id, u) of the sampled training documents with their unit sequences, and the number of shards."""
+    """(shard, drawn, doc_id, u) of the training documents, or a share of them, with their unit sequences, and the number of shards."""
     wanted = min(head.tokens, max(fit_tokens, round(fit_share * head.tokens)))
     shards = max(1, round(wanted / fit_tokens))
 
@@ -426,7 +428,7 @@ def _fitted(rows: DataFrame, end: int, start: np.ndarray, weights: bytes | None,
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("drawn", "ascending"), ("doc_id", "ascending")])
         docs = [np.frombuffer(u, np.uint8).astype(np.int64) for u in table["u"].to_pylist()]
-        net = train(docs, end, start, updates, weights=weights)
+        net = train(docs, end, start, updates, width=32 if weights is None else 64, weights=weights)
         return pa.table({"tokens": [sum(map(len, docs))], "weights": pa.array([net.weights()], pa.binary())})
 
     return rows.groupBy("shard").applyInArrow(fit, WEIGHTS)
@@ -535,8 +537,8 @@ def describe(text: Column, head: Head, net: Network) -> Column:
 
 
 def score(
-    docs: DataFrame, held_out: int = 0, folds: int = 10, head_words: int = 50_000, fit_tokens: int = 250_000,
-    fit_share: float = 0.05,
+    docs: DataFrame, held_out: int = 0, folds: int = 10, head_words: int = 50_000, fit_tokens: int = 1_000_000,
+    fit_share: float = 1.0,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     with _small_batches(docs.sparkSession):

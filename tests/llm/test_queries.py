@@ -226,3 +226,17 @@ def test_personal_data(spark, docs):
         for s in spans:
             kind, a, b = s.split(":")
             assert kind in pii.KINDS and 0 <= int(a) < int(b) <= len(text)
+
+
+def test_language_model_trains_on_every_training_document(spark, docs, monkeypatch):
+    seen = []
+
+    def watched(rows, *rest):
+        seen.append({r["doc_id"] for r in rows.select("doc_id").collect()})
+        return fitted(rows, *rest)
+
+    fitted = lm._fitted
+    monkeypatch.setattr(lm, "_fitted", watched)
+    # What is fitted doesn't hang on the size of a shard.
+    lm.score(common.documents(spark, SF_DIR), fit_tokens=10_000)
+    assert set().union(*seen) == {i for i in docs if crc32(str(i).encode()) % 10}
