@@ -65,3 +65,15 @@ def test_each_key_once_as_the_merged_table_has_it(spark):
     assert once.count() == once.select(key).distinct().count()
     assert once.exceptAll(merged.select(once.columns)).isEmpty() and once.count() == merged.count()
     assert once.filter(F.col("topic") == "clock").isEmpty()
+
+
+def test_state_and_buckets_grow_with_the_records(spark, monkeypatch):
+    from hopmeter.plans import stages
+
+    tables = stages.StageTables(spark, "")
+    tables.topics_path = fresh_path(spark, "test-parts")
+    spark.range(1000).selectExpr(
+        "'src' AS topic", "0 AS partition", "id AS offset", "timestamp_millis(id) AS timestamp", "'' AS value"
+    ).write.partitionBy("topic", "partition").parquet(tables.topics_path)
+    monkeypatch.setattr(stages, "TASK_RECORDS", 30)
+    assert tables.parts == 34
