@@ -46,11 +46,16 @@ def _files(spark: SparkSession, path: str) -> set[str]:
     return found
 
 
+def _none(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of a schema, without a job that starts Python workers."""
+    return spark.range(0).select(F.from_json(F.lit(None).cast("string"), schema).alias("row")).select("row.*")
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The index as it is stored; no rows if there is none."""
     _, fs, at = _folder(spark, f"{path}/{_FOLDER}")
     if not fs.exists(at):
-        return spark.createDataFrame([], INDEX)
+        return _none(spark, INDEX)
     return spark.read.schema(INDEX).parquet(f"{path}/{_FOLDER}")
 
 
@@ -62,6 +67,20 @@ def read_files(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
     return some.select(*TOPIC_TABLE.fieldNames())
 
 
+def rows_of(files: DataFrame, root: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """The index rows of topic files below ``root``."""
+    ms = F.unix_millis("timestamp")
+    rows = files.select(F.col("_metadata.file_path").alias("uri"), "topic", "partition", "offset", ms.alias("ms"))
+    found = rows.groupBy("uri", "topic", "partition", bucket_of(F.col("ms"), bucket_ms).alias("bucket")).agg(
+        F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"),
+        F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count("*").alias("records"),
+    )
+    # The metadata column has the path as a URI. It becomes a name after the grouping, not for every record.
+    plain = F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B")))
+    name = F.substring(plain, F.instr(plain, root) + len(root), F.length(plain))
+    return found.select(name.alias("path"), *found.columns[1:])
+
+
 def extend_index(spark: SparkSession, path: str, bucket_ms: int = BUCKET_MS) -> int:
     """Index the files that came since the last time; gives their number. Call it after each batch.
 
@@ -71,16 +90,7 @@ def extend_index(spark: SparkSession, path: str, bucket_ms: int = BUCKET_MS) ->
     fresh = sorted(_files(spark, path) - known)
     if fresh:
         at = spark.read.schema(TOPIC_TABLE).option("basePath", path).parquet(*[f"{path}/{f}" for f in fresh])
-        # The metadata column has the path as a URI.
-        plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-        root = f"{_folder(spark, path)[0]}/"
-        name = F.substring(plain, F.instr(plain, root) + len(root), F.length(plain))
-        ms = F.unix_millis("timestamp")
-        rows = at.select(name.alias("path"), "topic", "partition", "offset", ms.alias("ms"))
-        rows.groupBy("path", "topic", "partition", bucket_of(F.col("ms"), bucket_ms).alias("bucket")).agg(
-            F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"),
-            F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count("*").alias("records"),
-        ).write.mode("append").parquet(f"{path}/{_FOLDER}")
+        rows_of(at, f"{_folder(spark, path)[0]}/", bucket_ms).write.mode("append").parquet(f"{path}/{_FOLDER}")
     return len(fresh)
 
 

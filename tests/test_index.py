@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hopmeter.operators.baseline import baseline_offsets
 from hopmeter.plans.stages import open_tables
+from hopmeter.schemas import TOPIC_TABLE
 from hopmeter.session import fresh_path
 from hopmeter.sources import index
 from hopmeter.sources.topics import end_offsets, read_topics, scan_from, write_topics
@@ -94,3 +95,14 @@ def test_topic_names_that_paths_escape(spark):
     assert index.extend_index(spark, path) >= 8 and index.extend_index(spark, path) == 0
     bounds = spark.createDataFrame([("a b:%1", 0, 35)], "topic string, partition int, base_offset long")
     assert _positions(index.scan_from_files(spark, path, bounds)) == [("a b:%1", 0, n) for n in range(35, 40)]
+
+
+def test_names_are_made_after_the_grouping(spark):
+    path = fresh_path(spark, "index-names")
+    spark.createDataFrame([("a", 0, i, None, "v") for i in range(3)], TOPIC_TABLE).write.partitionBy("topic", "partition").parquet(path)
+    files = spark.read.schema(TOPIC_TABLE).parquet(path)
+    plan = index.rows_of(files, f"{path}/")._jdf.queryExecution().analyzed().toString()
+    # The outer step comes first in the text.
+    assert 0 <= plan.index("url_decode") < plan.index("Aggregate") and "url_decode" not in plan[plan.index("Aggregate"):]
+    names = [r["path"] for r in index.rows_of(files, f"{path.rsplit(':', 1)[-1]}/").select("path").distinct().collect()]
+    assert names and all(n.startswith("topic=a/partition=0/") for n in names)

@@ -138,3 +138,18 @@ def test_number_and_date_texts(spark):
     assert [r[0] for r in df.select(number_text(F.col("x"))).collect()] == ["4.3", "1500.0", "1.0E7"]
     stamp = spark.createDataFrame([(START,)], "t timestamp").select(minute_stamp(F.col("t"))).first()[0]
     assert stamp == "20170714_0240"
+
+
+def test_a_report_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(i):
+        made.add(1)
+        return f"line {i}"
+
+    rows = spark.range(1000, numPartitions=4).select(
+        F.lit(1).alias("part"), (-F.col("id")).alias("a"), F.lit(0).cast("long").alias("b"), told("id").alias("text"))
+    path = report.write_report(rows, fresh_path(spark, "once"), "01_01_1970_00_00")
+    assert [r["value"] for r in spark.read.text(path).limit(2).collect()] and spark.read.text(path).count() == 1000
+    assert made.value == 1000
