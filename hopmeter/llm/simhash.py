@@ -20,8 +20,8 @@ with changes here and there meet nearly always; those that differ in a long run
 words meet in one of five bands of least shingle hashes (recall: README). To keep large groups of
 near copies from making all their pairs, a key's fingerprints are first compared
 with one of them, in rounds; what these connect needs no more comparison, and all
-other pairs that share a key are then compared: pair by pair where a key has few
-classes left, and else in blocks. A family, that is all that hangs together by such
+other pairs that share a key are then compared: pair by pair where a key brings few
+of them together, and else in blocks. A family, that is all that hangs together by such
 crowded keys, is dealt into blocks, and two blocks are compared in one task by a
 product of their tables of shingles, which gives only links between classes. The ``SKETCH``
 smallest shingle hashes of both tell which pairs are far from similar (five standard
@@ -56,8 +56,9 @@ WORD_PRINTS, SKETCH, SIMILAR, SIMILAR_WORDS = 3, 128, 0.8, 5
 ROUGH = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / SKETCH) ** 0.5
 #: A round of comparisons with one of each key is many links if it adds a link for every so many fingerprints.
 MANY = 100
-#: Keys of more labels than this are compared in blocks of so many members, so many shingles at a time.
-CROWD, BLOCK, COLUMNS = 32, 256, 4096
+#: Keys of more labels than this, or more pairs of different labels than that, are compared in blocks of so many
+#: members, so many shingles at a time.
+CROWD, CROWD_PAIRS, BLOCK, COLUMNS = 32, 256, 256, 4096
 #: Odd factors, which are orders of 64-bit hashes; two of them make a band. Texts of the
 #: similarity 0.8 share the least hashes of a band in 64 of 100 cases, and of one of five in 99.
 ORDERS = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 11)]
@@ -325,9 +326,19 @@ def _met_all(at: DataFrame, crowded: DataFrame) -> DataFrame:
 
 
 def _crowded(at: DataFrame) -> DataFrame:
-    """Keys with more than ``CROWD`` labels."""
-    labels = _word_keys(at, False).groupBy("key", "label").agg(F.lit(1).alias("one"))
-    return labels.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key")
+    """Keys with more than ``CROWD`` labels, or that bring together more than ``CROWD_PAIRS`` pairs of different labels.
+
+    The second are keys of large classes: each of their members would meet all fingerprints that share the key.
+    """
+    sides = [_word_keys(at, fuzzy).select("key", "label", F.lit(fuzzy).alias("fuzzy")) for fuzzy in (True, False)]
+    labels = sides[0].union(sides[1]).groupBy("key", "label").agg(
+        F.count_if("fuzzy").cast("double").alias("asks"), F.count_if(~F.col("fuzzy")).cast("double").alias("members")
+    )
+    keys = labels.groupBy("key").agg(
+        F.count_if(F.col("members") > 0).alias("n"),
+        (F.sum("asks") * F.sum("members") - F.sum(F.col("asks") * F.col("members"))).alias("pairs"),
+    )
+    return keys.filter((F.col("n") > CROWD) | (F.col("pairs") > CROWD_PAIRS)).select("key")
 
 
 def _families(at: DataFrame, crowded: DataFrame) -> DataFrame:

@@ -640,3 +640,13 @@ def test_every_language_is_learned_however_many(spark):
     assert len(seen) == 12 and max(seen.values()) <= 80 and len(data) == len(langs)
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, per_language=20).collect()}
     assert sum(got[i] == lang for i, _, lang, _, _ in rows) >= 0.95 * len(rows)
+
+
+def test_a_large_class_does_not_meet_the_others_of_its_key_one_by_one(spark):
+    words = ["array(0L, 0L, 0L) AS words", "CAST(array() AS array<bigint>) AS bands"]
+    at = spark.range(320).selectExpr("id AS fp", "IF(id < 300, 0L, IF(id < 310, 300L, id)) AS label", "10L AS n", *words)
+    crowded = simhash._crowded(at)
+    # 12 labels are few, but 20 fingerprints share their keys with 300 of another label.
+    assert crowded.count() > 0 and simhash._met_all(at, crowded).count() == 0
+    few = at.filter("fp < 3 OR fp >= 318")
+    assert simhash._crowded(few).count() == 0 and simhash._met_all(few, simhash._crowded(few)).count() == 7
