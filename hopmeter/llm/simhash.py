@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from hopmeter.llm.common import by_task
 from hopmeter.llm.components import components
-from hopmeter.session import cut
+from hopmeter.session import cut, settle
 
 LIMIT = 3
 SEED = 42
@@ -290,48 +290,76 @@ def _of_similar_size(a: Column, b: Column) -> Column:
 
 
 def _word_keys(at: DataFrame, fuzzy: bool) -> DataFrame:
-    """(fp, label, n, key) of ``at`` (fp, label, n, words, bands)."""
+    """(fp, key) of ``at`` (fp, words, bands)."""
     def of_print(i: int) -> Column:
         return F.transform(golay_keys(F.col("words")[i], fuzzy), lambda key: key + F.lit(i << 40))
 
     keys = F.concat(*map(of_print, range(WORD_PRINTS)), "bands")
-    return at.select("fp", "label", "n", F.explode(keys).alias("key"))
+    return at.select("fp", F.explode(keys).alias("key"))
+
+
+def shared_keys(at: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fuzzy and plain keys of ``at`` (fp, words, bands), each (fp, key), without those that bring nobody together.
+
+    A fuzzy key goes if no other fingerprint has it as a plain one, which holds for nearly all of them; a plain
+    key, if no fuzzy one of another fingerprint is left. They depend on no label, so all rounds go on from these tables.
+    """
+    plain = _word_keys(at, False)
+    ends = plain.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
+    asks = cut(
+        _word_keys(at, True).join(ends, "key").filter((F.col("least") != F.col("fp")) | (F.col("most") != F.col("fp"))).select("fp", "key"),
+        "fp-asks",
+    )
+    return asks, cut(plain.join(asks.select("key").distinct(), "key", "left_semi"), "fp-members")
+
+
+Sides = tuple[DataFrame, DataFrame]
+
+
+def _sides(at: DataFrame, keys: Sides | None = None) -> Sides:
+    """Fuzzy and plain ``keys`` with what ``at`` has of their fingerprints: (fp, label, n, key) each."""
+    labels = at.select("fp", "label", "n")
+    asks, members = (side.join(labels, "fp").select("fp", "label", "n", "key") for side in keys or shared_keys(at))
+    return asks, members
 
 
 def _renamed(frame: DataFrame, end: str) -> DataFrame:
     return frame.select(*[F.col(c).alias(c if c == "key" else f"{c}_{end}") for c in frame.columns])
 
 
-def _met_once(at: DataFrame, turn: int) -> DataFrame:
+def _met_once(sides: Sides, turn: int) -> DataFrame:
     """Pairs of each fingerprint with one of another label for each of its keys; another one every ``turn``."""
-    plain = _word_keys(at, False)
+    asks, members = sides
     drawn = F.struct(F.xxhash64("fp", F.lit(turn)).alias("draw"), "fp", "label", "n")
-    one = plain.groupBy("key").agg(F.min(drawn).alias("one")).select("key", "one.fp", "one.label", "one.n")
-    return _pairs(_renamed(_word_keys(at, True), "a").join(_renamed(one, "b"), "key"))
+    one = members.groupBy("key").agg(F.min(drawn).alias("one")).select("key", "one.fp", "one.label", "one.n")
+    return _pairs(_renamed(asks, "a").join(_renamed(one, "b"), "key"))
 
 
-def _met_all(at: DataFrame, crowded: DataFrame) -> DataFrame:
+def _met_all(at: DataFrame, crowded: DataFrame, sides: Sides | None = None) -> DataFrame:
     """All pairs of fingerprints that share a key which is not ``crowded`` (key) and have different labels.
 
     A key's labels are joined first and their members then, so that fingerprints of
     one label never meet, however many there are.
     """
-    plain = _renamed(_word_keys(at, False), "b").join(crowded, "key", "left_anti")
+    asks, members = sides or _sides(at)
+    plain = _renamed(members, "b").join(crowded, "key", "left_anti")
     labels = plain.groupBy("key", "label_b").agg(F.min("n_b").alias("least"), F.max("n_b").alias("most"))
-    fuzzy = _renamed(_word_keys(at, True), "a").join(labels, "key").filter(
+    fuzzy = _renamed(asks, "a").join(labels, "key").filter(
         (F.col("label_a") != F.col("label_b"))
         & (F.col("most") >= F.col("n_a") * SIMILAR - 1e-6) & (F.col("n_a") >= F.col("least") * SIMILAR - 1e-6)
     )
     return _pairs(fuzzy.join(plain, ["key", "label_b"]))
 
 
-def _crowded(at: DataFrame) -> DataFrame:
+def _crowded(at: DataFrame, sides: Sides | None = None) -> DataFrame:
     """Keys with more than ``CROWD`` labels, or that bring together more than ``CROWD_PAIRS`` pairs of different labels.
 
     The second are keys of large classes: each of their members would meet all fingerprints that share the key.
     """
-    sides = [_word_keys(at, fuzzy).select("key", "label", F.lit(fuzzy).alias("fuzzy")) for fuzzy in (True, False)]
-    labels = sides[0].union(sides[1]).groupBy("key", "label").agg(
+    asks, members = (
+        side.select("key", "label", F.lit(fuzzy).alias("fuzzy")) for side, fuzzy in zip(sides or _sides(at), (True, False))
+    )
+    labels = asks.union(members).groupBy("key", "label").agg(
         F.count_if("fuzzy").cast("double").alias("asks"), F.count_if(~F.col("fuzzy")).cast("double").alias("members")
     )
     keys = labels.groupBy("key").agg(
@@ -341,14 +369,15 @@ def _crowded(at: DataFrame) -> DataFrame:
     return keys.filter((F.col("n") > CROWD) | (F.col("pairs") > CROWD_PAIRS)).select("key")
 
 
-def _families(at: DataFrame, crowded: DataFrame) -> DataFrame:
+def _families(sides: Sides, crowded: DataFrame) -> DataFrame:
     """(fp, family) of the fingerprints that share a crowded key, directly or over others.
 
     Each member is linked with one of its key, so the links are as many as the members.
     """
-    plain = _word_keys(at, False).join(crowded, "key", "left_semi")
+    asks, members = sides
+    plain = members.join(crowded, "key", "left_semi")
     one = plain.groupBy("key").agg(F.min("fp").alias("one"))
-    stars = _word_keys(at, True).join(one, "key").select(F.col("fp").alias("a"), F.col("one").alias("b"))
+    stars = asks.join(one, "key").select(F.col("fp").alias("a"), F.col("one").alias("b"))
     return components(cut(stars.distinct(), "fp-stars")).select(F.col("node").alias("fp"), F.col("label").alias("family"))
 
 
@@ -410,13 +439,13 @@ def block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
 
 
-def family_links(at: DataFrame, crowded: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+def family_links(at: DataFrame, crowded: DataFrame, sides: Sides, rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect all similar texts which share a crowded key.
 
     A family goes through tasks in pairs of blocks of ``BLOCK`` members with all their
     shingles; a pair of blocks is compared as a whole and gives only links that connect labels.
     """
-    member = _families(at, crowded)
+    member = _families(sides, crowded)
     size = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     sets = cut(
@@ -440,7 +469,7 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 def similar_links(
     nodes: DataFrame, known: DataFrame, accept: Callable[[DataFrame, bool], DataFrame],
-    crowd: Callable[[DataFrame, DataFrame], DataFrame],
+    crowd: Callable[[DataFrame, DataFrame, Sides], DataFrame],
 ) -> DataFrame:
     """Links that with ``known`` connect all similar texts of ``nodes`` (fp, words, sketch, n) that share a key.
 
@@ -448,27 +477,36 @@ def similar_links(
     all of them if its second argument says that it is asked for the last time.
     First each fingerprint is compared with one of each key, in rounds while they bring many links; then
     every pair that shares a key and is not yet connected. So a pair left out is a connected one. Keys that
-    still have many labels then are left to ``crowd``, which takes the labels and these keys and gives links.
+    still have many labels then are left to ``crowd``, which takes the labels, these keys and who has which, and gives links.
     """
+    spark = nodes.sparkSession
     sketch = lambda name: nodes.select(F.col("fp").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+
+    def labelled(found: DataFrame) -> DataFrame:
+        label = components(found)
+        return nodes.select("fp", "n").join(label, F.col("fp") == F.col("node"), "left").select("fp", "n", F.coalesce("label", "fp").alias("label"))
+
+    def judged(met: DataFrame, last: bool) -> DataFrame:
+        both = cut(met, "fp-met").join(sketch("a"), "a").join(sketch("b"), "b")
+        return accept(both.select("a", "b", similarity(F.col("sketch_a"), F.col("sketch_b")).alias("s")), last)
+
+    keys = shared_keys(nodes)
     size, found, turn, last = nodes.count(), known, 0, False
     while True:
-        label = components(found)
-        found = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        at = cut(
-            nodes.select("fp", "words", "bands", "n").join(label, F.col("fp") == F.col("node"), "left")
-            .select("fp", "words", "bands", "n", F.coalesce("label", "fp").alias("label")),
-            "fp-labels",
-        )
-        crowded = cut(_crowded(at), "fp-crowded") if last else None
-        met = cut(_met_all(at, crowded) if last else _met_once(at, turn), "fp-met")
-        both = met.join(sketch("a"), "a").join(sketch("b"), "b")
-        judged = both.select("a", "b", similarity(F.col("sketch_a"), F.col("sketch_b")).alias("s"))
-        fresh = cut(accept(judged, last), "fp-similar")
-        found = found.union(fresh)
+        at = settle(spark, lambda: labelled(found), "fp-labels")
+        found = at.filter("fp <> label").select(F.col("fp").alias("a"), F.col("label").alias("b"))
+        sides = _sides(at, keys)
         if last:
-            return found if crowded.isEmpty() else found.union(cut(crowd(at, crowded), "fp-crowd-links"))
+            break
+        fresh = settle(spark, lambda: judged(_met_once(sides, turn), False), "fp-similar")
+        found = found.union(fresh)
         turn, last = turn + 1, fresh.count() * MANY <= size
+    sides = cut(sides[0], "fp-asked"), cut(sides[1], "fp-held")
+    crowded = settle(spark, lambda: _crowded(at, sides), "fp-crowded")
+    found = found.union(settle(spark, lambda: judged(_met_all(at, crowded, sides), True), "fp-similar"))
+    if not crowded.isEmpty():
+        found = found.union(settle(spark, lambda: crowd(at, crowded, sides), "fp-crowd-links"))
+    return found
 
 
 def exact_similarity(a: Column, b: Column) -> Column:
@@ -517,13 +555,18 @@ def classes(slim: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     more = [F.min_by(F.struct("words", "bands", "sketch", "n"), order).alias("print")] if texts is not None else []
     by_fp = cut(slim.groupBy("fp").agg(F.min(order).alias("first"), *more), "fingerprints")
     pairs = links(by_fp.select("fp"))
-    if texts is not None:
-        rows = by_fp.select("fp", "first.row")
-        pairs = similar_links(
-            by_fp.select("fp", "print.*"), pairs, by_texts(rows, texts),
-            lambda at, crowded: family_links(at, crowded, rows, texts),
+    if texts is None:
+        pairs = cut(pairs, "fp-links")
+    else:
+        rows, known = by_fp.select("fp", "first.row"), pairs
+        pairs = settle(
+            slim.sparkSession,
+            lambda: similar_links(
+                by_fp.select("fp", "print.*"), known, by_texts(rows, texts),
+                lambda at, crowded, sides: family_links(at, crowded, sides, rows, texts),
+            ),
+            "fp-links",
         )
-    pairs = cut(pairs, "fp-links")
     label = components(pairs)
     count = (
         pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
@@ -567,5 +610,8 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
         "docs-numbered",
     )
     slim = wide.select("print.*", F.col("doc.doc_id").alias("doc_id"), "row")
-    kept = classes(slim, wide.select("row", F.col("doc.text").alias("text"))).select(F.col("first_row").alias("row")).distinct()
+    texts = wide.select("row", F.col("doc.text").alias("text"))
+    kept = settle(
+        docs.sparkSession, lambda: classes(slim, texts).select(F.col("first_row").alias("row")).distinct(), "rows-kept"
+    )
     return wide.join(kept, "row", "left_semi").select("doc.*")

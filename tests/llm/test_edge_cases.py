@@ -5,7 +5,7 @@ import os
 import random
 import re
 import sys
-from collections import Counter
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
@@ -18,6 +18,7 @@ import public_tokenizers  # noqa: E402
 import tiktoken  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
+from hopmeter import session  # noqa: E402
 from hopmeter.llm import (  # noqa: E402
     bpe, components, decontam, langid, licenses, lm, pii, quality, shards, simhash, urlrules,
 )
@@ -650,3 +651,49 @@ def test_a_large_class_does_not_meet_the_others_of_its_key_one_by_one(spark):
     assert crowded.count() > 0 and simhash._met_all(at, crowded).count() == 0
     few = at.filter("fp < 3 OR fp >= 318")
     assert simhash._crowded(few).count() == 0 and simhash._met_all(few, simhash._crowded(few)).count() == 7
+
+
+def test_near_copies_leave_no_tables_of_their_rounds(spark):
+    """Each round's tables go with the round, so the disk taken doesn't grow with their number."""
+    folder = session._own_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rng = random.Random(31)
+    texts = _grown(rng, 30, 110, 0.02) + ["", "a b", "a b"]
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(_docs(spark, texts)).collect())
+    assert kept == _kept_by_brute_force(texts)
+    assert sorted(name[:-33] for name in set(os.listdir(folder)) - before) == ["docs-numbered", "rows-kept"]
+
+
+def test_only_keys_that_bring_others_together_are_handed_on(spark):
+    rng = random.Random(32)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9)))
+    texts = [" ".join(word() for _ in range(120)) for _ in range(40)]
+    texts.append(texts[0].rpartition(" ")[0] + " other")
+    at = _docs(spark, texts).select("doc_id", simhash.prints(F.col("text")).alias("p")).select("doc_id", "p.*")
+    asks, members = (side.collect() for side in simhash.shared_keys(at))
+    plain = {(r["key"], r["fp"]) for r in simhash._word_keys(at, False).collect()}
+    fuzzy = {(r["key"], r["fp"]) for r in simhash._word_keys(at, True).collect()}
+    owners = defaultdict(set)
+    for key, fp in plain:
+        owners[key].add(fp)
+    want = {(key, fp) for key, fp in fuzzy if owners[key] - {fp}}
+    assert {(r["key"], r["fp"]) for r in asks} == want and len(asks) == len(want)
+    assert {(r["key"], r["fp"]) for r in members} == {(key, fp) for key, fp in plain if key in {k for k, _ in want}}
+    assert 0 < len(want) < len(fuzzy) / 10
+
+
+def test_a_failed_step_forgets_its_tables(spark):
+    def fails():
+        session.cut(spark.range(3), "probe")
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        session.settle(spark, fails, "never")
+    inner = []
+
+    def nested():
+        inner.append(session.settle(spark, lambda: session.cut(spark.range(3), "a").filter("id > 0"), "b"))
+        return inner[0].filter("id > 1")
+
+    assert [r[0] for r in session.settle(spark, nested, "c").collect()] == [2]
+    assert not session._SCRATCH.calls and not any(n.startswith(("a-", "b-")) for n in os.listdir(session._own_folder(spark).removeprefix("file://")))
