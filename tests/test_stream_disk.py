@@ -50,6 +50,10 @@ def test_a_stream_of_many_slices_keeps_a_few_of_them(spark, folder, monkeypatch)
     most = max(p["stateOperators"][0]["numRowsTotal"] for p in begun[0].recentProgress if p["stateOperators"])
     assert 0 < most < rows * 0.6
     assert _lying(spark, *spent) == before
+    # Latencies come once, and their stream leaves no checkpoint either.
+    once = spark.read.parquet(tables.stream_latency_path).drop("batch")
+    assert sorted(once.collect()) == sorted(tables.latency.collect()) and once.count() > 500
+    assert _lying(spark, *spent) == before
 
 
 def test_marks_given_up_are_found_without_merging_hits(spark):
