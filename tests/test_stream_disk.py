@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hopmeter.operators.latency import unmatched
 from hopmeter.operators.skew import GROUP_ROWS_SETTING
-from hopmeter.plans import stages
+from hopmeter.plans import catalog, stages
 from hopmeter.plans.fixture import CLOCK
 from hopmeter.session import _own_folder, fresh_path
 from hopmeter.streaming import jobs
@@ -81,3 +81,11 @@ def test_tables_on_the_way_to_the_topics_do_not_stay(spark, folder):
         assert sorted(hot.probes.collect()) == sorted(plain.probes.collect())
     finally:
         spark.conf.unset(GROUP_ROWS_SETTING)
+
+
+def test_the_summary_of_the_stream_needs_no_batch_job(spark, folder):
+    got = catalog.queries()["stream_latency_summary"](spark, folder).collect()
+    tables = stages.open_tables(spark, folder)
+    assert not {"wanted", "hits", "latency"} & set(vars(tables))
+    want = catalog.queries()["latency_summary"](spark, folder).collect()
+    assert sorted(got) == sorted(want) and got[0]["n"] > 500
